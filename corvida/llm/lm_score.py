@@ -1,18 +1,19 @@
-"""Language-model scores by a probabilistic suffix tree over the bytes of a text's words.
-
-Symbols are bytes: words in lower case (A-Z), one space between them, one newline as the end. A context of up to
-``DEPTH`` bytes is a state of the tree if its share of the training symbols is at least ``CONTEXT_SHARE`` and its
-next-symbol distribution differs from that of its longest proper suffix (a G test, and at least ``MIN_DIVERGENCE`` nats);
-suffixes of states are states. Distributions are smoothed towards the suffix state's with weight ``PRIOR``, down to
-add-one at the root, and sum to one. A symbol is scored in the longest suffix of its history that is a state.
-
-Scale. Counts cover all training documents: each task counts its longest contexts with their next symbols, all shorter
-ones follow by aggregation. The tree is bounded by construction: contexts under ``CONTEXT_SHARE`` and entries
-under ``ENTRY_SHARE`` of all symbols are not kept, so at most (DEPTH + 1) / ENTRY_SHARE + DEPTH / CONTEXT_SHARE rows
-(3.5 million of 16 bytes) ever reach the driver or a broadcast, whatever the corpus. The word counts of the base score have no such bound and
-meet the documents in a shuffled join of pre-aggregated blocks (see ``token_counts``).
-
-Defined cases. Null or empty text: the end token only. A null doc_id counts as the empty text for the split, so it
+"""Language-model scores by a probabilistic suffix tree over words.
+
+Symbols are the training words (A-Z in lower case), one end symbol per document, and one symbol for all unknown words.
+A context of one or two symbols is a state of the tree if its share of the training symbols is at least ``SHARE`` and
+its next-symbol distribution differs from that of its longest proper suffix (a G test and a least divergence in nats); suffixes
+of states are states. A state's distribution is smoothed towards its suffix state's with weight ``PRIOR``; the root discounts
+every word's count and gives what that frees to the unknown symbol. All distributions sum to one over the symbols. Each symbol
+is scored in the longest suffix of its history that is a state; a document's history begins with an end symbol.
+
+Scale. Counts cover all training documents. The tree is bounded by construction: a context or an entry (context and next symbol) is kept
+from ``SHARE`` of all symbols on, so at most ``DEPTH`` + 1 times 1 / SHARE entries and as many contexts (150,000 each) ever reach the
+driver or a broadcast, whatever the corpus; and since an n-gram is no more frequent than its words, only n-grams of such
+words are counted. Word counts have no such bound: they meet the documents in a shuffled join of pre-aggregated blocks
+(``token_counts``), where the root's part of every score comes from.
+
+Defined cases. Null or empty text: the end symbol only. A null doc_id counts as the empty text for the split, so it
 trains. Repeated rows are scored and counted each. With nothing to train on every count is 0. Other columns are not read.
 """
 
@@ -31,40 +32,50 @@ from pyspark.sql import functions as F
 from corvida.llm.common import mixed, stored
 from corvida.llm.token_counts import summed, term_blocks
 
-DEPTH = 5
-CONTEXT_SHARE, ENTRY_SHARE = 1e-5, 2e-6
+DEPTH = 2
+SHARE = 2e-5
 MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 CHUNK = 4 << 20
+BITS = 17  # for a frequent word's number: 1 / SHARE is below 2**17
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
 
-def symbols(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """(words, for each symbol its ``DEPTH`` predecessors and itself packed into an integer)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    s = np.frombuffer(b"\n" * DEPTH + b" ".join(words) + b"\n", np.uint8).astype(np.uint64)
-    packed = np.zeros(len(s) - DEPTH, np.uint64)
-    for j in range(DEPTH + 1):
-        packed |= s[j : j + len(packed)] << np.uint64(8 * (DEPTH - j))
-    return words, packed
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
 
+def ngram_keys(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams that end at each symbol, tagged by n; whether all their words are frequent (numbers from 1, else 0).
 
-def _mask(n_bytes: int) -> int:
-    return (1 << (8 * n_bytes)) - 1
+    ``numbers`` begins with ``DEPTH`` symbols of history.
+    """
+    size = len(numbers) - DEPTH
+    key, good = np.full(size, n, np.uint64), np.ones(size, bool)
+    for j in range(DEPTH - n + 1, DEPTH + 1):
+        part = numbers[j : j + size]
+        key = (key << np.uint64(BITS)) | part.astype(np.uint64)
+        good &= part > 0
+    return key, good
+
+
+def numbered(words: list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a document's symbols, 1 being the end, after ``DEPTH`` ends of history (one, and unknown before)."""
+    get = frequent.get
+    return np.array([0] * (DEPTH - 1) + [1] + [get(w, 0) for w in words] + [1], np.int64)
 
 
 class SuffixTree:
-    """Entries (context, symbol) and contexts' back-off weights in one hash-ordered table of (key, log10)."""
+    """Entries and contexts in one hash-ordered table: key, log10 gain over the root (entries) or back-off weight (contexts)."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         h = mixed(keys.astype(np.uint64))
         order = np.argsort(h)
-        self.h, self.values = h[order], values[order].astype(np.float32)
+        self.h, self.values = h[order], values[order].astype(np.float64)
         self.shift = np.uint64(64 - max(1, math.ceil(math.log2(4 * len(h) + 1))))
-        slots = self.h >> self.shift
-        self.start = np.searchsorted(slots, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+        self.start = np.searchsorted(self.h >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
 
     @classmethod
     def of(cls, parts: tuple) -> SuffixTree:
@@ -91,107 +102,125 @@ class SuffixTree:
             todo = todo[at[todo] < end[todo]]
         return out
 
-    def score(self, packed: np.ndarray) -> float:
-        """log10 probability of a text, from ``symbols``."""
-        total, todo = 0.0, packed
-        for d in range(DEPTH, -1, -1):
-            at = self.find((todo & np.uint64(_mask(d + 1))) | np.uint64(d << 56))
-            hit = at >= 0
-            total += float(self.values[at[hit]].sum(dtype=np.float64))
-            todo = todo[~hit]
-            if not len(todo):
-                break
-            if d:
-                at = self.find(((todo >> np.uint64(8)) & np.uint64(_mask(d))) | np.uint64((8 + d) << 56))
-                total += float(self.values[at[at >= 0]].sum(dtype=np.float64))
+    def gain(self, numbers: np.ndarray) -> float:
+        """log10 of the text's probability over what the root alone gives it."""
+        total, todo = 0.0, np.arange(len(numbers) - DEPTH)
+        for n in range(DEPTH + 1, 1, -1):
+            key, good = ngram_keys(numbers, n)
+            known = todo[good[todo]]
+            at = self.find(key[known])
+            total += float(self.values[at[at >= 0]].sum())
+            done = np.zeros(len(numbers) - DEPTH, bool)
+            done[known[at >= 0]] = True
+            todo = todo[~done[todo]]
+            # the state, if it is one, backs off: its symbols are the n - 1 before
+            context, good = ngram_keys(np.r_[0, numbers[:-1]], n - 1)
+            known = todo[good[todo]]
+            at = self.find(context[known] | np.uint64(1 << 62))
+            total += float(self.values[at[at >= 0]].sum())
         return total
 
 
-def grow(keys: np.ndarray, counts: np.ndarray, total: int) -> SuffixTree:
-    """The tree from counted entries (depth in the top byte) and contexts (8 + depth there)."""
+def grow(keys: np.ndarray, counts: np.ndarray, symbol_counts: np.ndarray, total: int, discount: float) -> SuffixTree:
+    """The tree from counted n-grams (n at least 2) of frequent symbols, whose own counts are ``symbol_counts`` (place 0 unused)."""
+    low = lambda n: np.uint64((1 << (BITS * n)) - 1)
     order = np.argsort(keys)
     keys, counts = keys[order].astype(np.uint64), counts[order].astype(np.float64)
-    kind = (keys >> np.uint64(56)).astype(np.int64)
-    body = keys & np.uint64(_mask(7))
-    pick = lambda k: (body[kind == k], counts[kind == k])
-    root = np.ones(256)
-    b, c = pick(0)
-    root[b.astype(np.int64)] += c
-    root /= root.sum()
-    entries, contexts = {0: (np.arange(256, dtype=np.uint64), root * (total + 256))}, {0: (np.zeros(1, np.uint64), np.array([total + 256.0]))}
-    for d in range(1, DEPTH + 1):
-        (eb, ec), (cb, cc) = pick(d), pick(8 + d)
-        keep = np.isin(eb >> np.uint64(8), cb)
-        entries[d], contexts[d] = (eb[keep], ec[keep]), (cb, cc)
+    grams = {1: (np.arange(1, len(symbol_counts), dtype=np.uint64), symbol_counts[1:].astype(np.float64))}
+    for n in range(2, DEPTH + 2):
+        mine = keys >> np.uint64(BITS * n) == n
+        grams[n] = keys[mine] & low(n), counts[mine]
+    place = lambda n, body: np.minimum(np.searchsorted(grams[n][0], body), max(len(grams[n][0]) - 1, 0))
     state = {}
-    for d in range(1, DEPTH + 1):
-        (eb, ec), (cb, cc), (pb, pc), (qb, qc) = entries[d], contexts[d], entries[d - 1], contexts[d - 1]
-        of = np.searchsorted(cb, eb >> np.uint64(8))
-        low = np.uint64(_mask(d))
-        parent_n = qc[np.minimum(np.searchsorted(qb, (eb >> np.uint64(8)) & np.uint64(_mask(d - 1))), len(qb) - 1)]
-        parent_c = pc[np.minimum(np.searchsorted(pb, eb & low), len(pb) - 1)]
-        p = ec / cc[of] if len(eb) else ec
-        gain = np.bincount(of, p * np.log(np.maximum(p * parent_n / np.maximum(parent_c, 1), 1e-12)), len(cb))
+    for d in range(1, DEPTH + 1):  # contexts of d symbols, entries of d + 1
+        (eb, ec), (cb, cc) = grams[d + 1], grams[d]
+        of, p = place(d, eb >> np.uint64(BITS)), np.zeros(0)
+        if len(eb):
+            p = ec / cc[of]
+            parent = grams[d][1][place(d, eb & low(d))] / (total if d == 1 else grams[d - 1][1][place(d - 1, (eb >> np.uint64(BITS)) & low(d - 1))])
+            gain = np.bincount(of, p * np.log(np.maximum(p / parent, 1e-12)), len(cb))
+        else:
+            gain = np.zeros(len(cb))
         free = np.maximum(np.bincount(of, minlength=len(cb)) - 1, 1)
         state[d] = (gain >= MIN_DIVERGENCE) & (2 * cc * gain > free + 3 * np.sqrt(2.0 * free))
     for d in range(DEPTH, 1, -1):  # suffixes of states are states
-        state[d - 1] |= np.isin(contexts[d - 1][0], contexts[d][0][state[d]] & np.uint64(_mask(d - 1)))
-    out_k, out_v = [np.arange(256, dtype=np.uint64)], [np.log10(root)]
-    below_b, below_p = np.arange(256, dtype=np.uint64), root
+        state[d - 1] |= np.isin(grams[d - 1][0], grams[d][0][state[d]] & low(d - 1))
+    root = np.maximum(symbol_counts - discount, 1e-9) / max(total, 1)
+    below_b, below_p, out_k, out_v = grams[1][0], root[1:], [], []
     for d in range(1, DEPTH + 1):
-        (eb, ec), cb, cc = entries[d], contexts[d][0][state[d]], contexts[d][1][state[d]]
-        keep = np.isin(eb >> np.uint64(8), cb)
+        (eb, ec), cb, cc = grams[d + 1], grams[d][0][state[d]], grams[d][1][state[d]]
+        keep = np.isin(eb >> np.uint64(BITS), cb)
         eb, ec = eb[keep], ec[keep]
-        of = np.searchsorted(cb, eb >> np.uint64(8))
-        rest = cc - np.bincount(of, ec, len(cb))
-        back = (rest + PRIOR) / (cc + PRIOR)
-        p = ec / (cc + PRIOR)[of] + back[of] * below_p[np.searchsorted(below_b, eb & np.uint64(_mask(d)))]
-        out_k += [eb | np.uint64(d << 56), cb | np.uint64((8 + d) << 56)]
-        out_v += [np.log10(p), np.log10(back)]
+        of = np.searchsorted(cb, eb >> np.uint64(BITS))
+        back = (cc - np.bincount(of, ec, len(cb)) + PRIOR) / (cc + PRIOR)
+        # the suffix state's probability: its entry where kept (always, an n-gram being no more frequent than its end)
+        down = np.searchsorted(below_b, eb & low(d))
+        down_p = np.where(below_b[np.minimum(down, len(below_b) - 1)] == (eb & low(d)), below_p[np.minimum(down, len(below_b) - 1)], 0.0) if len(below_b) else np.zeros(len(eb))
+        missing = down_p == 0
+        if missing.any():  # its context is no state: take the shorter suffix's
+            down_p[missing] = root[(eb[missing] & low(1)).astype(np.int64)]
+        p = ec / (cc + PRIOR)[of] + back[of] * down_p
+        out_k += [eb | np.uint64((d + 1) << (BITS * (d + 1))), cb | np.uint64(d << (BITS * d)) | np.uint64(1 << 62)]
+        out_v += [np.log10(p) - np.log10(root[(eb & low(1)).astype(np.int64)]), np.log10(back)]
         below_b, below_p = eb, p
     return SuffixTree(np.concatenate(out_k), np.concatenate(out_v))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    buffer: list[np.ndarray] = []
-
-    def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k, c = np.unique(np.concatenate(buffer), return_counts=True)
-        buffer.clear()
-        both = np.concatenate([keys, k])
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-        return both[first], np.add.reduceat(np.concatenate([counts, c])[order], first)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["t" + w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
 
-    held = 0
+    counts: Counter = Counter()
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not held_out(doc_id):
-                buffer.append(symbols(text)[1])
-                if (held := held + len(buffer[-1])) >= CHUNK:
-                    keys, counts = merged(keys, counts)
-                    held = 0
+                counts.update(words_of(text))
+                if len(counts) > 500_000:
+                    yield out(counts)
+                    counts.clear()
+    if counts:
+        yield out(counts)
+
+
+def _ngram_counts(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = frequent.value[0]
+        keys, counts, buffer, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def merge() -> None:
+            nonlocal keys, counts, held
+            k, c = np.unique(np.concatenate(buffer), return_counts=True)
+            buffer.clear()
+            held = 0
+            both = np.concatenate([keys, k])
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            keys, counts = both[first], np.add.reduceat(np.concatenate([counts, c])[order], first)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["gram", "n"])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held_out(doc_id):
+                    continue
+                numbers = numbered(words_of(text), number)
+                for n in range(2, DEPTH + 2):
+                    key, good = ngram_keys(numbers, n)
+                    buffer.append(key[good])
+                    held += len(buffer[-1])
+                if held >= CHUNK:
+                    merge()
                     if len(keys) > CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+                        yield from out()
                         keys, counts = keys[:0], counts[:0]
-    if buffer:
-        keys, counts = merged(keys, counts)
-    for at in range(0, len(keys), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["gram", "n"])
+        if buffer:
+            merge()
+        yield from out()
 
-
-def train_tree(docs: DataFrame) -> SuffixTree:
-    """From (doc_id, text), leaving out held-out documents."""
-    grams = stored(docs.mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entries = [F.expr(f"(gram & {_mask(d + 1)}L) | {d << 56}L") for d in range(DEPTH + 1)]
-    contexts = [F.expr(f"(shiftright(gram, 8) & {_mask(d)}L) | {(8 + d) << 56}L") for d in range(1, DEPTH + 1)]
-    least = F.when(F.col("key") < F.lit(8 << 56), math.ceil(ENTRY_SHARE * total)).otherwise(math.ceil(CONTEXT_SHARE * total))
-    kept = grams.select(F.explode(F.array(*entries, *contexts)).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= F.greatest(F.lit(2), least))
-    pdf = kept.toPandas()  # bounded: see above
-    return grow(pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), total)
+    return run
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,29 +228,42 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     remainder = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7")
-
-    def words_of():
-        return lambda doc_id, text: (Counter(k.decode("utf-8", "replace") for k in (text or "").encode("utf-8", "surrogatepass").lower().split()), 0, int(not held_out(doc_id)), 0.0)
-
-    counts = stored(term_blocks(docs, words_of).where("term like 't%'").groupBy("term").agg(F.sum("weight").alias("c")).where("c > 0"), "lm-words")
-    n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counts = stored(docs.mapInArrow(_word_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("c")), "lm-words")
+    n_words, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = docs.where(remainder != 2).count()
     n, v = n_words + ends, distinct + (ends > 0)
-    tree = spark.sparkContext.broadcast(train_tree(docs).parts())  # arrays: executors need not know the class
+    least = max(2, math.ceil(SHARE * n))
+    discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.1))
+
+    top = counts.where(F.col("c") >= least).orderBy("term").collect()  # at most 1 / SHARE rows
+    number = {r["term"][1:].encode(): k for k, r in enumerate(top, 2)}
+    frequent = spark.sparkContext.broadcast((number,))
+    grams = docs.mapInArrow(_ngram_counts(frequent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    pdf = grams.toPandas()  # at most DEPTH / SHARE rows
+    tree = grow(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), np.array([0, ends, *(r["c"] for r in top)], np.float64), n, discount)
+    model = spark.sparkContext.broadcast(tree.parts())  # arrays: executors need not know the class
 
     def scored():
-        model = SuffixTree.of(tree.value)
+        tree, number = SuffixTree.of(model.value), frequent.value[0]
 
-        def one(doc_id, text):
-            words, packed = symbols(text)
-            return Counter(k.decode("utf-8", "replace") for k in words), len(words) + 1, 0, model.score(packed)
+        def one(_, text):
+            words = words_of(text)
+            return _decoded(words), len(words) + 1, 0, tree.gain(numbered(words, number))
 
         return one
 
-    values = counts.select("term", F.log10(F.col("c") + 1).alias("lg"), F.lit(1).alias("known"))
-    sums = summed(term_blocks(docs, scored), values, ["lg", "known"])
+    # the root: discounted counts; what the discounts free is the unknown symbol's
+    unknown = math.log10(discount * v / n) if n else 0.0
+    values = counts.select("term", F.log10(F.col("c") + 1).alias("lg"), (F.log10((F.col("c") - discount) / max(n, 1)) - unknown).alias("over"), F.lit(1).alias("known"))
+    sums = summed(term_blocks(docs, scored), values, ["lg", "over", "known"])
+    end = math.log10((ends - discount) / n) if ends else 0.0
     base = F.col("lg") + math.log10(ends + 1) - F.col("a") * math.log10(n + v + 1)
-    return sums.select("doc_id", (remainder == 2).alias("held_out"), F.col("a").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("c").alias("score"))
+    score = F.col("c") + F.col("over") + (F.col("a") - 1) * unknown + end
+    return sums.select("doc_id", (remainder == 2).alias("held_out"), F.col("a").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+
+
+def _decoded(words: list[bytes]) -> Counter:
+    return Counter({w.decode("utf-8", "replace"): k for w, k in Counter(words).items()})
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,10 @@ MEMO = 400_000
 
 
 def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
-    """Indices into ``ends`` (increasing token positions, the last one being the end) where windows end, at least total cost.
+    """Token positions where windows end, at least total cost. ``ends``: allowed cuts, increasing, the last one being the end.
 
     ``penalty[k]`` is the price of a cut at ``ends[k]``; no two neighbours (nor 0 and the first) may be over ``window`` apart.
+    What the end forces, a short last window, may also be dealt out as powers of two, at ``CUT_WORD`` for each cut.
     """
     pos = [0, *ends.tolist()]
     price = [0.0, *penalty.tolist()]
@@ -58,11 +59,16 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
         while queue and queue[-1][0] >= c + p:
             queue.pop()
         queue.append((c + p, j))
-    out, j = [], len(pos) - 1
+    out, j, i = [], len(pos) - 1, len(pos) - 2
+    while i >= 0 and (n := pos[j] - pos[i]) <= window:
+        if (c := cost[i] + CUT_WORD * (n.bit_count() - 1)) < cost[j]:
+            cost[j], come[j] = c, i
+            out = [pos[j] - sum(1 << b for b in range(k) if n >> b & 1) for k in range(1, n.bit_length()) if n >> k - 1 & 1]
+        i -= 1
     while j:
-        out.append(j - 1)
+        out.append(pos[j])
         j = come[j]
-    return out[::-1]
+    return sorted(out)
 
 
 class Encoder:
@@ -125,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 cuts.append(c + base), prices.append(p)
                 base += n
             ends = np.concatenate(cuts)
-            stop = ends[best_cuts(ends, np.concatenate(prices), window)].tolist()
+            stop = best_cuts(ends, np.concatenate(prices), window)
             rows, at, begin, k = [], 0, 0, 0
             for (doc_id, raw, _), n in zip(held, sizes):
                 start = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm.common import rolled, stored
+from corvida.llm.common import rolled, row_key, stored
 
 #: Cutoffs by level, mildest first; a document is rejected at a level if any rate is above that level's cutoff.
 PATH = {
@@ -77,7 +77,7 @@ def features(text: str | None) -> tuple[int, ...]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = np.array([features(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, len(_COUNTS))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *map(pa.array, got.T)], names=["doc_id", "stratum", *_COUNTS])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "key", "stratum")), *map(pa.array, got.T)], names=["doc_id", "key", "stratum", *_COUNTS])
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -131,10 +131,10 @@ def choose_levels(judged: DataFrame, levels: int, risk: float, delta: float) ->
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", path: dict[str, tuple[float, ...]] = PATH, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Per document: doc_id, stratum, the counts, base_failed, reject_level, level (chosen; -1: none), kept."""
+    """Per document: doc_id, key (content key of the row), stratum, the counts, base_failed, reject_level, level (chosen; -1: none), kept."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum"))
-    rows = source.mapInArrow(_measured, f"doc_id {id_type}, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum")).withColumn("key", row_key("doc_id", "text", "stratum"))
+    rows = source.mapInArrow(_measured, f"doc_id {id_type}, key long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
     rows = _rates(rows).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn("reject_level", reject_level(path)).drop(*path)
     rows = stored(rows, "quality-features")
     good = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).groupBy("doc_id").agg(F.max("label").alias("label")).where("label = 1 and doc_id is not null")
@@ -146,6 +146,14 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     return rows.join(chosen, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of").withColumn("level", level).withColumn("kept", F.expr("not base_failed and coalesce(reject_level > level, true)"))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
+    """``docs`` without the rows that the rules reject."""
+    judged = apply_quality_rules(docs, labels, id_col, text_col, stratum_col, **options)
+    stays = judged.where("kept").select(F.col("key").alias("__key")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col), F.col(stratum_col).cast("string")))
+    return keyed.join(stays, "__key", "left_semi").select(*docs.columns)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``, judged with the quality labels of ``labels``."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -90,13 +90,30 @@ def test_lm_base_and_counts(docs):
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_tree_sums_to_one_and_beats_unigrams(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    tree = lm_score.train_tree(docs)
-    for history in (b"\n\n\n\n\n", b"n the", b"tion ", b"zzzzz", b"\xc3\xa9 la "[:5]):
-        packed = [sum(b << (8 * (5 - i)) for i, b in enumerate(history + bytes([x]))) for x in range(256)]
-        assert sum(10 ** tree.score(np.array([p], np.uint64)) for p in packed) == pytest.approx(1, abs=1e-4)
-    held = [r for r in lm_score.lm_scores(docs).collect() if r["held_out"]]
+def test_tree_sums_to_one():
+    rng = np.random.default_rng(4)
+    follow = {w: rng.permutation(30)[:5] for w in range(30)}
+    numbers = [1]
+    for _ in range(20_000):
+        numbers.append(int(rng.choice(follow[numbers[-1] % 30])) + 2 if rng.random() < 0.8 else int(rng.integers(2, 32)))
+    seq = np.array([0, *numbers], np.int64)
+    grams = Counter()
+    for n in (2, 3):
+        key, good = lm_score.ngram_keys(seq, n)
+        grams.update(key[good].tolist())
+    symbol = np.bincount(numbers, minlength=32).astype(float)
+    total, discount = int(symbol.sum()), 0.5
+    keys = np.array([k for k, c in grams.items() if c >= 5], np.uint64)
+    tree = lm_score.grow(keys, np.array([grams[int(k)] for k in keys]), symbol, total, discount)
+    unknown = discount * (symbol > 0).sum() / total
+    for history in ((2, 3), (7, 19), (0, 4), (0, 0), (5, 0)):
+        probability = [10 ** (tree.gain(np.array([*history, x], np.int64))) * (unknown if x == 0 else (symbol[x] - discount) / total) for x in (0, *np.flatnonzero(symbol))]
+        assert sum(probability) == pytest.approx(1, abs=1e-6), history
+    assert len(tree.h) > 200
+
+
+def test_scores_beat_the_base(spark, small):
+    held = [r for r in lm_score.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
@@ -309,19 +326,23 @@ def test_packing(docs):
 
 
 def test_cuts_are_optimal():
+    pad = lambda n: 0 if n & (n - 1) == 0 else 12 - n
     rng = np.random.default_rng(2)
-    for _ in range(60):
+    for _ in range(200):
         ends = np.cumsum(rng.integers(1, 9, rng.integers(1, 14)))
         price = rng.choice([0.0, 2.0, 8.0], len(ends))
+        price[-1] = 0
         pos, cost = [0, *ends.tolist()], [0.0] + [math.inf] * len(ends)
         for j in range(1, len(pos)):
             for i in range(j):
                 if (n := pos[j] - pos[i]) <= 12:
-                    cost[j] = min(cost[j], cost[i] + price[j - 1] + (0 if n & (n - 1) == 0 else 12 - n))
+                    last = packing.CUT_WORD * (n.bit_count() - 1) if j == len(pos) - 1 else math.inf
+                    cost[j] = min(cost[j], cost[i] + price[j - 1] + pad(n), cost[i] + last)
         cuts = packing.best_cuts(ends, price, 12)
-        at = [0, *(pos[k + 1] for k in cuts)]
-        total = sum(price[k] for k in cuts) + sum(0 if (n := b - a) & (n - 1) == 0 else 12 - n for a, b in zip(at, at[1:]))
-        assert total == pytest.approx(cost[-1])
+        at, price_at = [0, *cuts], dict(zip(ends.tolist(), price))
+        assert at == sorted(set(at)) and at[-1] == ends[-1]
+        total = sum(price_at.get(c, packing.CUT_WORD) for c in cuts) + sum(pad(b - a) for a, b in zip(at, at[1:]))
+        assert total <= cost[-1] + 1e-9
 
 
 def test_empty_tables(spark, small):
