@@ -13,12 +13,14 @@ part of the same optimum, in which powers of two make short ends cheap. A window
 
 Defined cases. Null and empty texts are one token, the end id. Repeated rows and null ids are packed each. An empty table gives an
 empty result. Other columns are not read. Ids are the library's for whole texts: its splitting drops white space, so words are encoded
-once each (``tests`` hold this against whole texts).
+once each (the tests hold this against whole texts); special strings in texts are what the library makes of them.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID, GRID, BLOCK = 4096, 2, 64, 1 << 20
 CUT_SENTENCE, CUT_WORD = 2.0, 8.0
-MEMO = 400_000
+MEMO, TURN = 1_000_000, 32
 
 
 def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -41,8 +43,13 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """
     pos = [0, *ends.tolist()]
     price = [0.0, *penalty.tolist()]
-    at = {p: k for k, p in enumerate(pos)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    place = np.array(pos)
+    by_power: dict[int, list[int]] = {}  # for an end the starts that make its window a power of two
+    for k in range((window - 1).bit_length()):
+        before = np.minimum(np.searchsorted(place, place - (1 << k)), len(pos) - 1)
+        hit = np.flatnonzero(place[before] == place - (1 << k))
+        for j, i in zip(hit.tolist(), before[hit].tolist()):
+            by_power.setdefault(j, []).append(i)
     cost, come = [0.0] * len(pos), [0] * len(pos)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j in range(1, len(pos)):
@@ -51,8 +58,8 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
             queue.popleft()
         least, i = queue[0]
         c = least + window - p
-        for k in powers:
-            if (b := at.get(p - k)) is not None and cost[b] < c:
+        for b in by_power.get(j, ()):
+            if cost[b] < c:
                 c, i = cost[b], b
         c += price[j]
         cost[j], come[j] = c, i
@@ -71,34 +78,69 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     return sorted(out)
 
 
+#: A letter, a mark and a word's end: the mark is a pre-token of its own, so the word may be cut there.
+_MARK = re.compile(rb"([a-z])([.,!?;:]+)(?=[\x20\x09-\x0D]|\Z)")
+
+
 class Encoder:
-    """Ids of a text as little-endian bytes, with its sentence ends; words are encoded once while the memo lasts."""
+    """Ids of a text as little-endian bytes, with its sentence ends.
+
+    Words are encoded once while the memo of at most ``MEMO`` words lasts; it is kept with the loaded tokenizer in the
+    Python worker, so that the tasks of one worker share it.
+    """
 
     def __init__(self, path: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.end = Tokenizer.from_file(path), end_id.to_bytes(4, "little")
-        self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.memo) + len(words) > MEMO:
+        import tokenizers
+
+        shared = tokenizers.__dict__.setdefault("_corvida_encoders", {})
+        if path not in shared:
+            shared[path] = tokenizers.Tokenizer.from_file(path), {}
+        (self.model, self.memo), self.end = shared[path], end_id.to_bytes(4, "little")
+        ends = self.model.encode_batch_fast([".", "!", "?"], add_special_tokens=False)
+        self.stops = np.array([e.ids[-1] for e in ends], "<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        new = list({w for w in words if w not in self.memo})
+        if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-        new = [w for w in words if w not in self.memo]
+            new = list(set(words))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for w, e in zip(part, self.model.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: str | None) -> tuple[bytes, np.ndarray]:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        self.learn(set(words))
-        ids = list(map(self.memo.__getitem__, words))
-        stops = np.fromiter((w[-1] in b".!?" for w in words), bool, len(words))
-        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[stops] >> 2
-        return b"".join(ids) + self.end, ends
+            for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                self.memo[w] = array("I", e.ids).tobytes()
+
+    def cut(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if b"<|" not in raw:  # else lower case might make a special string
+            raw = _MARK.sub(rb"\1 \2", raw.lower())
+        return raw.split()
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
+        words, raws = [self.cut(t) for t in texts], [b""] * len(texts)
+        for _ in range(2):
+            new: list[bytes] = []
+            for k, mine in enumerate(words):
+                try:
+                    raws[k] = b"".join(map(self.memo.__getitem__, mine))
+                except KeyError:
+                    new += mine
+            if not new:
+                break
+            self.learn(new)
+        else:  # the memo was cleared in between
+            raws = [self._alone(mine) for mine in words]
+        out = []
+        for raw in raws:
+            ids = np.frombuffer(raw, "<u4")
+            out.append((raw + self.end, np.flatnonzero((ids == self.stops[0]) | (ids == self.stops[1]) | (ids == self.stops[2])) + 1))
+        return out
+
+    def _alone(self, words: list[bytes]) -> bytes:
+        self.learn(words)
+        return b"".join(map(self.memo.__getitem__, words))
 
 
 def _boundaries(n: int, stops: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,13 +190,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         held, tokens = [], 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw, stops = encode(text)
-                held.append((doc_id, raw, stops))
-                tokens += len(raw) >> 2
-                if tokens >= block:
-                    yield out(held)
-                    held, tokens = [], 0
+            for at in range(0, batch.num_rows, TURN):
+                turn = batch.slice(at, TURN)
+                for doc_id, (raw, stops) in zip(turn.column(0).to_pylist(), encode(turn.column(1).to_pylist())):
+                    held.append((doc_id, raw, stops))
+                    tokens += len(raw) >> 2
+                    if tokens >= block:
+                        yield out(held)
+                        held, tokens = [], 0
         if held:
             yield out(held)
 
