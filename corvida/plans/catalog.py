@@ -359,7 +359,7 @@ def q39_section_filter_topk(spark, folder):
 PICTURES = "(1, 'text [Рисунок 1: img_001.png] and [Рисунок 12: b.jpg]'), (2, 'none'), (3, '[Рисунок 2: c.png]')"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'img_001.png', 0), (1, 12, 'b.jpg', 1), (3, 2, 'c.png', 0)) v(id, number, image, "at")")
+@query("SELECT * FROM (VALUES (1, 1, 'img_001.png', 0), (1, 12, 'b.jpg', 1), (3, 2, 'c.png', 0)) v(id, number, image, \"at\")")
 def q40_marker_extract(spark, folder):
     return images.markers(values(spark, PICTURES, "id, text"), "id")
 
@@ -367,7 +367,7 @@ def q40_marker_extract(spark, folder):
 GROUPED = "(1, 'alpha words [Рисунок 1: a.png] [Рисунок 2: b.png] middle text [Рисунок 3: c.png]'), (2, '[Рисунок 4: d.png] x [Рисунок 5: e.png]')"
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a.png', 1), (1, 1, 'b.png', 1), (1, 2, 'c.png', 2), (2, 0, 'd.png', 1), (2, 1, 'e.png', 1)) v(id, "at", image, grp)")
+@query("SELECT * FROM (VALUES (1, 0, 'a.png', 1), (1, 1, 'b.png', 1), (1, 2, 'c.png', 2), (2, 0, 'd.png', 1), (2, 1, 'e.png', 1)) v(id, \"at\", image, grp)")
 def q41_marker_groups(spark, folder):
     rows = values(spark, GROUPED, "id, text")
     before = rows.select("id", F.posexplode(F.split("text", T.MARKER.replace("(", "(?:"), -1)).alias("at", "before"))
