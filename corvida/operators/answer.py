@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corvida.functions import text as T
 
@@ -125,11 +126,11 @@ def to_html(answer: str, image_urls: list[str], downloads: list[tuple[str, str]]
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><style>{_STYLE}</style></head><body>' + "\n".join(body) + "</body></html>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: names are parsed by a session
 def attach_images(answer: pd.Series, chunks: pd.Series, markers: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series([a if a is None else with_images(a, list(c), dict(zip(m, u))) for a, c, m, u in zip(answer, chunks, markers, urls)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type, not its name: names are parsed by a session
 def answer_html(answer: pd.Series, images: pd.Series, names: pd.Series, urls: pd.Series) -> pd.Series:
     return pd.Series([a if a is None else to_html(a, list(i), list(zip(n, u))) for a, i, n, u in zip(answer, images, names, urls)])
