@@ -248,7 +248,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         def one(_, text):
             words = words_of(text)
-            return _decoded(words), len(words) + 1, 0, tree.gain(numbered(words, number))
+            return Counter(words), len(words) + 1, 0, tree.gain(numbered(words, number))
 
         return one
 
@@ -262,10 +262,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return sums.select("doc_id", (remainder == 2).alias("held_out"), F.col("a").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
-def _decoded(words: list[bytes]) -> Counter:
-    return Counter({w.decode("utf-8", "replace"): k for w, k in Counter(words).items()})
-
-
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``, learning from those whose crc32 remainder is not 2."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -17,9 +17,11 @@ read. Special strings inside texts are plain text, as is the library's default.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 LIMIT = 4096
 
-_BLOCK_DDL = "term string, weight long, rows array<long>, times array<int>, doc_ids array<{id}>, facts array<struct<a:long,b:long,c:double>>"
+_BLOCK_DDL = "term string, weight long, rows array<long>, times array<int>, doc_ids array<{id}>, a array<long>, b array<long>, c array<double>"
 
 
 def term_blocks(docs: DataFrame, terms_of: Callable[[], Callable[[object, str | None], tuple[Counter, int, int, float]]]) -> DataFrame:
@@ -43,33 +45,45 @@ def term_blocks(docs: DataFrame, terms_of: Callable[[], Callable[[object, str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        schema = pa.schema([("term", pa.string()), ("weight", pa.int64()), ("rows", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("doc_ids", pa.list_(to_arrow_type(id_type))), ("facts", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("c", pa.float64())])))])
+        schema = pa.schema([("term", pa.string()), ("weight", pa.int64()), ("rows", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("doc_ids", pa.list_(to_arrow_type(id_type))), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("c", pa.list_(pa.float64()))])
         terms, part, row, block = terms_of(), TaskContext.get().partitionId() << 33, 0, 0
 
         def out() -> pa.RecordBatch:
             nonlocal block
             block += 1
-            keys = list(index)
-            n = len(keys)
-            columns = [[*("t" + k for k in keys), f"m{part + block}"], [*weights.values(), None], [*(r for r, _ in index.values()), ids[0]], [*(c for _, c in index.values()), None], [None] * n + [ids[1]], [None] * n + [ids[2]]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        index, weights, ids, held = defaultdict(lambda: ([], [])), defaultdict(int), ([], [], []), 0
+            codes, keys = pd.factorize(np.array(found, dtype=object)) if found else (np.zeros(0, np.int64), [])
+            order = np.argsort(codes, kind="stable")
+            n, per_row = len(keys), np.array(distinct, np.int64)
+            times_ = np.array(times, np.int64)
+            weights = np.bincount(codes, times_ * np.repeat(np.array(marks, np.int64), per_row), n).astype(np.int64)
+            ids = part + row - len(distinct) + np.arange(len(distinct))
+            # one list per term, then the block's own: its documents, for their facts
+            ends = np.r_[0, np.cumsum(np.bincount(codes, minlength=n)), len(codes) + len(ids)].astype(np.int32)
+            no_times, own = np.r_[ends[:-1], ends[-2]].astype(np.int32), pa.array([None] * n + [doc_ids], schema.field("doc_ids").type)
+            columns = [
+                pa.array(["t" + k.decode("utf-8", "replace") for k in keys] + [f"m{part + block}"], pa.string()),
+                pa.array([*weights.tolist(), None], pa.int64()),
+                pa.ListArray.from_arrays(ends, np.r_[np.repeat(ids, per_row)[order], ids]),
+                pa.ListArray.from_arrays(no_times, times_[order].astype(np.int32)),
+                own,
+                *(pa.array([None] * n + [x], t.type) for x, t in zip((facts[0], marks, facts[1]), list(schema)[5:])),
+            ]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        found, times, distinct, doc_ids, marks, facts, held = [], [], [], [], [], ([], []), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts, a, b, c = terms(doc_id, text)
-                for term, k in counts.items():
-                    x = index[term]
-                    x[0].append(part + row)
-                    x[1].append(k)
-                    weights[term] += k * b
-                ids[0].append(part + row), ids[1].append(doc_id), ids[2].append({"a": a, "b": b, "c": c})
+                # as bytes: pandas would take strings for C strings, which end at a zero
+                found += [k if isinstance(k, bytes) else k.encode("utf-8", "surrogatepass") for k in counts]
+                times += counts.values()
+                distinct.append(len(counts)), doc_ids.append(doc_id), marks.append(b), facts[0].append(a), facts[1].append(c)
                 row += 1
                 held += len(text or "") + 64
                 if held >= BLOCK_BYTES:
                     yield out()
-                    index, weights, ids, held = defaultdict(lambda: ([], [])), defaultdict(int), ([], [], []), 0
-        if ids[0]:
+                    found, times, distinct, doc_ids, marks, facts, held = [], [], [], [], [], ([], []), 0
+        if distinct:
             yield out()
 
     return docs.mapInArrow(run, _BLOCK_DDL.format(id=id_type.simpleString()))
@@ -78,11 +92,12 @@ def term_blocks(docs: DataFrame, terms_of: Callable[[], Callable[[object, str |
 def summed(blocks: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
     """Per document doc_id, the facts a, b, c, and for each column of ``values`` (term, columns) its frequency-weighted sum."""
     joined = blocks.join(values, "term", "left")
-    flat = joined.select(F.posexplode("rows").alias("i", "row"), "times", "doc_ids", "facts", *columns)
-    at = lambda c: F.expr(f"get({c}, i)")
-    flat = flat.select("row", at("times").alias("k"), at("doc_ids").alias("doc_id"), at("facts").alias("fact"), *columns)
-    sums = [F.coalesce(F.sum(F.col("k") * F.col(c)), F.lit(0)).alias(c) for c in columns]
-    return flat.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("fact").alias("fact"), *sums).select("doc_id", "fact.a", "fact.b", "fact.c", *columns)
+    flat = joined.select(F.posexplode("rows").alias("i", "row"), "times", "doc_ids", "a", "b", "c", *columns)
+    at = lambda c: F.expr(f"get({c}, i)").alias(c)
+    flat = flat.select("row", *map(at, ("times", "doc_ids", "a", "b", "c")), *columns)
+    sums = [F.coalesce(F.sum(F.col("times") * F.col(c)), F.lit(0)).alias(c) for c in columns]
+    facts = [F.max(c).alias(c) for c in ("a", "b", "c")]  # each document's facts stand in one row
+    return flat.groupBy("row").agg(F.max("doc_ids").alias("doc_id"), *facts, *sums).select("doc_id", "a", "b", "c", *columns)
 
 
 def piece_model(path: str):
