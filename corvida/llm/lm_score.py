@@ -11,7 +11,7 @@ Scale. Counts cover all training documents. The tree is bounded by construction:
 from ``SHARE`` of all symbols on, so at most ``DEPTH`` + 1 times 1 / SHARE entries and as many contexts (150,000 each) ever reach the
 driver or a broadcast, whatever the corpus; and since an n-gram is no more frequent than its words, only n-grams of such
 words are counted. Word counts have no such bound: they meet the documents in a shuffled join of pre-aggregated blocks
-(``token_counts``), where the root's part of every score comes from.
+(``term_blocks``), where the root's part of every score comes from.
 
 Defined cases. Null or empty text: the end symbol only. A null doc_id counts as the empty text for the split, so it
 trains. Repeated rows are scored and counted each. With nothing to train on every count is 0. Other columns are not read.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.llm.common import mixed, stored
-from corvida.llm.token_counts import summed, term_blocks
+from corvida.llm.term_blocks import summed, term_blocks
 
 DEPTH = 2
 SHARE = 2e-5

@@ -139,6 +139,33 @@ def test_pre_tokens_add_up():
         assert sum(len(model.encode(p)) if p else lone for p in parts) == len(model.encode(t)), repr(t)
 
 
+def test_frequencies_round_trip():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        codes = np.sort(np.r_[np.arange(n), rng.integers(0, n, 60)])
+        docs = np.concatenate([np.arange((codes == k).sum()) for k in range(n)])
+        times = rng.choice([1, 1, 1, 2, 9, 65_535, 65_536, 200_000], len(codes))
+        row, doc, got = token_counts.unpacked_frequencies(token_counts.packed_frequencies(codes, docs, times))
+        total = Counter()
+        for r, d, t in zip(row.tolist(), doc.tolist(), got.tolist()):
+            total[r, d] += t
+        assert total == {(c, d): t for c, d, t in zip(codes.tolist(), docs.tolist(), times.tolist())}
+
+
+def test_token_counts_over_many_blocks(spark, small, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(token_counts, "BLOCK", 20_000)
+    monkeypatch.setattr(token_counts, "HOT", 3)
+    monkeypatch.setattr(token_counts, "PAIRS", 500)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = token_counts.piece_model(path)
+    want = sorted((r["doc_id"], len(model.encode(r["text"] or ""))) for r in docs.collect())
+    assert rows(token_counts.token_counts(docs.repartition(3), path), "doc_id", "n_tokens") == sorted(want, key=repr)
+
+
 # 5
 def topk_brute(vectors, every, k):
     good = {}
