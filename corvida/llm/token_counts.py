@@ -78,6 +78,11 @@ def _items(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], kind, int(ends[-1]))[ends[0] :], ends - ends[0]
 
 
+def _no_lists(n: int, kind: pa.ListType) -> pa.Array:
+    """Empty lists; null ones would cost Spark's Arrow writer a pass over the batch each."""
+    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind.value_type))
+
+
 def packed_frequencies(codes: np.ndarray, docs: np.ndarray, times: np.ndarray) -> pa.Array:
     """For each code (from 0, sorted, none missing) 16-bit numbers: how many documents have it more than once, those that have it once, then those others, each with its times."""
     if (times > MOST).any():  # as several entries
@@ -115,7 +120,7 @@ def unpacked_frequencies(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _blocks(cutter: Callable[[], Callable[[str], list[str]]], id_type: pa.DataType):
-    """(doc_id, text) to rows (term, block, entries) for pre-tokens and (term, block, doc_ids, n_bytes) for the block itself."""
+    """(doc_id, text) to rows (term, block, entries) for pre-tokens and (term, block, doc_ids, n_bytes), entries null, for the block itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, part, block = cutter(), TaskContext.get().partitionId(), 0
@@ -130,10 +135,9 @@ def _blocks(cutter: Callable[[], Callable[[str], list[str]]], id_type: pa.DataTy
             held = np.bincount(codes, minlength=n).tolist()
             terms = [("t" if k <= HOT else f"h{salt:x}") + t for t, k in zip(number, held)]
             entries = packed_frequencies(codes, keys[first] & MOST, np.diff(np.r_[first, len(keys)])) if n else pa.array([], pa.binary())
-            none = lambda t: pa.nulls(n, t)
             both = lambda a, x: pa.concat_arrays([a, x])
             ids, sizes = pa.list_(id_type), pa.list_(pa.int64())
-            columns = [pa.array([*terms, f"m{mine}"], pa.string()), pa.array(np.full(n + 1, mine)), both(entries, pa.nulls(1, pa.binary())), both(none(ids), pa.array([doc_ids], ids)), both(none(sizes), pa.array([n_bytes], sizes))]
+            columns = [pa.array([*terms, f"m{mine}"], pa.string()), pa.array(np.full(n + 1, mine)), both(entries, pa.nulls(1, pa.binary())), both(_no_lists(n, ids), pa.array([doc_ids], ids)), both(_no_lists(n, sizes), pa.array([n_bytes], sizes))]
             return pa.RecordBatch.from_arrays(columns, names=["term", "block", "entries", "doc_ids", "n_bytes"])
 
         def fresh():
@@ -176,10 +180,10 @@ def _joined(counter: Callable[[], Callable[[list[str]], list[int]]], id_type: pa
             block = key >> 16
             begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             ends, n = np.r_[begin, len(key)], len(begin)
-            return pa.RecordBatch.from_arrays([pa.array(block[begin]), _binary((key & MOST).astype("<u2"), ends), _binary(sums.astype("<u4"), ends), pa.nulls(n, ids), pa.nulls(n, sizes)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(block[begin]), _binary((key & MOST).astype("<u2"), ends), _binary(sums.astype("<u4"), ends), _no_lists(n, ids), _no_lists(n, sizes)], names=names)
 
         for batch in batches:
-            own = batch.column("doc_ids").is_valid()
+            own = batch.column("entries").is_null()
             if (facts := batch.filter(own)).num_rows:
                 n = facts.num_rows
                 yield pa.RecordBatch.from_arrays([facts.column("block"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), facts.column("doc_ids").cast(ids), facts.column("n_bytes").cast(sizes)], names=names)
@@ -220,7 +224,7 @@ def _totals(id_type: pa.DataType):
                         yield out()
                         total[:] = 0
                     current = block.as_py()
-                if doc_ids.is_valid:
+                if not docs.is_valid:
                     facts = doc_ids.as_py(), n_bytes.as_py()
                 else:
                     total[np.frombuffer(docs.as_py(), "<u2")] += np.frombuffer(sums.as_py(), "<u4")
