@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID, GRID, BLOCK = 4096, 2, 64, 1 << 20
 CUT_SENTENCE, CUT_WORD = 2.0, 8.0
-MEMO, TURN = 1_000_000, 32
+MEMO, TURN, JOINED = 1_000_000, 32, 64
 
 
 def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -78,14 +78,14 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     return sorted(out)
 
 
-#: A letter, a mark and a word's end: the mark is a pre-token of its own, so the word may be cut there.
-_MARK = re.compile(rb"([a-z])([.,!?;:]+)(?=[\x20\x09-\x0D]|\Z)")
+#: A letter (ASCII or Latin-1), marks and a word's end: the marks are a pre-token of their own, so the word may be cut there.
+_MARK = re.compile(rb"([a-z]|\xc3[\xa0-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes, with its sentence ends.
+    """Ids of a text as little-endian bytes.
 
-    Words are encoded once while the memo of at most ``MEMO`` words lasts; it is kept with the loaded tokenizer in the
+    New words are encoded ``JOINED`` at a time, with a mark between them that is a pre-token of its own. Words are encoded once while the memo of at most ``MEMO`` words lasts; it is kept with the loaded tokenizer in the
     Python worker, so that the tasks of one worker share it.
     """
 
@@ -99,16 +99,25 @@ class Encoder:
         if path not in shared:
             shared[path] = tokenizers.Tokenizer.from_file(path), {}
         (self.model, self.memo), self.end = shared[path], end_id.to_bytes(4, "little")
-        ends = self.model.encode_batch_fast([".", "!", "?"], add_special_tokens=False)
-        self.stops = np.array([e.ids[-1] for e in ends], "<u4")
+        ids = [e.ids for e in self.model.encode_batch_fast([".", "!", "?", "|"], add_special_tokens=False)]
+        self.stops, self.bar = [i[-1] for i in ids[:3]], ids[3]
 
     def learn(self, words: list[bytes]) -> None:
         new = list({w for w in words if w not in self.memo})
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(set(words))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
+        plain = [w for w in new if b"|" not in w] if len(self.bar) == 1 else []
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            ids = np.array(self.model.encode_batch_fast([b" | ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+            bars, raw, begin = (np.flatnonzero(ids == self.bar[0]) * 4).tolist(), ids.tobytes(), 0
+            for w, end in zip(part, [*bars, len(raw)], strict=True):
+                self.memo[w] = raw[begin:end]
+                begin = end + 4
+        others = [w for w in new if b"|" in w] if len(self.bar) == 1 else new
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
             for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.memo[w] = array("I", e.ids).tobytes()
 
@@ -118,7 +127,7 @@ class Encoder:
             raw = _MARK.sub(rb"\1 \2", raw.lower())
         return raw.split()
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[bytes, np.ndarray]]:
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
         words, raws = [self.cut(t) for t in texts], [b""] * len(texts)
         for _ in range(2):
             new: list[bytes] = []
@@ -132,27 +141,27 @@ class Encoder:
             self.learn(new)
         else:  # the memo was cleared in between
             raws = [self._alone(mine) for mine in words]
-        out = []
-        for raw in raws:
-            ids = np.frombuffer(raw, "<u4")
-            out.append((raw + self.end, np.flatnonzero((ids == self.stops[0]) | (ids == self.stops[1]) | (ids == self.stops[2])) + 1))
-        return out
+        return [raw + self.end for raw in raws]
 
     def _alone(self, words: list[bytes]) -> bytes:
         self.learn(words)
         return b"".join(map(self.memo.__getitem__, words))
 
 
-def _boundaries(n: int, stops: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts within one document of n tokens, and their prices; the last is its end, which is free."""
-    soft = np.unique(np.r_[stops[(stops > 0) & (stops < n)], n])
-    gaps = np.diff(np.r_[0, soft])
-    hard = [np.arange(e - g + grid, e, grid) for e, g in zip(soft[gaps > grid], gaps[gaps > grid])]
-    cuts = np.r_[soft, np.concatenate(hard)] if hard else soft
-    price = np.r_[np.full(len(soft), CUT_SENTENCE), np.full(len(cuts) - len(soft), CUT_WORD)]
-    price[len(soft) - 1] = 0.0
-    order = np.argsort(cuts, kind="stable")
-    return cuts[order], price[order]
+def boundaries(ids: np.ndarray, doc_ends: np.ndarray, stops: list[int], grid: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts within the documents of a block, and their prices; those at documents' ends are free."""
+    stop = np.zeros(len(ids), bool)
+    for i in stops:
+        stop |= ids == i
+    kind = np.zeros(len(ids) + 1, np.uint8)
+    kind[1:][stop] = 2
+    kind[doc_ends] = 3
+    soft = np.flatnonzero(kind)
+    begins = np.r_[0, soft[:-1]]
+    more = (soft - begins - 1) // grid
+    kind[np.repeat(begins, more) + grid * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))] = 1
+    ends = np.flatnonzero(kind)
+    return ends, np.array([0.0, CUT_WORD, CUT_SENTENCE, 0.0])[kind[ends]]
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -164,18 +173,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         encode, part, sequence = Encoder(tokenizer, end_id), TaskContext.get().partitionId() << 40, 0
         kind = None
 
-        def out(held: list[tuple[object, bytes, np.ndarray]]) -> pa.RecordBatch:
+        def out(held: list[tuple[object, bytes]]) -> pa.RecordBatch:
             nonlocal sequence
-            cuts, prices, base = [], [], 0
-            sizes = [len(raw) >> 2 for _, raw, _ in held]
-            for n, (_, _, stops) in zip(sizes, held):
-                c, p = _boundaries(n, stops, GRID)
-                cuts.append(c + base), prices.append(p)
-                base += n
-            ends = np.concatenate(cuts)
-            stop = best_cuts(ends, np.concatenate(prices), window)
+            sizes = [len(raw) >> 2 for _, raw in held]
+            ends, prices = boundaries(np.frombuffer(b"".join(raw for _, raw in held), "<u4"), np.cumsum(sizes), encode.stops, GRID)
+            stop = best_cuts(ends, prices, window)
             rows, at, begin, k = [], 0, 0, 0
-            for (doc_id, raw, _), n in zip(held, sizes):
+            for (doc_id, raw), n in zip(held, sizes):
                 start = 0
                 while start < n:
                     length = min(n - start, stop[k] - at)
@@ -192,8 +196,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, TURN):
                 turn = batch.slice(at, TURN)
-                for doc_id, (raw, stops) in zip(turn.column(0).to_pylist(), encode(turn.column(1).to_pylist())):
-                    held.append((doc_id, raw, stops))
+                for doc_id, raw in zip(turn.column(0).to_pylist(), encode(turn.column(1).to_pylist())):
+                    held.append((doc_id, raw))
                     tokens += len(raw) >> 2
                     if tokens >= block:
                         yield out(held)

@@ -352,6 +352,19 @@ def test_packing(docs):
     assert padding <= 0.02 * tokens
 
 
+def test_encoder_on_odd_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encode = Tokenizer.from_file(path), packing.Encoder(path, 2)
+    rng = np.random.default_rng(6)
+    bits = ["a", "É", "é", "×", "÷", "ÿ", "'", "'s", "|", "||", "<", "<|endoftext|>", ".", ",%%%", "&&&", "…", " ", "  ", "\n", "\u0301", "\u0338", "\x1c", "\x85", "\u00a0", "7", "日", "I", "İ", "ß", "_", "=", "~", "`"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 25))) for _ in range(4000)]
+    for t, raw in zip(texts, encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == [*model.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
 def test_cuts_are_optimal():
     pad = lambda n: 0 if n & (n - 1) == 0 else 12 - n
     rng = np.random.default_rng(2)
