@@ -157,7 +157,9 @@ class FingerprintIndex:
 
     def add(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Match a batch with history and itself, then keep it as a run. Returns (shared fp), (recurring fp, stretch)."""
-        batch = stored(postings.groupBy("fp", "stretch").agg(F.count("*").alias("occurrences")), "fp-batch")
+        path = scratch(self.spark, "fp-batch")
+        postings.groupBy("fp", "stretch").agg(F.count("*").alias("occurrences")).write.parquet(path)
+        batch = self.spark.read.schema("fp long, stretch long, occurrences long").parquet(path)
         shared = batch.groupBy("fp").agg(F.sum("occurrences").alias("k")).where("k > 1").select("fp")
         whole = batch.where("occurrences > 1").select("fp", "stretch")
         if (old := self.history()) is not None:
@@ -165,6 +167,7 @@ class FingerprintIndex:
             whole = whole.unionByName(batch.select("fp", "stretch").join(old.hint("merge"), ["fp", "stretch"], "left_semi"))
         shared, whole = stored(shared.distinct(), "fp-shared"), stored(whole.distinct(), "fp-whole")
         self._write(batch.select("fp", "stretch"), 0)
+        delete_path(self.spark, path)  # all that is read later is stored
         self.compact()
         return shared, whole
 
