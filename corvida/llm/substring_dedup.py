@@ -5,15 +5,15 @@ starts anywhere else, in the same document or another.
 
 Method. Each window is represented by its smallest hash among its ``GRAM``-word sub-windows (a minimiser): equal
 windows have equal minimisers, and one minimiser stands for a *stretch* of up to ``WINDOW - GRAM + 1`` consecutive
-windows, so the index has about a twelfth as many entries as there are windows. An entry is (fingerprint, hash of the
-whole stretch, occurrences). The index is a log-structured set of immutable Parquet runs, each sorted by fingerprint.
-Each new batch is aggregated, sorted, merge-joined with the runs of history, added as a new run, and runs of the same
-level are compacted two by two. What the joins bring up is verified: stretches whose whole word sequence recurs are
-settled by (fingerprint, stretch hash); the others are opened and their windows compared one by one by
-(fingerprint, window hash), 128 bits in all.
+windows, so the index has about a twelfth as many entries as there are windows. The index is a log-structured set of
+immutable Parquet runs of fingerprints, each bucketed and sorted by fingerprint. Each new batch is aggregated, sorted,
+merge-joined with the runs of history, added as a new run, and runs of the same level are compacted two by two. What
+the joins bring up is verified: stretches whose whole word sequence recurs are settled by (fingerprint, hash of the
+whole stretch); the others are opened and their windows compared one by one by (fingerprint, window hash), 128 bits in all.
 
-Scale. Nothing is broadcast or collected. Entries are pre-aggregated by (fingerprint, stretch hash), so a passage that
-fills a third of all rows is one entry; joins back to documents are plain equi-joins that adaptive execution splits.
+Scale. Nothing is broadcast or collected. Entries are pre-aggregated by fingerprint, so a passage that fills a third
+of all rows is one entry; runs share their buckets, so history is never shuffled again; joins back to documents are
+plain equi-joins that adaptive execution splits. Shuffle files of a step go when it ends.
 
 Defined cases. Null and empty texts have no words. Fewer than 35 words: nothing goes. Repeated rows are documents like
 any other, so each is the other's copy. A null doc_id is kept as null. Empty input gives an empty result. Only the id
@@ -23,6 +23,7 @@ and text columns are read, so extra columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm.common import delete_path, mixed, rolled, row_key, scratch, sliding_min, stored
+from corvida.llm.common import delete_path, delete_table, mixed, rolled, row_key, scratch, shuffles_removed, sliding_min, stored
 
 WINDOW, GRAM = 35, 12
+#: Index entries per bucket, beyond which there are more buckets.
+BUCKET_ENTRIES = 4_000_000
 
 _POSTING = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("stretch", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 _POSTING_DDL = "key long, fp long, stretch long, start long, n int"
@@ -142,44 +145,54 @@ def _kept(window: int, with_text: bool):
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, stretch); ``runs`` has (level, path), oldest first."""
-
-    def __init__(self, spark: SparkSession, fan_in: int = 2):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
-
-    def history(self) -> DataFrame | None:
-        return self.spark.read.parquet(*[path for _, path in self.runs]) if self.runs else None
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = scratch(self.spark, f"fp-run-{level}")
-        rows.repartition("fp", "stretch").sortWithinPartitions("fp", "stretch").write.parquet(path)
-        self.runs.append((level, path))
-
-    def add(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Match a batch with history and itself, then keep it as a run. Returns (shared fp), (recurring fp, stretch)."""
-        path = scratch(self.spark, "fp-batch")
-        postings.groupBy("fp", "stretch").agg(F.count("*").alias("occurrences")).write.parquet(path)
-        batch = self.spark.read.schema("fp long, stretch long, occurrences long").parquet(path)
-        shared = batch.groupBy("fp").agg(F.sum("occurrences").alias("k")).where("k > 1").select("fp")
-        whole = batch.where("occurrences > 1").select("fp", "stretch")
-        if (old := self.history()) is not None:
-            shared = shared.unionByName(batch.select("fp").join(old.select("fp").hint("merge"), "fp", "left_semi"))
-            whole = whole.unionByName(batch.select("fp", "stretch").join(old.hint("merge"), ["fp", "stretch"], "left_semi"))
-        shared, whole = stored(shared.distinct(), "fp-shared"), stored(whole.distinct(), "fp-whole")
-        self._write(batch.select("fp", "stretch"), 0)
-        delete_path(self.spark, path)  # all that is read later is stored
+    """Sorted immutable runs of fingerprints; ``runs`` has (level, table), oldest first.
+
+    Every run is bucketed by ``fp`` into the same number of buckets, so matching and compaction merge bucket with
+    bucket and shuffle nothing of the history.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int, fan_in: int = 2):
+        self.spark, self.buckets, self.fan_in, self.runs, self._paths = spark, buckets, fan_in, [], {}
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        table, path = f"{name}_{uuid.uuid4().hex}", scratch(self.spark, name)
+        with shuffles_removed(self.spark):
+            rows.write.format("parquet").option("path", path).bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(table)
+        self._paths[table] = path
+        return table
+
+    def _delete(self, table: str) -> None:
+        self.spark.sql(f"drop table {table}")
+        delete_path(self.spark, self._paths.pop(table))
+
+    def add(self, postings: DataFrame) -> DataFrame:
+        """Match a batch's fingerprints with history and itself, then keep it as a run. Returns the shared ones (fp), stored."""
+        name = self._write(postings.groupBy("fp").agg((F.count("*") > 1).alias("again")), "fp_run")
+        batch = self.spark.table(name)
+        shared = batch.where("again").select("fp")
+        for _, run in self.runs:
+            shared = shared.unionByName(batch.select("fp").join(self.spark.table(run).select("fp").hint("merge"), "fp", "left_semi"))
+        shared = stored(shared, "fp-shared")
+        self.runs.append((0, name))
         self.compact()
-        return shared, whole
+        return shared
 
     def compact(self) -> None:
         """Merge the newest runs while ``fan_in`` of them have the same level."""
         while len(self.runs) >= self.fan_in and len({level for level, _ in self.runs[-self.fan_in :]}) == 1:
             old = self.runs[-self.fan_in :]
-            rows = self.spark.read.parquet(*[path for _, path in old]).distinct()
-            self.runs = self.runs[: -self.fan_in]
-            self._write(rows, old[0][0] + 1)
-            for _, path in old:
-                delete_path(self.spark, path)
+            first, *rest = [self.spark.table(run).select("fp") for _, run in old]
+            for other in rest:
+                first = first.join(other.hint("merge"), "fp", "full_outer")
+            self.runs = self.runs[: -self.fan_in] + [(old[0][0] + 1, self._write(first.withColumn("again", F.lit(False)), "fp_run"))]
+            for _, run in old:
+                self._delete(run)
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        for _, run in self.runs:
+            self._delete(run)
+        self.runs = []
 
 
 def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 4, with_text: bool = True) -> DataFrame:
@@ -189,25 +202,27 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     path = scratch(spark, "postings")
     docs.select("key", "text").mapInArrow(_postings(window, gram), _POSTING_DDL).withColumn("batch", F.expr(f"pmod(key, {batches})")).write.partitionBy("batch").parquet(path)
     postings = spark.read.schema(_POSTING_DDL + ", batch int").parquet(path)
-    index, shared, whole = FingerprintIndex(spark), [], []
-    for b in range(batches):
-        s, w = index.add(postings.where((F.col("batch") == b) & F.col("fp").isNotNull()).select("fp", "stretch"))
-        shared.append(s), whole.append(w)
-    for _, run in index.runs:
-        delete_path(spark, run)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = FingerprintIndex(spark, parts * max(1, -(-postings.count() // (parts * BUCKET_ENTRIES))))
+    shared = [index.add(postings.where((F.col("batch") == b) & F.col("fp").isNotNull()).select("fp")) for b in range(batches)]
+    index.drop()
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
-    shared, whole = union(shared).distinct(), union(whole).distinct().withColumn("recurs", F.lit(True))
-    found = postings.where("fp is not null").join(shared, "fp").join(whole, ["fp", "stretch"], "left").select("key", "fp", "stretch", "start", "n", "recurs")
-    found = stored(found, "fp-found")
-    settled = postings.where("fp is null").select("key", "start", "n").unionByName(found.where("recurs").select("key", "start", "n"))
+    own = postings.where("fp is null").select("key", "fp", "stretch", "start", "n")
+    found = stored(postings.where("fp is not null").join(union(shared).distinct(), "fp").select(*own.columns).unionByName(own), "fp-found")
+    delete_path(spark, path)  # all that is read later is stored
+    # stretches whose whole word sequence recurs are settled, as are the windows that recur in their own document
+    whole = found.where("fp is not null").groupBy("fp", "stretch").count().where("count > 1").select("fp", "stretch", F.lit(True).alias("recurs"))
+    found, unjudged = stored(found.join(whole, ["fp", "stretch"], "left"), "fp-judged"), found
+    delete_table(unjudged)
+    settled = found.where("fp is null or recurs").select("key", "start", "n")
     # of stretches that recur as a whole, one stands for all where the fingerprint has others too
-    others = found.where("recurs is null")
+    others = found.where("fp is not null and recurs is null")
     one = found.where("recurs").groupBy("fp", "stretch").agg(F.min(F.struct("key", "start", "n")).alias("x")).join(others.select("fp").distinct(), "fp", "left_semi").select("x.key", "fp", "x.start", "x.n")
     opens = others.select("key", "fp", "start", "n").unionByName(one).groupBy("key").agg(F.collect_list(F.struct("start", "n", "fp")).alias("opens"))
     windows = stored(docs.select("key", "text").join(opens, "key").select("key", "text", "opens").mapInArrow(_opened(window, gram), "key long, start long, fp long, hash long"), "fp-windows")
     twice = windows.groupBy("fp", "hash").count().where("count > 1").select("fp", "hash")
     settled = settled.unionByName(windows.join(twice, ["fp", "hash"]).select("key", "start", F.lit(1).alias("n")))
-    spans = settled.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = stored(settled.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "fp-spans")
     return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept(window, with_text), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
