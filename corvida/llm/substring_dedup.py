@@ -207,8 +207,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     shared = [index.add(postings.where((F.col("batch") == b) & F.col("fp").isNotNull()).select("fp")) for b in range(batches)]
     index.drop()
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    shared = stored(union(shared).distinct(), "fp-shared")  # a plain table, so that the join on a hot fingerprint can be split
     own = postings.where("fp is null").select("key", "fp", "stretch", "start", "n")
-    found = stored(postings.where("fp is not null").join(union(shared).distinct(), "fp").select(*own.columns).unionByName(own), "fp-found")
+    found = stored(postings.where("fp is not null").join(shared, "fp").select(*own.columns).unionByName(own), "fp-found")
     delete_path(spark, path)  # all that is read later is stored
     # stretches whose whole word sequence recurs are settled, as are the windows that recur in their own document
     whole = found.where("fp is not null").groupBy("fp", "stretch").count().where("count > 1").select("fp", "stretch", F.lit(True).alias("recurs"))
