@@ -212,7 +212,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     found = stored(postings.where("fp is not null").join(shared, "fp").select(*own.columns).unionByName(own), "fp-found")
     delete_path(spark, path)  # all that is read later is stored
     # stretches whose whole word sequence recurs are settled, as are the windows that recur in their own document
-    whole = found.where("fp is not null").groupBy("fp", "stretch").count().where("count > 1").select("fp", "stretch", F.lit(True).alias("recurs"))
+    whole = stored(found.where("fp is not null").groupBy("fp", "stretch").count().where("count > 1").select("fp", "stretch", F.lit(True).alias("recurs")), "fp-whole")
     found, unjudged = stored(found.join(whole, ["fp", "stretch"], "left"), "fp-judged"), found
     delete_table(unjudged)
     settled = found.where("fp is null or recurs").select("key", "start", "n")
