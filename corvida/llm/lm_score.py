@@ -1,17 +1,18 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Symbols are the training words (A-Z in lower case), one end symbol per document, and one symbol for all unknown words.
-A context of one or two symbols is a state of the tree if its share of the training symbols is at least ``SHARE`` and
-its next-symbol distribution differs from that of its longest proper suffix (a G test and a least divergence in nats); suffixes
+A context of one or two symbols is a state of the tree if it has entries (next symbols that follow it ``LEAST`` times or more)
+and its next-symbol distribution differs from that of its longest proper suffix (a G test and a least divergence in nats); suffixes
 of states are states. A state's distribution is smoothed towards its suffix state's with weight ``PRIOR``; the root discounts
 every word's count and gives what that frees to the unknown symbol. All distributions sum to one over the symbols. Each symbol
 is scored in the longest suffix of its history that is a state; a document's history begins with an end symbol.
 
-Scale. Counts cover all training documents. The tree is bounded by construction: a context or an entry (context and next symbol) is kept
-from ``SHARE`` of all symbols on, so at most ``DEPTH`` + 1 times 1 / SHARE entries and as many contexts (150,000 each) ever reach the
-driver or a broadcast, whatever the corpus; and since an n-gram is no more frequent than its words, only n-grams of such
-words are counted. Word counts have no such bound: they meet the documents in a shuffled join of pre-aggregated blocks
-(``term_blocks``), where the root's part of every score comes from.
+Scale. Counts cover all training documents, and ``LEAST`` is the same number for any corpus, so the tree grows with it. It is a
+table: n-grams are counted, tested and valued by shuffled joins. What a state or an entry adds to what its suffix says is
+one number per n-gram, so that a document's score is a sum over its words, its bigrams and its trigrams, which meet
+the table in joins of pre-aggregated blocks (words: ``term_blocks``). Bit filters of fixed size (``FILTER_BITS``)
+keep n-grams that cannot be in the table out of a shuffle; they never drop one that is, and only save less as they fill up.
+Words and n-grams are known by 64-bit hashes; word counts, by the words. ``grow`` builds the same tree in memory.
 
 Defined cases. Null or empty text: the end symbol only. A null doc_id counts as the empty text for the split, so it
 trains. Repeated rows are scored and counted each. With nothing to train on every count is 0. Other columns are not read.
@@ -26,17 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm.common import mixed, stored
+from corvida.llm.common import mixed, rolled, row_key, stored
 from corvida.llm.term_blocks import summed, term_blocks
 
 DEPTH = 2
-SHARE = 2e-5
+LEAST = 2
 MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 CHUNK = 4 << 20
-BITS = 17  # for a frequent word's number: 1 / SHARE is below 2**17
+BITS = 17  # for a word's number in ``grow``
+FILTER_BITS = 27
+END = 0x5851F42D4C957F2D  # the end symbol among the words' hashes
 
 
 def held_out(doc_id) -> bool:
@@ -182,47 +186,154 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(counts)
 
 
-def _ngram_counts(frequent):
+class _Hashes(dict):
+    """A word's hash: Spark's xxhash64 of its term."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(b"t" + word, 42)
+        return h
+
+
+def _symbols(words: list[bytes], hashes: _Hashes) -> np.ndarray:
+    out = np.empty(len(words) + 2, np.uint64)
+    out[0] = out[-1] = END
+    out[1:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return out
+
+
+def _gram_keys(*columns: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the columns of their symbols; ``rolled`` gives the same for a text's symbols."""
+    return rolled(np.stack(columns), len(columns))[0]
+
+
+def _with_keys(grams: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = frequent.value[0]
-        keys, counts, buffer, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_gram_keys(*columns).view(np.int64))], names=[*batch.schema.names, "gram"])
+
+    names = ", ".join(f"{c} {t}" for c, t in grams.dtypes)
+    return grams.mapInArrow(run, f"{names}, gram long")
 
-        def merge() -> None:
-            nonlocal keys, counts, held
-            k, c = np.unique(np.concatenate(buffer), return_counts=True)
-            buffer.clear()
-            held = 0
-            both = np.concatenate([keys, k])
-            order = np.argsort(both, kind="stable")
-            both = both[order]
-            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
-            keys, counts = both[first], np.add.reduceat(np.concatenate([counts, c])[order], first)
+
+def _filter(keys: DataFrame):
+    """A broadcast bit filter of the column ``k``: at most 2**FILTER_BITS / 64 rows reach the driver."""
+    slot = F.shiftrightunsigned("k", 64 - FILTER_BITS)
+    rows = keys.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    rows = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - FILTER_BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _ngram_counts(n: int, parts):
+    """Counts of the training texts' n-grams (columns w0, w1 ...) whose (n - 1)-grams may all be among ``parts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes, buffer, held = parts.value, _Hashes(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 18)].view(np.int64)), pa.array(counts[at : at + (1 << 18)])], names=["gram", "n"])
+            columns = [np.concatenate(x) for x in zip(*buffer)]
+            buffer.clear()
+            _, first, counts = np.unique(_gram_keys(*columns), return_index=True, return_counts=True)
+            for at in range(0, len(first), 1 << 18):
+                mine = first[at : at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[mine].view(np.int64)) for x in columns), pa.array(counts[at : at + (1 << 18)])], names=[*(f"w{i}" for i in range(n)), "n"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held_out(doc_id):
                     continue
-                numbers = numbered(words_of(text), number)
-                for n in range(2, DEPTH + 2):
-                    key, good = ngram_keys(numbers, n)
-                    buffer.append(key[good])
-                    held += len(buffer[-1])
+                seq = _symbols(words_of(text), hashes)
+                good = _maybe(bits, rolled(seq, n - 1))
+                at = np.flatnonzero(good[:-1] & good[1:])
+                if len(at):
+                    buffer.append([seq[at + i] for i in range(n)])
+                    held += len(at)
                 if held >= CHUNK:
-                    merge()
-                    if len(keys) > CHUNK:
-                        yield from out()
-                        keys, counts = keys[:0], counts[:0]
+                    yield from out()
+                    held = 0
         if buffer:
-            merge()
-        yield from out()
+            yield from out()
 
     return run
 
 
+def _gram_blocks(tree):
+    """Per block of documents the n-grams that may be in the tree, each with the rows where it stands, once a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes, keys, rows, held = tree.value, _Hashes(), [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, r = np.concatenate(keys), np.concatenate(rows)
+            keys.clear(), rows.clear()
+            order = np.argsort(k, kind="stable")
+            k, r = k[order], r[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            ends = np.r_[first, len(k)]
+            for at in range(0, len(first), 1 << 16):
+                mine = ends[at : at + (1 << 16) + 1]
+                lists = pa.ListArray.from_arrays((mine - mine[0]).astype(np.int32), r[mine[0] : mine[-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(k[mine[:-1]].view(np.int64)), lists], names=["gram", "rows"])
+
+        for batch in batches:
+            for text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seq = _symbols(words_of(text), hashes)
+                found = np.concatenate([rolled(seq, n) for n in range(2, DEPTH + 2)])
+                found = found[_maybe(bits, found)]
+                if len(found):
+                    keys.append(found), rows.append(np.full(len(found), row, np.int64))
+                    held += len(found)
+                if held >= CHUNK:
+                    yield from out()
+                    held = 0
+        if keys:
+            yield from out()
+
+    return run
+
+
+def _is_state(count: Column) -> Column:
+    free = F.greatest(F.col("entries") - 1, F.lit(1))
+    return (F.col("gain") >= MIN_DIVERGENCE) & (2 * count * F.col("gain") > free + 3 * F.sqrt(2.0 * free))
+
+
+def _tree(docs: DataFrame, words: DataFrame, total: int, discount: float) -> tuple[DataFrame, DataFrame]:
+    """The states of one symbol (w, back) and what each n-gram adds (gram, adds). ``words`` has w and c, the end included."""
+    count = lambda n, parts: stored(_with_keys(docs.mapInArrow(_ngram_counts(n, parts), ", ".join(f"w{i} long" for i in range(n)) + ", n long").groupBy(*(f"w{i}" for i in range(n))).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), n), f"lm-grams-{n}")
+    two = count(2, _filter(words.where(F.col("c") >= LEAST).select(F.col("w").alias("k"))))
+    three = count(3, _filter(two.select(F.col("gram").alias("k"))))
+    of = lambda df, **names: df.select(*[F.col(old).alias(new) for new, old in names.items()])
+    stats = lambda df, *by: df.groupBy(*by).agg(F.first("cc").alias("cc"), F.sum(F.col("n") / F.col("cc") * F.log(F.greatest(F.col("n") / F.col("cc") / F.col("parent"), F.lit(1e-12)))).alias("gain"), F.count("*").alias("entries"), F.sum("n").alias("kept"))
+    back = (F.col("cc") - F.col("kept") + PRIOR) / (F.col("cc") + PRIOR)
+
+    deep = three.join(of(two, w0="w0", w1="w1", cc="n"), ["w0", "w1"]).join(of(two, w1="w0", w2="w1", down="n"), ["w1", "w2"]).join(of(words, w1="w", c1="c"), "w1")
+    states2 = stats(deep.withColumn("parent", F.col("down") / F.col("c1")), "w0", "w1").where(_is_state(F.col("cc")))
+    states2 = stored(states2.select("w0", "w1", "cc", back.alias("back")), "lm-states-2")
+
+    entries = two.join(of(words, w0="w", cc="c"), "w0").join(of(words, w1="w", c1="c"), "w1").withColumn("parent", F.col("c1") / total)
+    states1 = stats(entries, "w0").join(states2.select(F.col("w1").alias("w0"), F.lit(True).alias("below")).distinct(), "w0", "left").where(_is_state(F.col("cc")) | F.col("below"))
+    states1 = stored(states1.select("w0", "cc", back.alias("back")), "lm-states-1")
+
+    # an entry's probability over the root's, and what that adds to the state's back-off
+    root = F.greatest(F.col("c1") - discount, F.lit(1e-9)) / total
+    known = two.join(states1, "w0").join(of(words, w1="w", c1="c"), "w1").select("w0", "w1", "gram", "back", root.alias("root"), (F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * root).alias("p"))
+    known = stored(known.select("w0", "w1", "gram", "root", "p", (F.log10(F.col("p") / F.col("root")) - F.log10("back")).alias("adds"), F.log10(F.col("p") / F.col("root")).alias("over")), "lm-entries-2")
+    backs = states2.join(two.select("w0", "w1", "gram"), ["w0", "w1"]).select("gram", F.log10("back").alias("adds"))
+    third = three.join(states2, ["w0", "w1"]).join(of(known, w1="w0", w2="w1", root="root", p="p", over="over"), ["w1", "w2"])
+    third = third.select("gram", (F.log10((F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * F.col("p")) / F.col("root")) - F.log10("back") - F.col("over")).alias("adds"))
+    adds = known.select("gram", "adds").unionByName(backs).unionByName(third).groupBy("gram").agg(F.sum("adds").alias("adds"))
+    return of(states1, w="w0", back="back"), stored(adds, "lm-tree")
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -232,33 +343,33 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n_words, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = docs.where(remainder != 2).count()
     n, v = n_words + ends, distinct + (ends > 0)
-    least = max(2, math.ceil(SHARE * n))
     discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.1))
 
-    top = counts.where(F.col("c") >= least).orderBy("term").collect()  # at most 1 / SHARE rows
-    number = {r["term"][1:].encode(): k for k, r in enumerate(top, 2)}
-    frequent = spark.sparkContext.broadcast((number,))
-    grams = docs.mapInArrow(_ngram_counts(frequent), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    pdf = grams.toPandas()  # at most DEPTH / SHARE rows
-    tree = grow(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), np.array([0, ends, *(r["c"] for r in top)], np.float64), n, discount)
-    model = spark.sparkContext.broadcast(tree.parts())  # arrays: executors need not know the class
+    end_of = spark.range(1 if ends else 0).select(F.lit(END).alias("w"), F.lit(ends).cast("long").alias("c"))
+    states, tree = _tree(docs, counts.select(F.xxhash64("term").alias("w"), "c").unionByName(end_of), max(n, 1), discount)
+    # equal texts share their row and so their sums
+    docs = docs.withColumn("row", row_key("text"))
+    blocks = docs.select("text", "row").mapInArrow(_gram_blocks(_filter(tree.select(F.col("gram").alias("k")))), "gram long, rows array<long>")
+    gains = blocks.join(tree, "gram").select(F.explode("rows").alias("row"), "adds").groupBy("row").agg(F.sum("adds").alias("adds"))
+    gains = gains.join(docs.groupBy("row").agg(F.count("*").alias("copies")), "row").select("row", (F.col("adds") / F.col("copies")).alias("gain"))
 
     def scored():
-        tree, number = SuffixTree.of(model.value), frequent.value[0]
-
         def one(_, text):
             words = words_of(text)
-            return Counter(words), len(words) + 1, 0, tree.gain(numbered(words, number))
+            return Counter(words), len(words) + 1, 0, 0.0
 
         return one
 
     # the root: discounted counts; what the discounts free is the unknown symbol's
     unknown = math.log10(discount * v / n) if n else 0.0
-    values = counts.select("term", F.log10(F.col("c") + 1).alias("lg"), (F.log10((F.col("c") - discount) / max(n, 1)) - unknown).alias("over"), F.lit(1).alias("known"))
-    sums = summed(term_blocks(docs, scored), values, ["lg", "over", "known"])
-    end = math.log10((ends - discount) / n) if ends else 0.0
+    over = F.log10((F.col("c") - discount) / max(n, 1)) - unknown + F.coalesce(F.log10("back"), F.lit(0.0))  # each word is a context once
+    values = counts.withColumn("w", F.xxhash64("term")).join(states, "w", "left").select("term", F.log10(F.col("c") + 1).alias("lg"), over.alias("over"), F.lit(1).alias("known"))
+    sums = summed(term_blocks(docs.select(F.struct("doc_id", "row").alias("doc_id"), "text"), scored), values, ["lg", "over", "known"])
+    sums = sums.select("doc_id.*", "a", "lg", "over", "known").join(gains, "row", "left")
+    start = states.where(F.col("w") == END).first()
+    end = (math.log10((ends - discount) / n) if ends else 0.0) + (math.log10(start["back"]) if start else 0.0)
     base = F.col("lg") + math.log10(ends + 1) - F.col("a") * math.log10(n + v + 1)
-    score = F.col("c") + F.col("over") + (F.col("a") - 1) * unknown + end
+    score = F.coalesce("gain", F.lit(0.0)) + F.col("over") + (F.col("a") - 1) * unknown + end
     return sums.select("doc_id", (remainder == 2).alias("held_out"), F.col("a").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 

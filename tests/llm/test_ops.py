@@ -112,6 +112,34 @@ def test_tree_sums_to_one():
     assert len(tree.h) > 200
 
 
+def test_tree_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(9)
+    text = [" ".join(f"w{i}" for i in rng.zipf(1.3, 1000) if i < 60_000) for _ in range(300)]
+    phrase = "rare words that keep their order"
+    texts = [(i, t + " " + phrase if i % 60 == 0 else t) for i, t in enumerate(text)] + [(1000 + i, f"w1 {phrase} w2") for i in range(30)]
+    texts += [(1000, texts[-1][1]), (2000, None), (2001, "")]
+    words = {d: lm_score.words_of(t) for d, t in texts}
+    train = [lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)]
+    counts = Counter(w for ws in train for w in ws)
+    number = {w: k for k, w in enumerate(sorted(w for w, c in counts.items() if c >= lm_score.LEAST), 2)}
+    grams = Counter()
+    for ws in train:
+        for n in (2, 3):
+            key, good = lm_score.ngram_keys(lm_score.numbered(ws, number), n)
+            grams.update(key[good].tolist())
+    total = sum(counts.values()) + len(train)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = min(0.95, max(0.1, once / (once + 2 * twice)))
+    keys = np.array([k for k, c in grams.items() if c >= lm_score.LEAST], np.uint64)
+    tree = lm_score.grow(keys, np.array([grams[int(k)] for k in keys]), np.array([0, len(train), *(counts[w] for w in number)], float), total, discount)
+    unknown = math.log10(discount * (len(counts) + 1) / total)
+    root = lambda ws: sum(math.log10((counts[w] - discount) / total) if w in counts else unknown for w in ws) + math.log10((len(train) - discount) / total)
+    got = lm_score.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert total > 200_000 and len(got) == len(texts)
+    for r in got:
+        assert r["score"] == pytest.approx(root(words[r["doc_id"]]) + tree.gain(lm_score.numbered(words[r["doc_id"]], number)), abs=1e-6)
+
+
 def test_scores_beat_the_base(spark, small):
     held = [r for r in lm_score.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
