@@ -76,7 +76,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     mixed = "translate(base64(unhex(x)), '=', '')"
     letters = "translate(concat(m, s), '0123456789abcdef', 'aeioustrnlhdmcpg')"
     number = "cast(conv(substr(m, 1, 4), 16, 10) as int)"
-    names = "element_at(array('token', 'secret', 'password', 'api_key', 'access_key', 'auth_token', 'apiKey', 'credential'), 1 + " + number + " % 8)"
+    names = "element_at(array('token', 'secret', 'password', 'api_key', 'access_key', 'auth_token', 'apiKey', 'credential', 'AWS_SECRET_ACCESS_KEY', 'github_access_token', 'production_db_password'), 1 + " + number + " % 11)"
     named = f"concat('then ', {names}, element_at(array(' = \"', '=\"', ': ', ' is '), 1 + int(conv(substr(m, 5, 2), 16, 10)) % 4))"
     plain = f"concat({word(9)}, ' ', {word(13)}, ', ')"
     harmless = "concat('see ', element_at(array('commit ', 'sha1: ', 'md5 ', 'digest = ', 'uuid ', 'checksum ', 'example '), 1 + " + number + " % 7))"
@@ -118,13 +118,14 @@ def _scored(docs: DataFrame, text_col: str, forest: list[str]) -> DataFrame:
     found = F.regexp_extract_all(F.col(text_col), F.lit(f"({_CANDIDATE})"), F.lit(1))
     rows = docs.withColumn("found", found)
     rows = rows.withColumn("gaps", F.when(F.size("found") > 0, F.split(F.col(text_col), _CANDIDATE, -1)))
-    # features over named fields: the candidate is x.v, what stands before it the end of x.gap
-    features = ", ".join(f"{sql.replace('(v', '(x.v').replace('when v', 'when x.v').replace('when b', 'when right(x.gap, 40)')} as {k}" for k, sql in FEATURES.items())
+    # features over named fields: the candidate is x.v, what stands before it x.b, across the candidates before
+    rows = rows.withColumn("pieces", F.expr("transform(found, (v, i) -> struct(v as v, get(gaps, i) as gap, right(concat(get(gaps, i), v), 40) as tail))"))
+    rows = rows.withColumn("pieces", F.expr("transform(pieces, (x, i) -> struct(x.v as v, x.gap as gap, right(concat(array_join(transform(slice(pieces, greatest(i - 38, 1), least(i, 39)), y -> y.tail), ''), x.gap), 40) as b))"))
+    features = ", ".join(f"{sql.replace('(v', '(x.v').replace('when v', 'when x.v').replace('when b', 'when x.b')} as {k}" for k, sql in FEATURES.items())
     votes = " + ".join(f"({tree})" for tree in forest)
-    zipped = "transform(found, (v, i) -> struct(v as v, get(gaps, i) as gap))"
-    judged = f"transform(transform({zipped}, x -> struct(x.v as v, x.gap as gap, {features})), f -> struct(f.gap as gap, f.v as v, ({votes}) / {len(forest)}D as p))"
+    judged = f"transform(transform(pieces, x -> struct(x.v as v, x.gap as gap, {features})), f -> struct(f.gap as gap, f.v as v, ({votes}) / {len(forest)}D as p))"
     rows = rows.withColumn("judged", F.expr(f"case when size(found) > 0 then {judged} end"))
-    return rows.withColumn("rest", F.element_at("gaps", -1)).drop("found", "gaps")
+    return rows.withColumn("rest", F.element_at("gaps", -1)).drop("found", "gaps", "pieces")
 
 
 def _kind(v: Column) -> Column:

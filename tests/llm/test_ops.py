@@ -349,6 +349,13 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_after_long_names(spark):
+    sha, md5 = hashlib.sha1(b"y").hexdigest(), hashlib.md5(b"y").hexdigest()
+    texts = [(1, f'AWS_SECRET_ACCESS_KEY = "{sha}"'), (2, f'github_access_token: "{md5}"'), (3, f"the repository_checksum_sha1: {sha}"), (4, f"averyveryverylongword commit {sha}")]
+    got = {(r["doc_id"], r["value"]) for r in secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(1, sha), (2, md5)}
+
+
 # 10
 def pack_checks(texts, got, window=4096):
     import public_tokenizers
