@@ -25,7 +25,13 @@ from pyspark.sql import functions as F
 
 FINDINGS, TREES, DEPTH, SEED = 4000, 15, 6, 11
 
-#: Candidate patterns by kind; an assignment's value is matched by the generic pattern.
+_NAMES = r"(?i:token|secret|passw(?:or)?d|passwd|passphrase|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer)"
+#: Where an assigned value begins. The first looks behind are short, since few places pass them.
+_ASSIGNED = r"(?<=[\x22'`:=>\s])(?<=[:=>]\s{0,8}[\x22'`]?)(?<=" + _NAMES + r"[\x22'\w-]{0,12}\s{0,8}(?:={1,3}|:=?|=>)\s{0,8}[\x22'`]?)"
+#: Kinds that stand out by what is before them.
+BY_PLACE = ("in_url", "quoted", "assigned", "generic")
+
+#: Candidate patterns by kind; a value assigned to a secret's name or in a URL may have any length and any characters.
 KINDS = {
     "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
@@ -34,11 +40,14 @@ KINDS = {
     "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----",
+    "in_url": r"(?<=:)(?<=://[^\s:/@]{0,255}:)[^\s/@\x22'`]+(?=@)",
+    "quoted": _ASSIGNED + r"(?<=\x22)[^\x22\n]+(?=\x22)|" + _ASSIGNED + r"(?<=')[^'\n]+(?=')",
+    "assigned": _ASSIGNED + r"(?<![\x22'`])[^\s\x22'`,;=:(){}<>\[\]][^\s\x22'`,;(){}<>\[\]]*",
     "generic": r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{16,}={0,2}",
 }
 #: Fragments that words are made of.
 COMMON = "able about access action after again and are bench before check class client code common config connect content count create data date default develop digest doc east edit email end error event example file filter for from function group handle have head home host html image index info ing input instance item key language last level library license line link list local main make manage message method model module name network new next node not number object open option order output package page param part path person place point port process product project property public query read record request response result return room run sample script search section server service session setting source state string style system table template test text that the this time tion title tool type under update user value version view water web where with word work world write".split()
-BEFORE = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer)[\x22'\w-]{0,12}\s*(?:[:=]|=>|is)?\s*[\x22'`]?$"
+BEFORE = rf"(?i)(?:{_NAMES}[\x22'\w-]{{0,12}}\s*(?:={{1,3}}|:=?|=>|is)?\s*[\x22'`]?|://[^\s:/@]*:)$"
 HARMLESS = r"(?i)(?:example|sample|dummy|commit|revision|sha-?\d*|md5|digest|checksum|hash|uuid|guid|etag|version|path|file|url|src|href)[\x22'\w-]{0,12}\s*[:=]?\s*[\x22'`]?$"
 
 
@@ -63,7 +72,7 @@ FEATURES = {
     "vowels": _share("[^aeiouyAEIOUY]"),
     "dictionary": "1 - " + _share(f"(?i){_WORDS}"),
     "path": r"""double(regexp_count(v, r'[/]|\.[A-Za-z]{2,4}\b')) / length(v)""",
-    "known": "case when v rlike r\"^(?:" + "|".join(x for k, x in KINDS.items() if k != "generic") + ")\" then 1D else 0D end",
+    "known": "case when v rlike r\"^(?:" + "|".join(x for k, x in KINDS.items() if k not in BY_PLACE) + ")\" then 1D else 0D end",
     "named": f"case when b rlike r\"{BEFORE}\" then 1D else 0D end",
     "harmless": f"case when b rlike r\"{HARMLESS}\" then 1D else 0D end",
 }
@@ -83,6 +92,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     cases = (
         ("s", named, 1), ("upper(s)", f"upper({named})", 1), ("m", named, 1), (f"substr({mixed}, 1, 24 + {number} % 16)", named, 1), (f"concat('AKIA', upper(substr({letters}, 1, 10)), '234567')", plain, 1),
         (f"concat('ghp_', substr(translate({mixed}, '+/', 'aB'), 1, 36))", plain, 1), (f"concat('sk_live_', substr(translate({mixed}, '+/', 'aB'), 1, 24))", named, 1), (f"substr({mixed}, 1, 40)", plain, 1),
+        (f"concat({word(1)}, substr({number}, 1, 1 + {number} % 3), '-', {word(5)})", named, 1), (f"concat(substr({mixed}, 1, 4 + {number} % 9), element_at(array('!', '&', '$', '#', '%'), 1 + {number} % 5), substr({mixed}, 20, 1 + {number} % 4))", named, 1), (f"concat(substr({letters}, 1, 1 + {number} % 6), substr({number}, 1, 2), substr(s, 1, 3))", "concat('postgres://', " + word(9) + ", ':')", 1),
+        (word(1), named, 0), (f"concat({word(1)}, element_at(array('.', '_', ' '), 1 + {number} % 3), {word(5)})", named, 0), ("element_at(array('None', 'null', 'true', 'required', 'string', '********', 'str', 'optional', '...', '1', '0', '-'), 1 + " + number + " % 12)", named, 0),
         ("s", harmless, 0), ("m", f"concat({harmless}, '')", 0), ("s", plain, 0), ("concat(substr(m, 1, 8), '-', substr(m, 9, 4), '-4', substr(m, 13, 3), '-a', substr(m, 16, 3), '-', substr(s, 1, 12))", plain, 0),
         (f"concat({word(1)}, {word(5)}, {word(17)}, {word(21)}, {word(25)})", plain, 0), (f"substr({letters}, 1, 16 + {number} % 12)", plain, 0), (f"concat('/', {word(1)}, '/', {word(5)}, '/', {word(17)}, '.py')", plain, 0),
         (f"concat({word(1)}, '_', {word(5)}, '_', {word(17)}, '_', {word(21)})", named, 0), (f"concat('www.', {word(1)}, '.', {word(5)}, '.example.com/', {word(17)})", plain, 0), (f"substr(upper({letters}), 1, 16 + {number} % 12)", f"upper({plain})", 0),
@@ -130,7 +141,7 @@ def _scored(docs: DataFrame, text_col: str, forest: list[str]) -> DataFrame:
 
 def _kind(v: Column) -> Column:
     out = F.lit("generic")
-    for kind, pattern in reversed([x for x in KINDS.items() if x[0] != "generic"]):
+    for kind, pattern in reversed([x for x in KINDS.items() if x[0] not in BY_PLACE]):
         out = F.when(v.rlike(f"^(?:{pattern})"), kind).otherwise(out)
     return out
 

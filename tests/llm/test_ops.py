@@ -349,6 +349,12 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_of_any_length_and_marks(spark):
+    texts = [(1, 'password = "hunter2-prod"'), (2, "pwd: Tr0ub4dor&3!x"), (3, "postgres://user:s3cret@host/db"), (4, "the password: required"), (5, "token = None"), (6, "plain words: nothing at all")]
+    got = {(r["doc_id"], r["value"]) for r in secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(1, "hunter2-prod"), (2, "Tr0ub4dor&3!x"), (3, "s3cret")}
+
+
 def test_secrets_after_long_names(spark):
     sha, md5 = hashlib.sha1(b"y").hexdigest(), hashlib.md5(b"y").hexdigest()
     texts = [(1, f'AWS_SECRET_ACCESS_KEY = "{sha}"'), (2, f'github_access_token: "{md5}"'), (3, f"the repository_checksum_sha1: {sha}"), (4, f"averyveryverylongword commit {sha}")]
