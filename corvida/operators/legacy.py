@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import text as T
 from corvida.functions.vector import inner_product, norm
+from corvida.operators.search import every_pair
 
 SCAN_LIMIT = 500  # a feature of the profile: keywords are sought in the first rows only
 
@@ -16,7 +17,7 @@ def cosine_topk(chunks: DataFrame, questions: DataFrame, section: str | None = N
     """(query_id, rank, id, similarity, gate) by cosine; the section is filtered before scoring."""
     rows = chunks.where("embedding is not null")
     rows = rows if section is None else rows.where(F.col("section") == section)
-    scored = rows.crossJoin(F.broadcast(questions.select("query_id", "query_vector", "k").limit(1000)))
+    scored = every_pair(rows, questions.select("query_id", "query_vector", "k"))
     sim = F.try_divide(inner_product(F.col("embedding"), F.col("query_vector")), norm(F.col("embedding")) * norm(F.col("query_vector")))
     order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "ord")
     ranked = scored.withColumn("similarity", sim).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))

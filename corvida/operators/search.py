@@ -26,12 +26,17 @@ def ranked(rows: DataFrame, score: str, limit: Column, rank: str) -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < limit)
 
 
-def vector_topk(chunks: DataFrame, questions: DataFrame, limit: Column) -> DataFrame:
-    """(query_id, id, ord, sim, v_rank). The questions are a batch of at most ``SMALL_BATCH`` (checked), sent to all tasks."""
+def every_pair(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Each row with each question. Up to ``SMALL_BATCH`` questions are sent to all tasks; of more, each block meets each block of rows."""
     if questions.limit(SMALL_BATCH + 1).count() > SMALL_BATCH:
-        raise ValueError(f"ask at most {SMALL_BATCH} questions at once; larger sets are searched in blocks")
+        return rows.hint("shuffle_replicate_nl").crossJoin(questions)
+    return rows.crossJoin(F.broadcast(questions))
+
+
+def vector_topk(chunks: DataFrame, questions: DataFrame, limit: Column) -> DataFrame:
+    """(query_id, id, ord, sim, v_rank)."""
     asked = questions.where("query_vector is not null")
-    scored = chunks.where("embedding is not null").select("id", "ord", "embedding").crossJoin(F.broadcast(asked))
+    scored = every_pair(chunks.where("embedding is not null").select("id", "ord", "embedding"), asked)
     scored = scored.where(F.size("embedding") == F.size("query_vector"))
     return ranked(scored.withColumn("sim", inner_product(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector"), "sim", limit, "v_rank")
 

@@ -73,6 +73,15 @@ def test_fusion(spark):
     assert order(["a"], ["b"], 1.0) == ["b", "a"]
 
 
+def test_more_questions_than_a_batch(spark):
+    from corvida.operators import legacy
+
+    chunks = spark.createDataFrame([(f"c{i}", i, [float(i == j) for j in range(3)]) for i in range(3)], "id string, ord long, embedding array<double>")
+    questions = spark.range(1200).select(F.col("id").alias("query_id"), F.array(*[(F.col("id") % 3 == j).cast("double") for j in range(3)]).alias("query_vector"), F.lit(1).alias("k"))
+    for found in (search.vector_topk(chunks, questions, F.lit(1)), legacy.cosine_topk(chunks, questions)):
+        assert sorted((r["query_id"], r["id"]) for r in found.collect()) == [(i, f"c{i % 3}") for i in range(1200)]
+
+
 def test_context(spark):
     chunks = spark.createDataFrame([("f", i, f"f{i}") for i in (0, 1, 3, 4, 5, 6)] + [("g", i, f"g{i}") for i in (1, 2, 3)], "filename string, chunk_index int, text string")
     hits = spark.createDataFrame([(0, "f", 5, 1), (0, "g", 2, 2)], "query_id int, filename string, chunk_index int, rank int")
