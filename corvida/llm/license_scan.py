@@ -1,7 +1,7 @@
 """License scans with a positional index of rare licence words.
 
 The index has, for every notice of ``TEMPLATES``, its ``ANCHORS`` words of highest inverse document frequency (measured
-over all documents) with their positions in it. A file's own highest-IDF licence words are looked up with their
+over all documents) and the ``AGREEING`` such words of its key phrase, with their positions, so that a phrase that stands verbatim is always verified. A file's own highest-IDF licence words are looked up with their
 positions; positions minus template positions that agree mark a place where the template may stand; a place where
 enough anchors agree is verified by the template's mandatory key phrase, word by word at its relative position.
 
@@ -54,17 +54,23 @@ def _quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(words))
 
 
+def _phrase_place(text: list[str], phrase: list[str]) -> int:
+    return next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
+
+
 def template_index(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, anchors: int = ANCHORS) -> dict[str, list[tuple[str, int, float]]]:
     """Per template its anchors (word, position, idf), rarest first. ``docs`` has ``words``; at most one row per template word is collected."""
     vocabulary = {w for text, _ in templates.values() for w in text.split()}
     found = docs.select(F.explode(F.array_distinct(F.expr(f"filter(words, w -> w in ({_quoted(vocabulary)}))"))).alias("w")).groupBy("w").count()
     df, n = {r[0]: r[1] for r in found.collect()}, docs.count()
-    idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}
+    idf = {w: 1 + math.log((n + 1) / (df.get(w, 0) + 1)) for w in vocabulary}  # never 0
     out = {}
-    for label, (text, _) in templates.items():
-        words = text.split()
-        first = {w: words.index(w) for w in words}
-        out[label] = [(w, first[w], idf[w]) for w in sorted(first, key=lambda w: (-idf[w], w))[:anchors]]
+    for label, (text, phrase) in templates.items():
+        words, phrase = text.split(), phrase.split()
+        at = _phrase_place(words, phrase)
+        first = {w: words.index(w) for w in words} | {w: at + phrase.index(w) for w in phrase}
+        rarest = lambda ws, k: sorted(set(ws), key=lambda w: (-idf[w], w))[:k]
+        out[label] = [(w, first[w], idf[w]) for w in rarest(rarest(words, anchors) + rarest(phrase, AGREEING), None)]
     return out
 
 
@@ -73,18 +79,18 @@ def _sequence_at(start: str, words) -> str:
 
 
 def _coverage(label: str, anchors: list[tuple[str, int, float]], templates: dict[str, tuple[str, str]]) -> str:
-    """SQL: the best share of the anchors' idf that agrees on a verified place of one template; 0 if there is none.
+    """SQL: the best share of the anchors' idf that agrees on a verified place of one template; null if there is none.
 
     ``hits`` are the file's licence words of the index with their positions. Equal offsets are runs after sorting.
     """
     text, phrase = (x.split() for x in templates[label])
-    at = next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
+    at = _phrase_place(text, phrase)
     lookups = ", ".join(f"case when h.w = '{w}' then struct(h.i - {p} as o, {idf:.6f}D as v) end" for w, p, idf in anchors)
     offsets = f"array_sort(flatten(transform(hits, h -> array_compact(array({lookups})))))"
     verified = f"acc.o = x.o and acc.k + 1 >= {AGREEING} and {_sequence_at(f'x.o + {at}', phrase)}"
-    step = f"struct(x.o as o, case when acc.o = x.o then acc.k + 1 else 1 end as k, case when acc.o = x.o then acc.v + x.v else x.v end as v, case when {verified} then greatest(acc.best, acc.v + x.v) else acc.best end as best)"
+    step = f"struct(x.o as o, case when acc.o = x.o then acc.k + 1 else 1 end as k, case when acc.o = x.o then acc.v + x.v else x.v end as v, case when {verified} then greatest(coalesce(acc.best, 0D), acc.v + x.v) else acc.best end as best)"
     total = sum(v for _, _, v in anchors) or 1.0
-    return f"least(1D, aggregate({offsets}, struct(int(null) as o, 0 as k, 0D as v, 0D as best), (acc, x) -> {step}).best / {total:.6f}D)"
+    return f"transform(array(aggregate({offsets}, struct(int(null) as o, 0 as k, 0D as v, double(null) as best), (acc, x) -> {step}).best), b -> case when b is not null then least(1D, b / {total:.6f}D) end)[0]"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, anchors: int = ANCHORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +104,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPL
     # most files have no hit at all, and are done without any of this
     found = found.withColumn("places", F.expr(f"case when size(hits) > 0 then concat({base}) end"))
     covered = ", ".join(f"struct('{label}' as label, {_coverage(label, rows, templates)} as share)" for label, rows in sorted(index.items()))
-    found = found.withColumn("covered", F.expr(f"case when size(hits) > 1 then filter(array({covered}), c -> c.share > 0) end"))
+    found = found.withColumn("covered", F.expr(f"case when size(hits) > 1 then filter(array({covered}), c -> c.share is not null) end"))
     labels = lambda *parts: F.expr(f"array_join(array_sort(array_distinct(concat({', '.join(parts)}))), ',')")
     of_base, of_method = "coalesce(transform(places, p -> p.label), array())", "coalesce(transform(covered, c -> c.label), array())"
     return found.select(

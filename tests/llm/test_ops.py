@@ -239,6 +239,13 @@ def test_license_scan(docs):
     assert not got.where("score < 0 or score > 1 or (base_labels <> '' and labels = '')").count()
 
 
+def test_license_in_every_document(spark):
+    scan = lambda *texts: [r["labels"] for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert scan("Released under the MIT License.") == ["mit"]
+    assert scan(*["Licensed under the Apache License, Version 2.0."] * 3) == ["apache-2.0"] * 3
+    assert scan("The MIT License", *["mit dem Hund, mit der Katze"] * 20)[0] == "mit"
+
+
 def test_license_templates(spark):
     texts = {1: "x Released under the MIT License.", 2: "x y Licensed under the Apache License, Version 2.0.", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "Licensed under CC BY-NC 4.0.", 5: "the mit of license released", 6: "apache version license 2 0"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
