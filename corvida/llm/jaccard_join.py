@@ -41,9 +41,11 @@ _A, _B = (np.random.default_rng(s).integers(1, 2**32, SKETCH, dtype=np.uint32) |
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
-    """Runs after which a pair at the threshold has met with the given probability, on paths of ``LEVELS`` steps."""
-    shared = RATE / threshold * 2 * threshold / (1 + threshold)
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-shared)) ** LEVELS))
+    """Runs after which a pair at the threshold has met with the given probability, on paths of ``LEVELS`` steps.
+
+    Such a pair shares ``RATE`` samples a level at least: where one text is a part of the other. Sets of equal size share more.
+    """
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - math.exp(-RATE)) ** LEVELS))
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:

@@ -313,6 +313,10 @@ def jaccard_brute(texts, threshold=0.8):
     return sorted(((d, min(ids[find(i)], default=None), links[i]) for i, (d, _) in enumerate(texts)), key=repr)
 
 
+def test_jaccard_runs_reach_the_recall():
+    assert (1 - (1 - math.exp(-jj.RATE)) ** jj.LEVELS) ** jj.runs_for() <= 1 - jj.RECALL
+
+
 def test_jaccard_join(docs):
     assert rows(jj.jaccard_join(docs), "doc_id", "class_id", "n_links") == jaccard_brute(plain(docs))
 
