@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm.common import mixed, rolled, row_key, stored
+from corvida.llm.common import delete_table, mixed, rolled, row_key, stored
 from corvida.llm.term_blocks import summed, term_blocks
 
 DEPTH = 2
@@ -308,9 +308,9 @@ def _is_state(count: Column) -> Column:
 
 def _tree(docs: DataFrame, words: DataFrame, total: int, discount: float) -> tuple[DataFrame, DataFrame]:
     """The states of one symbol (w, back) and what each n-gram adds (gram, adds). ``words`` has w and c, the end included."""
-    count = lambda n, parts: stored(_with_keys(docs.mapInArrow(_ngram_counts(n, parts), ", ".join(f"w{i} long" for i in range(n)) + ", n long").groupBy(*(f"w{i}" for i in range(n))).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), n), f"lm-grams-{n}")
+    count = lambda n, parts: stored(docs.mapInArrow(_ngram_counts(n, parts), ", ".join(f"w{i} long" for i in range(n)) + ", n long").groupBy(*(f"w{i}" for i in range(n))).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), f"lm-grams-{n}")
     two = count(2, _filter(words.where(F.col("c") >= LEAST).select(F.col("w").alias("k"))))
-    three = count(3, _filter(two.select(F.col("gram").alias("k"))))
+    three = count(3, _filter(_with_keys(two, 2).select(F.col("gram").alias("k"))))
     of = lambda df, **names: df.select(*[F.col(old).alias(new) for new, old in names.items()])
     stats = lambda df, *by: df.groupBy(*by).agg(F.first("cc").alias("cc"), F.sum(F.col("n") / F.col("cc") * F.log(F.greatest(F.col("n") / F.col("cc") / F.col("parent"), F.lit(1e-12)))).alias("gain"), F.count("*").alias("entries"), F.sum("n").alias("kept"))
     back = (F.col("cc") - F.col("kept") + PRIOR) / (F.col("cc") + PRIOR)
@@ -325,13 +325,17 @@ def _tree(docs: DataFrame, words: DataFrame, total: int, discount: float) -> tup
 
     # an entry's probability over the root's, and what that adds to the state's back-off
     root = F.greatest(F.col("c1") - discount, F.lit(1e-9)) / total
-    known = two.join(states1, "w0").join(of(words, w1="w", c1="c"), "w1").select("w0", "w1", "gram", "back", root.alias("root"), (F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * root).alias("p"))
-    known = stored(known.select("w0", "w1", "gram", "root", "p", (F.log10(F.col("p") / F.col("root")) - F.log10("back")).alias("adds"), F.log10(F.col("p") / F.col("root")).alias("over")), "lm-entries-2")
-    backs = states2.join(two.select("w0", "w1", "gram"), ["w0", "w1"]).select("gram", F.log10("back").alias("adds"))
+    known = two.join(states1, "w0").join(of(words, w1="w", c1="c"), "w1").select("w0", "w1", "back", root.alias("root"), (F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * root).alias("p"))
+    known = stored(known.select("w0", "w1", "root", "p", (F.log10(F.col("p") / F.col("root")) - F.log10("back")).alias("adds"), F.log10(F.col("p") / F.col("root")).alias("over")), "lm-entries-2")
+    delete_table(two)
     third = three.join(states2, ["w0", "w1"]).join(of(known, w1="w0", w2="w1", root="root", p="p", over="over"), ["w1", "w2"])
-    third = third.select("gram", (F.log10((F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * F.col("p")) / F.col("root")) - F.log10("back") - F.col("over")).alias("adds"))
-    adds = known.select("gram", "adds").unionByName(backs).unionByName(third).groupBy("gram").agg(F.sum("adds").alias("adds"))
-    return of(states1, w="w0", back="back"), stored(adds, "lm-tree")
+    third = third.select("w0", "w1", "w2", (F.log10((F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * F.col("p")) / F.col("root")) - F.log10("back") - F.col("over")).alias("adds"))
+    third = stored(_with_keys(third, 3).select("gram", "adds"), "lm-adds-3")
+    delete_table(three)
+    pairs = known.select("w0", "w1", "adds").unionByName(states2.select("w0", "w1", F.log10("back").alias("adds"))).groupBy("w0", "w1").agg(F.sum("adds").alias("adds"))
+    pairs = stored(_with_keys(pairs, 2).select("gram", "adds"), "lm-adds-2")
+    delete_table(known), delete_table(states2)
+    return of(states1, w="w0", back="back"), third.unionByName(pairs)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,6 +356,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     blocks = docs.select("text", "row").mapInArrow(_gram_blocks(_filter(tree.select(F.col("gram").alias("k")))), "gram long, rows array<long>")
     gains = blocks.join(tree, "gram").select(F.explode("rows").alias("row"), "adds").groupBy("row").agg(F.sum("adds").alias("adds"))
     gains = gains.join(docs.groupBy("row").agg(F.count("*").alias("copies")), "row").select("row", (F.col("adds") / F.col("copies")).alias("gain"))
+    gains = stored(gains, "lm-gains")
+    delete_table(tree)
 
     def scored():
         def one(_, text):
