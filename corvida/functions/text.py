@@ -11,6 +11,8 @@ BAG_WORD = "[A-Za-zА-Яа-яЁё0-9-]{4,}"
 ROOT_WORD = "[а-яёa-z]{5,}"
 NUMBER_UNIT = r"\d+[\s.,]*(?:м|км|мм|%|кг|лет|этаж)"
 MARKER = r"\[Рисунок (\d+): ([^\]]+)\]"
+POINT = r"(?s)(?:^|\n)(\d+[.)]\s+.*?)(?=\n\d+[.)]\s+|\z)"
+ITEM = r"^\d+[.)]\s+(.*)"
 NOT_FOUND = "Информация в документах не найдена."
 SUPPORTED = (".pdf", ".docx", ".txt", ".md", ".msg")
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -131,3 +133,8 @@ def message_text(subject: Column, sender: Column, date: Column, body: Column) ->
 
 def anchored(answer: Column, context: Column) -> Column:
     return F.contains(context, F.substring(answer, 1, 60))
+
+
+def cyrillic_only(text: Column) -> Column:
+    """The older profile's filter of rewritten questions: all but hyphens, U+024F, Cyrillic letters and white space goes."""
+    return F.regexp_replace(text, r"[^\-\u024f\u0400-\u04ff\s]", "")

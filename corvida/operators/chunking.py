@@ -34,13 +34,14 @@ def chunk_profile(docs: DataFrame, *keys: str) -> DataFrame:
     return stats.select(*keys, pick(0).alias("profile"), pick(1).alias("chunk_size"), pick(2).alias("chunk_overlap"))
 
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)\s*")
+#: Between sentences: white space after an end mark, or a line end; a mark within a word or a name ends nothing.
+_BETWEEN = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def split_text(text: str, size: int, overlap: int) -> list[str]:
     """Chunks of at most ``size`` words, each beginning with the last sentences of the one before, up to ``overlap`` words."""
     sentences = []
-    for s in _SENTENCE.findall(text):
+    for s in _BETWEEN.split(text):
         words = s.split()
         sentences += [words[i : i + size] for i in range(0, len(words), size)]
     out, chunk, fresh = [], [], False

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import text as T
 from corvida.functions.vector import inner_product, norm
-from corvida.operators.search import every_pair
+from corvida.operators.search import every_pair, largest
 
 SCAN_LIMIT = 500  # a feature of the profile: keywords are sought in the first rows only
 
@@ -20,7 +20,8 @@ def cosine_topk(chunks: DataFrame, questions: DataFrame, section: str | None = N
     scored = every_pair(rows, questions.select("query_id", "query_vector", "k"))
     sim = F.try_divide(inner_product(F.col("embedding"), F.col("query_vector")), norm(F.col("embedding")) * norm(F.col("query_vector")))
     order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "ord")
-    ranked = scored.withColumn("similarity", sim).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k"))
+    ranked = scored.withColumn("similarity", sim).drop("embedding", "query_vector").withColumn("rank", F.row_number().over(order))
+    ranked = ranked.where(F.col("rank") <= largest(questions, F.col("k"))).where(F.col("rank") <= F.col("k"))
     return ranked.select("query_id", "rank", "id", "similarity", (1 - (1 - F.col("similarity")) / 2).alias("gate"))
 
 

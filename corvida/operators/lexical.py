@@ -1,7 +1,8 @@
 """BM25 with five-letter stems for batches of questions.
 
 ``questions`` is (query_id, question). A term counts where a token equals it, else where both have five letters and share
-them: two equi-joins in place of an OR condition, so neither side is looped over.
+them: an equi-join by word or stem in place of an OR condition, so neither side is looped over. The questions' terms meet the
+tokens where these are made; only what matches is aggregated.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ def terms_of(questions: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, id, tf) for (id, toks) of the distinct terms: exact count, else stem count."""
-    term = terms.select("term").distinct().withColumn("stem", T.prefix_stem(F.col("term")))
-    tok = docs.select("id", F.explode("toks").alias("tok")).groupBy("id", "tok").agg(F.count("*").alias("k"))
-    exact = tok.join(term, F.col("tok") == F.col("term")).select("term", "id", F.col("k").alias("exact"), F.lit(0).cast("long").alias("near"))
-    near = tok.withColumn("of", T.prefix_stem(F.col("tok"))).join(term, F.col("of") == F.col("stem")).select("term", "id", F.lit(0).cast("long").alias("exact"), F.col("k").alias("near"))
-    counted = exact.unionByName(near).groupBy("term", "id").agg(F.sum("exact").alias("exact"), F.sum("near").alias("near"))
-    return counted.select("term", "id", F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.col("near")).alias("tf"))
+    """(term, the columns of ``docs`` but toks, tf) of the distinct terms: exact count, else stem count. ``id`` tells documents apart."""
+    term = terms.select("term").distinct()
+    keys = term.select("term", F.lit(True).alias("exact"), F.col("term").alias("key"))
+    keys = keys.unionByName(term.select("term", F.lit(False).alias("exact"), T.prefix_stem(F.col("term")).alias("key")).where("key is not null"))
+    others = [c for c in docs.columns if c not in ("id", "toks")]
+    tok = docs.select("id", *others, F.explode("toks").alias("tok"))
+    forms = F.array(F.struct(F.lit(True).alias("exact"), F.col("tok").alias("key")), F.struct(F.lit(False).alias("exact"), T.prefix_stem(F.col("tok")).alias("key")))
+    matched = tok.select("id", *others, F.explode(forms).alias("f")).select("id", *others, "f.exact", "f.key").where("key is not null").join(keys, ["exact", "key"])
+    same, near = F.count_if(F.col("exact")), F.count_if(~F.col("exact"))
+    return matched.groupBy("term", "id").agg(*[F.first(c).alias(c) for c in others], F.when(same > 0, same).otherwise(near).alias("tf"))
 
 
 def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -40,16 +44,15 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score) of the chunks that match a term; all others score 0."""
+    """(query_id, id, ord, score) of the chunks that match a term; all others score 0."""
     docs = tokenized(chunks)
     terms = terms_of(questions)
-    tf = term_frequencies(docs, terms)
+    tf = term_frequencies(docs.drop("filename"), terms)
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avg_dl"))
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avg_dl")  # one row
-    one = tf.join(idf, "term").join(docs.select("id", "dl"), "id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.try_divide(F.col("dl"), F.col("avg_dl"))))
-    return one.withColumn("part", part).join(terms, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    return tf.join(idf, "term").withColumn("part", part).join(terms, "term").groupBy("query_id", "id").agg(F.first("ord").alias("ord"), F.sum("part").alias("score"))
 
 
 def filename_boost(questions: DataFrame, names: DataFrame) -> DataFrame:

@@ -20,10 +20,16 @@ def fetch_size(k: Column, n: Column) -> Column:
     return F.least(F.greatest(8 * k, F.lit(12)), n)
 
 
-def ranked(rows: DataFrame, score: str, limit: Column, rank: str) -> DataFrame:
-    """The ``limit`` best rows of each query with a rank from 0."""
+def largest(questions: DataFrame, limit: Column | int) -> int:
+    """The largest limit of a batch of questions: a number, by which each partition can be cut before rows are moved."""
+    return limit if isinstance(limit, int) else questions.agg(F.max(limit)).first()[0] or 0
+
+
+def ranked(rows: DataFrame, score: str, limit: Column | int, most: int, rank: str) -> DataFrame:
+    """The ``limit`` best rows of each query, ``most`` at most, with a rank from 0."""
     order = W.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "ord")
-    return rows.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < limit)
+    best = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return best.withColumn(rank, F.col("place") - 1).drop("place").where(F.col(rank) < limit)
 
 
 def every_pair(rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -33,41 +39,42 @@ def every_pair(rows: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(questions))
 
 
-def vector_topk(chunks: DataFrame, questions: DataFrame, limit: Column) -> DataFrame:
+def vector_topk(chunks: DataFrame, questions: DataFrame, limit: Column | int) -> DataFrame:
     """(query_id, id, ord, sim, v_rank)."""
     asked = questions.where("query_vector is not null")
     scored = every_pair(chunks.where("embedding is not null").select("id", "ord", "embedding"), asked)
     scored = scored.where(F.size("embedding") == F.size("query_vector"))
-    return ranked(scored.withColumn("sim", inner_product(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector"), "sim", limit, "v_rank")
+    scored = scored.withColumn("sim", inner_product(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
+    return ranked(scored, "sim", limit, largest(questions, limit), "v_rank")
 
 
-def lexical_topk(chunks: DataFrame, questions: DataFrame, limit: Column) -> DataFrame:
+def lexical_topk(chunks: DataFrame, questions: DataFrame, limit: Column | int) -> DataFrame:
     """(query_id, id, ord, score, l_rank): BM25 and filename boost, positive scores only."""
     scores = bm25(chunks, questions)
-    boosted = chunks.select("id", "filename").join(filename_boost(questions, chunks), "filename").select("query_id", "id", "boost")
-    total = scores.join(boosted, ["query_id", "id"], "full").select("query_id", "id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("score")).where("score > 0")
-    total = total.join(chunks.select("id", "ord"), "id").join(questions.select("query_id", "k"), "query_id")
-    return ranked(total, "score", limit, "l_rank")
+    boosted = chunks.select("id", "ord", "filename").join(filename_boost(questions, chunks), "filename").select("query_id", "id", "ord", F.col("boost").alias("score"))
+    total = scores.unionByName(boosted).groupBy("query_id", "id").agg(F.first("ord").alias("ord"), F.sum("score").alias("score")).where("score > 0")
+    total = total.join(questions.select("query_id", "k"), "query_id")
+    return ranked(total, "score", limit, largest(questions, limit), "l_rank")
 
 
-def rrf(vector: DataFrame, lexical: DataFrame, weight: float = 0.5, constant: int = 60) -> DataFrame:
-    """Weighted reciprocal rank fusion of (query_id, id, v_rank) and (query_id, id, l_rank): adds rrf and rank (from 1)."""
+def rrf(vector: DataFrame, lexical: DataFrame, weight: float = 0.5, constant: int = 60, most: int | None = None) -> DataFrame:
+    """Weighted reciprocal rank fusion of (query_id, id, v_rank) and (query_id, id, l_rank): adds rrf and rank (from 1, up to ``most``)."""
     both = vector.join(lexical, ["query_id", "id"], "full")
     term = lambda w, r: F.coalesce(F.lit(w) / (F.col(r) + (constant + 1)), F.lit(0.0))
     both = both.withColumn("rrf", term(1 - weight, "v_rank") + term(weight, "l_rank"))
     order = W.partitionBy("query_id").orderBy(F.round("rrf", 12).desc(), F.asc_nulls_last("v_rank"), F.asc_nulls_last("l_rank"))
-    return both.withColumn("rank", F.row_number().over(order))
+    both = both.withColumn("rank", F.row_number().over(order))
+    return both if most is None else both.where(F.col("rank") <= most)
 
 
 def hybrid_search(chunks: DataFrame, questions: DataFrame, weight: float = 0.5) -> DataFrame:
-    """query_id, rank, id, filename, chunk_index, rrf, distance: the k best of each question."""
-    n = chunks.count()
-    limit = fetch_size(F.col("k"), F.lit(n))
+    """query_id, rank, id, filename, chunk_index, rrf, distance: the k best of each question; of rows with one id the last counts."""
+    limit = fetch_size(F.col("k"), F.lit(chunks.count()))
     vector = vector_topk(chunks, questions, limit).select("query_id", "id", "v_rank", "sim")
     lexical = lexical_topk(chunks, questions, limit).select("query_id", "id", "l_rank")
-    fused = rrf(vector, lexical, weight).join(questions.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k"))
-    found = fused.join(chunks.select("id", "filename", "chunk_index"), "id")
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "filename", "chunk_index", "rrf", F.coalesce(1 - F.col("sim"), F.lit(1.0)).alias("distance"))
+    fused = rrf(vector, lexical, weight, most=largest(questions, F.col("k"))).join(questions.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k"))
+    found = fused.join(chunks.select("id", "filename", "chunk_index", "ord"), "id").groupBy("query_id", "rank", "id", "rrf", "sim").agg(F.max_by(F.struct("filename", "chunk_index"), "ord").alias("c"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "c.filename", "c.chunk_index", "rrf", F.coalesce(1 - F.col("sim"), F.lit(1.0)).alias("distance"))
 
 
 def passes_gate(hits: DataFrame, threshold: float) -> DataFrame:

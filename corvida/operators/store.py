@@ -1,12 +1,15 @@
 """The chunk table: schema, reading, replacing, deleting, listing and ingest status.
 
-A store is a folder of Parquet snapshots. A mutation writes a new snapshot beside the old one and then moves the pointer, so
-readers see one or the other; there is a single writer. Files are driver-side metadata; rows never pass through the driver.
+A store is a folder of Parquet tables, one per bucket of file names, and manifests that list the valid ones. A mutation writes
+the buckets of its files anew and then a manifest, so readers see one state or the other, and a file costs its bucket, not the
+store; there is a single writer. Manifests are driver-side metadata; rows never pass through the driver.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -56,6 +59,22 @@ def progress(done: Column, total: Column) -> Column:
     return F.bround(done / F.coalesce(F.nullif(total, F.lit(0)), F.lit(1)) * 100, 1)
 
 
+def document_status(log: DataFrame, chunks: DataFrame) -> DataFrame:
+    """filename, status, chunks_done, chunks_total, progress_pct, error, started_at, finished_at: the last row of the log, else what the chunks tell."""
+    have = chunks_per_document(chunks).withColumnRenamed("chunks", "have")
+    both = latest_status(log).where("status <> 'deleted'").withColumn("logged", F.lit(True)).join(have, "filename", "full")
+    done, total = (F.when(F.col("logged"), F.col(c)).otherwise(F.col("have")).cast("int") for c in ("chunks_done", "chunks_total"))
+    rows = both.select("filename", F.coalesce("status", F.lit("ready")).alias("status"), done.alias("chunks_done"), total.alias("chunks_total"), "error", "started_at", "finished_at")
+    return rows.select("filename", "status", "chunks_done", "chunks_total", progress(F.col("chunks_done"), F.col("chunks_total")).alias("progress_pct"), "error", "started_at", "finished_at")
+
+
+def started_and_skipped(files: DataFrame, status: DataFrame) -> DataFrame:
+    """(filename, state): supported files whose ingest may start, and those being ingested, which are skipped."""
+    busy = status.where("status = 'indexing'").select("filename", F.lit(True).alias("busy")).distinct()
+    rows = files.where(T.supported(F.col("filename"))).select("filename").distinct().join(busy, "filename", "left")
+    return rows.select("filename", F.when(F.col("busy"), "skipped").otherwise("started").alias("state"))
+
+
 def list_documents(chunks: DataFrame, status: DataFrame, base: str = "") -> DataFrame:
     """filename, chunks, indexing_status, download_url; files that only have a status are listed too."""
     both = chunks_per_document(chunks).join(status.select("filename", "status"), "filename", "full")
@@ -71,51 +90,118 @@ def section_of(section: Column, default: str = "general") -> Column:
 class ChunkStore:
     """A versioned chunk table at ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        """Complete snapshots, oldest first; folders without a success mark are leftovers of lost writers."""
+        """Numbers of the manifests, oldest first."""
         if not self._fs.exists(self._path(self.path)):
             return []
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
 
-    def read(self) -> DataFrame:
-        found = self.versions()
+    def _manifest(self, version: int | None = None) -> dict:
+        found = self.versions() if version is None else [version]
         if not found:
-            return self.spark.createDataFrame([], CHUNKS)
-        return self.spark.read.schema(CHUNKS).parquet(f"{self.path}/v{found[-1]}").withColumn("chunk_index", F.coalesce("chunk_index", F.lit(0)))
+            return {"buckets": {}, "next_ord": 0}
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/v{found[-1]}.json").collect()))
 
-    def write(self, chunks: DataFrame, keep: int = 2) -> int:
-        """A new snapshot; older ones beyond ``keep`` go."""
+    def _commit(self, manifest: dict, keep: int = 2) -> int:
+        """A new manifest, in place at once by a rename; manifests beyond ``keep``, and tables that no manifest names, go."""
         found = self.versions()
         version = max([int(time.time() * 1000), *(v + 1 for v in found)])
-        chunks.write.parquet(f"{self.path}/v{version}")
+        hidden = self._path(f"{self.path}/.v{version}.tmp")
+        out = self._fs.create(hidden, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.rename(hidden, self._path(f"{self.path}/v{version}.json"))
         for old in found[: max(0, len(found) + 1 - keep)]:
-            self._fs.delete(self._path(f"{self.path}/v{old}"), True)
+            self._fs.delete(self._path(f"{self.path}/v{old}.json"), False)
+        named = {d for v in self.versions() for d in self._manifest(v)["buckets"].values()}
+        for x in self._fs.listStatus(self._path(f"{self.path}/data")) if self._fs.exists(self._path(f"{self.path}/data")) else []:
+            if x.getPath().getName() not in named:
+                self._fs.delete(x.getPath(), True)
         return version
 
-    def replace(self, filename: str, new: DataFrame) -> int:
-        """How many rows went. Without new rows nothing changes: a failed ingest keeps what there was."""
-        rows = self.read()
-        if new.isEmpty():
-            raise ValueError(f"no chunks for {filename}")
-        gone = rows.where(F.col("filename") == filename).count()
-        self.write(replace_document(rows, filename, new))
-        return gone
+    def _table(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], CHUNKS)
+        rows = self.spark.read.schema(CHUNKS).parquet(*[f"{self.path}/data/{n}" for n in names])
+        return rows.withColumn("chunk_index", F.coalesce("chunk_index", F.lit(0)))
+
+    def read(self) -> DataFrame:
+        return self._table(list(self._manifest()["buckets"].values()))
+
+    def recover(self) -> str | None:
+        """Put aside the newest state if it can't be read, so that the one before counts, or an empty store; its new name, if so."""
+        found = self.versions()
+        if not found:
+            return None
+        try:
+            self._table(list(self._manifest(found[-1])["buckets"].values())).select("id", "embedding").write.format("noop").mode("overwrite").save()
+            return None
+        except Exception:  # whatever is wrong with it, it is put aside, not deleted
+            aside = f"{self.path}/v{found[-1]}.json.bak.{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}"
+            self._fs.rename(self._path(f"{self.path}/v{found[-1]}.json"), self._path(aside))
+            return aside
+
+    def _bucket(self) -> Column:
+        return F.expr(f"cast(pmod(xxhash64(filename), {self.buckets}) as int)")
+
+    def put(self, filenames: list[str], new: DataFrame | None, required: bool = False) -> tuple[int, int]:
+        """Replace the rows of these files by ``new``, whose ``ord`` goes on after all others'. (Rows that went, rows that came.)
+
+        ``new`` is evaluated once; if it is ``required`` and has no rows, nothing changes. Only the files' own buckets are read and written.
+        """
+        manifest = self._manifest()
+        staged, came = None, 0
+        if new is not None:
+            path = f"{self.path}/data/staged-{uuid.uuid4().hex}"
+            new.select(*[F.col(f.name) for f in self.spark.createDataFrame([], CHUNKS).schema]).write.parquet(path)
+            staged = self.spark.read.schema(CHUNKS).parquet(path)
+            came = staged.count()
+            if required and not came:
+                raise ValueError(f"no chunks for {', '.join(filenames)}")
+        names = self.spark.createDataFrame([(f,) for f in filenames], "filename string")
+        touched = {r[0] for r in names.select(self._bucket()).distinct().collect()}
+        old = self._table([d for b, d in manifest["buckets"].items() if int(b) in touched])
+        gone = old.join(F.broadcast(names), "filename", "left_semi").count()
+        if not gone and not came:
+            return 0, 0
+        rows = old.join(F.broadcast(names), "filename", "left_anti").select(*old.columns)
+        if staged is not None:
+            order = W.partitionBy("filename").orderBy("chunk_index")
+            sizes = staged.groupBy("filename").agg(F.count("*").alias("n"))  # one row per new file
+            before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("filename").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
+            fresh = staged.withColumn("place", F.row_number().over(order) - 1).join(before, "filename")
+            rows = rows.unionByName(fresh.withColumn("ord", F.col("before") + F.col("place") + manifest["next_ord"]).select(*old.columns))
+        stamp = uuid.uuid4().hex
+        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/data/{stamp}")
+        there = {x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/data/{stamp}"))}
+        for b in touched:
+            manifest["buckets"].pop(str(b), None)
+            if f"bucket={b}" in there:
+                name = f"{stamp}-{b}"
+                self._fs.rename(self._path(f"{self.path}/data/{stamp}/bucket={b}"), self._path(f"{self.path}/data/{name}"))
+                manifest["buckets"][str(b)] = name
+        manifest["next_ord"] += came
+        self._commit(manifest)
+        return gone, came
+
+    def replace(self, filename: str, new: DataFrame) -> tuple[int, int]:
+        """Rows that went and came. Without new rows nothing changes: a failed ingest keeps what there was."""
+        return self.put([filename], new.where(F.col("filename") == filename), required=True)
 
     def delete(self, filename: str) -> int:
-        rows = self.read()
-        if gone := rows.where(F.col("filename") == filename).count():
-            self.write(delete_document(rows, filename))
-        return gone
+        return self.put([filename], None)[0]
 
     def faults(self) -> DataFrame:
-        """Rows whose vector is not of unit length, all of them checked, or of another size than the rest."""
+        """Rows whose vector is not of unit length, all of them checked, or of another size than most."""
         from corvida.functions.vector import norm
 
-        return self.read().where("embedding is not null").where(F.abs(norm(F.col("embedding")) - 1) > 0.01)
+        rows = self.read().where("embedding is not null").withColumn("size", F.size("embedding"))
+        usual = rows.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).select(F.col("size").alias("usual"))  # one row
+        return rows.crossJoin(F.broadcast(usual)).where((F.abs(norm(F.col("embedding")) - 1) > 0.01) | (F.col("size") != F.col("usual"))).drop("size", "usual")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from corvida.functions import text as T
 from corvida.functions.vector import cosine_gate, inner_product, norm
 from corvida.operators import answer as A
-from corvida.operators import chunking, context, images, legacy, lexical, search, store
+from corvida.operators import chunking, context, images, legacy, lexical, search, service, store
+from corvida.sources import documents
 
 QUERIES, SQL = {}, {}
 TOP_K, THRESHOLD = 5, 0.65
@@ -40,9 +41,9 @@ def chunks_of(spark: SparkSession, folder: str, vectors: bool = False) -> DataFr
 
 
 def question_of(spark: SparkSession, folder: str) -> DataFrame:
-    """One question: the first benchmark text with the first vector."""
-    ask = table(spark, folder, "benchmark").where("item_id = 0").select(F.lit(0).alias("query_id"), F.col("text").alias("question"), F.lit(TOP_K).alias("k"))
-    vector = table(spark, folder, "embeddings").where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query_vector"))
+    """The questions: every benchmark text whose id is divisible by 100, with the vector of that id."""
+    ask = table(spark, folder, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit(TOP_K).alias("k"))
+    vector = table(spark, folder, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return ask.join(vector, "query_id", "left")
 
 
@@ -58,18 +59,18 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
 TOKEN = T.TOKEN
 CHUNKS = "c AS (SELECT source || '.txt' AS filename, cast(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS chunk_index, source || '.txt_' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS id, text, lang AS section, doc_id AS ord FROM documents)"
 TOKS = f"d AS (SELECT id, ord, filename, regexp_extract_all(lower(filename || ' ' || text), '{TOKEN}') AS toks FROM c)"
-TERMS = f"t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM benchmark WHERE item_id = 0)"
+TERMS = f"q AS (SELECT item_id AS query_id, text AS question FROM benchmark WHERE item_id % 100 = 0), t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '{TOKEN}')) AS term FROM q), tt AS (SELECT DISTINCT term FROM t)"
 TF = """u AS (SELECT id, unnest(toks) AS tok FROM d), k AS (SELECT id, tok, count(*) AS n FROM u GROUP BY ALL),
-tf AS (SELECT term, id, CASE WHEN sum(CASE WHEN tok = term THEN n ELSE 0 END) > 0 THEN sum(CASE WHEN tok = term THEN n ELSE 0 END) ELSE sum(n) END AS tf FROM k JOIN t ON tok = term OR (length(tok) >= 5 AND length(term) >= 5 AND substr(tok, 1, 5) = substr(term, 1, 5)) GROUP BY ALL)"""
+tf AS (SELECT term, id, CASE WHEN sum(CASE WHEN tok = term THEN n ELSE 0 END) > 0 THEN sum(CASE WHEN tok = term THEN n ELSE 0 END) ELSE sum(n) END AS tf FROM k JOIN tt ON tok = term OR (length(tok) >= 5 AND length(term) >= 5 AND substr(tok, 1, 5) = substr(term, 1, 5)) GROUP BY ALL)"""
 BM25 = """s AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)::DOUBLE) AS avg_dl FROM d), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
-bm AS (SELECT tf.id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf.tf * 2.5::DOUBLE / (tf.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks)::DOUBLE / avg_dl))) AS score FROM tf JOIN df USING (term) JOIN d USING (id), s GROUP BY tf.id)"""
-BOOST = f"b AS (SELECT filename, least(count(*) * 0.35::DOUBLE, 1.4::DOUBLE) AS boost FROM (SELECT DISTINCT filename, unnest(regexp_extract_all(lower(regexp_replace(filename, '\\.[^.]+$', '')), '{TOKEN}')) AS term FROM c) JOIN t USING (term) GROUP BY filename)"
-LEX = "lx AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, ord) - 1 AS l_rank FROM (SELECT c.id, c.ord, coalesce(bm.score, 0) + coalesce(boost, 0) AS score FROM c LEFT JOIN bm USING (id) LEFT JOIN b USING (filename)) WHERE score > 0), l AS (SELECT * FROM lx WHERE l_rank < least(40, (SELECT count(*) FROM c)))"
+bm AS (SELECT query_id, tf.id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf.tf * 2.5::DOUBLE / (tf.tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(toks)::DOUBLE / avg_dl))) AS score FROM tf JOIN df USING (term) JOIN d USING (id) JOIN t USING (term), s GROUP BY query_id, tf.id)"""
+BOOST = f"b AS (SELECT query_id, filename, least(count(*) * 0.35::DOUBLE, 1.4::DOUBLE) AS boost FROM (SELECT DISTINCT filename, unnest(regexp_extract_all(lower(regexp_replace(filename, '\\.[^.]+$', '')), '{TOKEN}')) AS term FROM c) JOIN t USING (term) GROUP BY query_id, filename)"
+LEX = "lx AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) - 1 AS l_rank FROM (SELECT q.query_id, c.id, c.ord, coalesce(bm.score, 0) + coalesce(boost, 0) AS score FROM q CROSS JOIN c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.id = c.id LEFT JOIN b ON b.query_id = q.query_id AND b.filename = c.filename) WHERE score > 0), l AS (SELECT * FROM lx WHERE l_rank < least(40, (SELECT count(*) FROM c)))"
 DOT = "list_inner_product({}::DOUBLE[], {}::DOUBLE[])"
-VEC = f"vx AS (SELECT c.id, {DOT.format('e.embedding', 'q.embedding')} AS sim, row_number() OVER (ORDER BY round({DOT.format('e.embedding', 'q.embedding')}, 9) DESC, c.ord) - 1 AS v_rank FROM c JOIN embeddings e ON e.vec_id = c.ord, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), v AS (SELECT * FROM vx WHERE v_rank < least(40, (SELECT count(*) FROM c)))"
-FUSED = "f AS (SELECT id, sim, v_rank, l_rank, coalesce(0.5::DOUBLE / (v_rank + 61), 0) + coalesce(0.5::DOUBLE / (l_rank + 61), 0) AS rrf FROM v FULL JOIN l USING (id)), r AS (SELECT *, row_number() OVER (ORDER BY round(rrf, 12) DESC, v_rank NULLS LAST, l_rank NULLS LAST) AS rank FROM f), h AS (SELECT r.rank, c.*, r.rrf, coalesce(1 - sim, 1::DOUBLE) AS distance FROM r JOIN c USING (id) WHERE rank <= 5)"
+VEC = f"vx AS (SELECT qv.vec_id AS query_id, c.id, {DOT.format('e.embedding', 'qv.embedding')} AS sim, row_number() OVER (PARTITION BY qv.vec_id ORDER BY round({DOT.format('e.embedding', 'qv.embedding')}, 9) DESC, c.ord) - 1 AS v_rank FROM c JOIN embeddings e ON e.vec_id = c.ord, embeddings qv WHERE qv.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 100 = 0)), v AS (SELECT * FROM vx WHERE v_rank < least(40, (SELECT count(*) FROM c)))"
+FUSED = "f AS (SELECT query_id, id, sim, v_rank, l_rank, coalesce(0.5::DOUBLE / (v_rank + 61), 0) + coalesce(0.5::DOUBLE / (l_rank + 61), 0) AS rrf FROM v FULL JOIN l USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, v_rank NULLS LAST, l_rank NULLS LAST) AS rank FROM f), h AS (SELECT r.query_id, r.rank, c.*, r.rrf, coalesce(1 - sim, 1::DOUBLE) AS distance FROM r JOIN c USING (id) WHERE rank <= 5)"
 HITS = ", ".join((CHUNKS, TOKS, TERMS, TF, BM25, BOOST, LEX, VEC, FUSED))
-NEAR = "g AS (SELECT filename, min(rank) AS doc_rank FROM h GROUP BY filename), w AS (SELECT DISTINCT c.filename, c.chunk_index, c.text, g.doc_rank FROM c JOIN h ON c.filename = h.filename AND abs(c.chunk_index - h.chunk_index) <= 1 JOIN g ON g.filename = c.filename), x AS (SELECT *, row_number() OVER (ORDER BY doc_rank, chunk_index) - 1 AS pos FROM w)"
+NEAR = "g AS (SELECT query_id, filename, min(rank) AS doc_rank FROM h GROUP BY query_id, filename), w AS (SELECT DISTINCT h.query_id, c.filename, c.chunk_index, c.text, g.doc_rank FROM c JOIN h ON c.filename = h.filename AND abs(c.chunk_index - h.chunk_index) <= 1 JOIN g ON g.filename = c.filename AND g.query_id = h.query_id), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_rank, chunk_index) - 1 AS pos FROM w)"
 ANSWERS = "p AS (SELECT conv_id, turn, text AS answer, role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context FROM conversations), a AS (SELECT conv_id, turn, answer, context FROM p WHERE role = 'assistant' AND context IS NOT NULL)"
 NORM = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
@@ -134,31 +135,32 @@ def q09_l2_norm(spark, folder):
     return table(spark, folder, "embeddings").select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query(f"WITH {CHUNKS}, {VEC} SELECT cast(v_rank AS INTEGER) AS v_rank, id, round(1 - sim, 6) + 0 AS distance FROM v")
+@query(f"WITH {CHUNKS}, {VEC} SELECT query_id, cast(v_rank AS INTEGER) AS v_rank, id, round(1 - sim, 6) + 0 AS distance FROM v")
 def q10_vector_topk(spark, folder):
     chunks, n = chunks_of(spark, folder, True), F.lit(table(spark, folder, "documents").count())
-    return search.vector_topk(chunks, question_of(spark, folder).drop("question"), search.fetch_size(F.lit(TOP_K), n)).select(F.col("v_rank").cast("int").alias("v_rank"), "id", (F.round(1 - F.col("sim"), 6) + 0.0).alias("distance"))
+    return search.vector_topk(chunks, question_of(spark, folder).drop("question"), search.fetch_size(F.col("k"), n)).select("query_id", F.col("v_rank").cast("int").alias("v_rank"), "id", (F.round(1 - F.col("sim"), 6) + 0.0).alias("distance"))
 
 
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format('e.embedding', 'q.embedding')} AS sim FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, cast(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM r WHERE rank <= 12")
 def q11_vector_topk_batch(spark, folder):
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), "embedding")
     asked = vectors.where("ord % 100 = 0").select(F.col("ord").alias("query_id"), F.col("embedding").alias("query_vector"))
-    found = search.vector_topk(vectors, asked, F.lit(12))
+    found = search.vector_topk(vectors, asked, 12)
     return found.select("query_id", F.col("id").alias("vec_id"), (F.col("v_rank") + 1).cast("int").alias("rank"), F.round("sim", 6).alias("sim"))
 
 
 # ---- lexical search and fusion
 @query(f"WITH {CHUNKS}, {TOKS}, {TERMS}, {TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def q12_doc_frequency(spark, folder):
-    docs = lexical.tokenized(chunks_of(spark, folder))
+    docs = lexical.tokenized(chunks_of(spark, folder)).select("id", "toks")
     return lexical.document_frequencies(docs, lexical.terms_of(question_of(spark, folder)))
 
 
-@query(f"WITH {CHUNKS}, {TOKS}, {TERMS}, {TF}, {BM25} SELECT c.id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN bm USING (id)")
+@query(f"WITH {CHUNKS}, {TOKS}, {TERMS}, {TF}, {BM25} SELECT q.query_id, c.id, round(coalesce(score, 0), 6) AS score FROM q CROSS JOIN c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.id = c.id")
 def q13_bm25_scores(spark, folder):
-    chunks = chunks_of(spark, folder)
-    return chunks.select("id").join(lexical.bm25(chunks, question_of(spark, folder)), "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    chunks, asked = chunks_of(spark, folder), question_of(spark, folder)
+    every = search.every_pair(chunks.select("id"), asked.select("query_id"))
+    return every.join(lexical.bm25(chunks, asked), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 NAMES = "('a_b_c_d_e.txt'), ('src1 report.txt'), ('plain.txt'), ('a.b.md')"
@@ -170,48 +172,48 @@ def q14_filename_boost(spark, folder):
     return lexical.filename_boost(asked, values(spark, NAMES, "filename")).select("filename", F.round("boost", 6).alias("boost"))
 
 
-@query(f"WITH {HITS} SELECT id, cast(rank AS INTEGER) AS rank, round(rrf, 6) AS rrf FROM r")
+@query(f"WITH {HITS} SELECT query_id, id, cast(rank AS INTEGER) AS rank, round(rrf, 6) AS rrf FROM r")
 def q15_rrf_fusion(spark, folder):
     chunks, asked = chunks_of(spark, folder, True), question_of(spark, folder)
-    limit = search.fetch_size(F.lit(TOP_K), F.lit(chunks.count()))
+    limit = search.fetch_size(F.col("k"), F.lit(chunks.count()))
     fused = search.rrf(search.vector_topk(chunks, asked, limit).select("query_id", "id", "v_rank"), search.lexical_topk(chunks, asked, limit).select("query_id", "id", "l_rank"))
-    return fused.select("id", F.col("rank").cast("int").alias("rank"), F.round("rrf", 6).alias("rrf"))
+    return fused.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("rrf", 6).alias("rrf"))
 
 
-@query(f"WITH {HITS} SELECT cast(rank AS INTEGER) AS rank, id, filename, chunk_index, round(rrf, 6) AS rrf, round(distance, 6) + 0 AS distance FROM h")
+@query(f"WITH {HITS} SELECT query_id, cast(rank AS INTEGER) AS rank, id, filename, chunk_index, round(rrf, 6) AS rrf, round(distance, 6) + 0 AS distance FROM h")
 def q16_hybrid_search(spark, folder):
-    return hits_of(spark, folder).select("rank", "id", "filename", "chunk_index", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"))
+    return hits_of(spark, folder).select("query_id", "rank", "id", "filename", "chunk_index", F.round("rrf", 6).alias("rrf"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(f"WITH {HITS} SELECT round(1 - distance, 6) AS best, 1 - distance >= 0.65 AS found FROM h WHERE rank = 1")
+@query(f"WITH {HITS} SELECT query_id, round(1 - distance, 6) AS best, 1 - distance >= 0.65 AS found FROM h WHERE rank = 1")
 def q17_similarity_gate(spark, folder):
-    return search.passes_gate(hits_of(spark, folder), THRESHOLD).select(F.round("best", 6).alias("best"), "found")
+    return search.passes_gate(hits_of(spark, folder), THRESHOLD).select("query_id", F.round("best", 6).alias("best"), "found")
 
 
 # ---- context
-@query(f"WITH {HITS}, {NEAR} SELECT filename, chunk_index, cast(doc_rank AS INTEGER) AS doc_rank FROM w")
+@query(f"WITH {HITS}, {NEAR} SELECT query_id, filename, chunk_index, cast(doc_rank AS INTEGER) AS doc_rank FROM w")
 def q18_neighbor_expansion(spark, folder):
-    return context.neighbours(hits_of(spark, folder), chunks_of(spark, folder)).select("filename", "chunk_index", "doc_rank")
+    return context.neighbours(hits_of(spark, folder), chunks_of(spark, folder)).select("query_id", "filename", "chunk_index", "doc_rank")
 
 
-@query(f"WITH {HITS}, {NEAR} SELECT cast(pos AS INTEGER) AS pos, filename, chunk_index FROM x WHERE pos < 10")
+@query(f"WITH {HITS}, {NEAR} SELECT query_id, cast(pos AS INTEGER) AS pos, filename, chunk_index FROM x WHERE pos < 10")
 def q19_context_budget(spark, folder):
-    return context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K).select(F.col("pos").cast("int").alias("pos"), "filename", "chunk_index")
+    return context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K).select("query_id", F.col("pos").cast("int").alias("pos"), "filename", "chunk_index")
 
 
-@query(f"WITH {HITS}, {NEAR} SELECT string_agg('[CHUNK ' || pos || ' | ' || filename || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS context, count(*) AS chunks_used FROM x WHERE pos < 10")
+@query(f"WITH {HITS}, {NEAR} SELECT query_id, string_agg('[CHUNK ' || pos || ' | ' || filename || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS context, count(*) AS chunks_used FROM x WHERE pos < 10 GROUP BY query_id")
 def q20_context_string(spark, folder):
     rows = context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K)
-    return context.context_string(rows).select("context", "chunks_used")
+    return context.context_string(rows).select("query_id", "context", "chunks_used")
 
 
 ROOTS = "list_distinct(list_transform(regexp_extract_all(lower({}), '[а-яёa-z]{{5,}}'), lambda w: substr(w, 1, 5)))"
 
 
-@query(f"WITH {HITS}, {NEAR}, o AS (SELECT filename, min(pos) AS first FROM x WHERE pos < 10 GROUP BY filename), z AS (SELECT filename, first, len(list_intersect({ROOTS.format('text')}, {ROOTS.format('''replace(replace(filename, '_', ' '), '-', ' ')''')})) AS relevance FROM o, (SELECT text FROM benchmark WHERE item_id = 0)) SELECT filename, cast(relevance AS INTEGER) AS relevance, cast(row_number() OVER (ORDER BY relevance DESC, first) AS INTEGER) AS source_rank FROM z")
+@query(f"WITH {HITS}, {NEAR}, o AS (SELECT query_id, filename, min(pos) AS first FROM x WHERE pos < 10 GROUP BY query_id, filename), z AS (SELECT query_id, filename, first, len(list_intersect({ROOTS.format('question')}, {ROOTS.format('''replace(replace(filename, '_', ' '), '-', ' ')''')})) AS relevance FROM o JOIN q USING (query_id)) SELECT query_id, filename, cast(relevance AS INTEGER) AS relevance, cast(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, first) AS INTEGER) AS source_rank FROM z")
 def q21_ordered_sources(spark, folder):
     rows = context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K)
-    return context.ordered_sources(rows, question_of(spark, folder)).select("filename", "relevance", "source_rank")
+    return context.ordered_sources(rows, question_of(spark, folder)).select("query_id", "filename", "relevance", "source_rank")
 
 
 @query("WITH r AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents), s AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY pos) AS total FROM r) SELECT source, doc_id FROM s WHERE pos <= 3 AND (pos = 1 OR total <= 12000)")
@@ -229,28 +231,27 @@ def q23_faithfulness(spark, folder):
     return answers_of(spark, folder).select("conv_id", "turn", A.is_faithful(F.col("answer"), F.col("context")).alias("faithful"))
 
 
-THINK = "(1, 'a<think>x\ny</think>b'), (2, 'plain'), (3, '<think>one</think>mid<think>two</think>')"
+def dressed(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    """Conversation turns with ``answer``, an expression that gives the text what a model would add."""
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.expr(sql).alias("answer"))
 
 
-@query(f"SELECT id, regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g') AS answer FROM (VALUES {THINK}) v(id, answer)")
+@query("SELECT conv_id, turn, text || '~' || CASE WHEN turn % 2 = 0 THEN text ELSE '' END AS answer FROM conversations")
 def q24_strip_think(spark, folder):
-    return values(spark, THINK, "id, answer").select("id", T.without_thinking(F.col("answer")).alias("answer"))
-
+    rows = dressed(spark, folder, r"concat('<think>', text, '\n', turn, '</think>', text, '~<think>b</think>', if(turn % 2 = 0, text, ''))")
+    return rows.select("conv_id", "turn", T.without_thinking(F.col("answer")).alias("answer"))
 
-MARKS = "(1, 'x [CHUNK 1]'), (2, 'x (CHUNK 12) y'), (3, 'x [CHUNK 0 | f]'), (4, 'none')"
 
-
-@query(f"SELECT id, regexp_replace(answer, '\\s*[(\\[]\\s*CHUNK\\s*\\d+\\s*[)\\]]', '', 'g') AS answer FROM (VALUES {MARKS}) v(id, answer)")
+@query("SELECT conv_id, turn, text || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN ' y' WHEN 2 THEN ' [CHUNK 0 | f]' ELSE '' END AS answer FROM conversations")
 def q25_strip_chunk_markers(spark, folder):
-    return values(spark, MARKS, "id, answer").select("id", T.without_chunk_marks(F.col("answer")).alias("answer"))
-
+    rows = dressed(spark, folder, "concat(text, case turn % 4 when 0 then ' [CHUNK 1]' when 1 then ' ( CHUNK 12 ) y' when 2 then ' [CHUNK 0 | f]' else '(CHUNK 7]' end)")
+    return rows.select("conv_id", "turn", T.without_chunk_marks(F.col("answer")).alias("answer"))
 
-CLEAN = "(1, '«Ответ»', 'Ответ'), (2, ' \"a<think>x</think> b [CHUNK 3]\" ', 'a b'), (3, 'quoted', 'quoted'), (4, '«\"x\"»', '\"x\"')"
 
-
-@query(f"SELECT id, clean FROM (VALUES {CLEAN}) v(id, raw, clean)")
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'a' || text || 'z' WHEN 1 THEN 'a' || text || chr(10) || 'z' ELSE '\"a\" ' || text || ' z' END AS answer FROM conversations")
 def q26_clean_answer(spark, folder):
-    return values(spark, CLEAN, "id, raw, want").select("id", T.clean_answer(F.col("raw")).alias("clean"))
+    rows = dressed(spark, folder, r"""case turn % 3 when 0 then concat(' «a', text, 'z» ') when 1 then concat('"\'<think>x\ny</think>a', text, '\\nz [CHUNK 3]\'"') else concat('«"a" ', text, ' z (CHUNK 2)» ') end""")
+    return rows.select("conv_id", "turn", T.clean_answer(F.col("answer")).alias("answer"))
 
 
 @query(f"WITH {ANSWERS}, b AS (SELECT conv_id, turn, {NORM.format('answer')} AS ans, {NORM.format('context')} AS ctx FROM a) SELECT conv_id, turn, length(ans) <= 20 OR contains(ctx, substr(ans, 1, 60)) OR len(list_filter(string_split(ans, ' '), lambda w: contains(ctx, w))) >= greatest(2, len(string_split(ans, ' ')) * 0.4) AS passes FROM b")
@@ -258,12 +259,15 @@ def q27_anchor_check(spark, folder):
     return answers_of(spark, folder).select("conv_id", "turn", A.passes_anchor(F.col("answer"), F.col("context")).alias("passes"))
 
 
-NUMBERS = "(1, '5 мм', '5 мм', true), (2, '7 кг', '5 мм', false), (3, 'none', '', true), (4, '3 минуты', '3 м', true), (5, '10 % и 2 км', '10 %', false)"
+NUMBERED = "SELECT doc_id, doc_id % 50 || ' км, ' || n_chars % 9 || ' %' AS answer, source || ' ' || doc_id % 25 || ' км и ' || n_chars % 7 || ' % от ' || n_chars % 9 || ' %' AS context FROM documents"
 
 
-@query(f"SELECT id, passes FROM (VALUES {NUMBERS}) v(id, answer, context, passes)")
+@query(f"WITH n AS ({NUMBERED}) SELECT doc_id, len(list_filter(regexp_extract_all(lower(answer), '\\d+[\\s.,]*(?:м|км|мм|%|кг|лет|этаж)'), lambda x: NOT contains(lower(context), trim(x)))) = 0 AS passes FROM n")
 def q28_number_check(spark, folder):
-    return values(spark, NUMBERS, "id, answer, context, want").select("id", A.passes_numbers(F.col("answer"), F.col("context")).alias("passes"))
+    docs = table(spark, folder, "documents")
+    answer = F.expr("concat(doc_id % 50, ' км, ', n_chars % 9, ' %')")
+    context = F.expr("concat(source, ' ', doc_id % 25, ' км и ', n_chars % 7, ' % от ', n_chars % 9, ' %')")
+    return docs.select("doc_id", A.passes_numbers(answer, context).alias("passes"))
 
 
 @query(f"WITH {ANSWERS} SELECT conv_id, turn, cast(len(list_intersect({BAG.format('lower(answer)')}, {BAG.format('lower(context)')})) AS INTEGER) AS shared FROM a")
@@ -300,7 +304,7 @@ def q32_list_documents(spark, folder):
 def q33_document_status(spark, folder):
     log = table(spark, folder, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("filename"), F.col("event_type").alias("status"), F.col("event_id").alias("seq"))
     rows = store.latest_status(log).join(log.groupBy("filename").agg(F.count("*").alias("total")), "filename")
-    return rows.select("filename", "status", F.bround((F.col("seq") % F.col("total")) * 100.0 / F.col("total"), 1).alias("progress_pct"))
+    return rows.select("filename", "status", store.progress(F.col("seq") % F.col("total"), F.col("total")).alias("progress_pct"))
 
 
 SAFE = "('a.txt'), ('../a.txt'), ('a/b.txt'), (''), ('..'), ('.')"
@@ -312,26 +316,27 @@ def q34_safe_filename(spark, folder):
     return names.select("name", T.safe_filename(F.col("name")).alias("safe"))
 
 
-FILES = "('a.PDF', '.pdf', 'a', true), ('b.tar.gz', '.gz', 'b.tar', false), ('.hidden', '', '.hidden', false), ('dir/c.docx', '.docx', 'c', true), ('noext', '', 'noext', false), ('m.msg', '.msg', 'm', true)"
+ENDS = "CASE doc_id % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.tar.gz' WHEN 2 THEN '' WHEN 3 THEN '.docx' WHEN 4 THEN '/x.md' WHEN 5 THEN '/.hidden' ELSE '.Msg' END"
 
 
-@query(f"SELECT name, suffix, stem, ok AS supported FROM (VALUES {FILES}) v(name, suffix, stem, ok)")
+@query(f"WITH n AS (SELECT doc_id, lang || doc_id || {ENDS} AS name FROM documents), b AS (SELECT *, list_extract(string_split(name, '/'), -1) AS base FROM n), d AS (SELECT *, CASE WHEN contains(base[2:], '.') THEN '.' || list_extract(string_split(base, '.'), -1) ELSE '' END AS ending FROM b) SELECT doc_id, name, lower(ending) AS suffix, base[1:length(base) - length(ending)] AS stem, lower(ending) IN ('.pdf', '.docx', '.txt', '.md', '.msg') AS supported FROM d")
 def q35_supported_filter(spark, folder):
     name = F.col("name")
-    return values(spark, FILES, "name, a, b, c").select("name", T.suffix(name).alias("suffix"), T.stem(name).alias("stem"), T.supported(name).alias("supported"))
+    names = table(spark, folder, "documents").select("doc_id", F.expr(f"concat(lang, doc_id, {ENDS})").alias("name"))
+    return names.select("doc_id", "name", T.suffix(name).alias("suffix"), T.stem(name).alias("stem"), T.supported(name).alias("supported"))
 
 
 # ---- older profile
 COSINE = f"({DOT.format('e.embedding', 'q.embedding')} / (sqrt({DOT.format('e.embedding', 'e.embedding')}) * sqrt({DOT.format('q.embedding', 'q.embedding')})))"
 
 
-@query(f"SELECT e.vec_id, round(1 - (1 - {COSINE}) / 2, 6) AS gate, round(1 - (1 - {COSINE}) / 2, 6) >= 0.65 AS passes FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round(1 - (1 - {COSINE}) / 2, 6) AS gate, round(1 - (1 - {COSINE}) / 2, 6) >= 0.65 AS passes FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0")
 def q36_cosine_gate(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    first = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     sim = inner_product(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * norm(F.col("q")))
     gate = F.round(cosine_gate(sim), 6)
-    return vectors.crossJoin(F.broadcast(first)).select("vec_id", gate.alias("gate"), (gate >= THRESHOLD).alias("passes"))  # one row
+    return search.every_pair(vectors, asked).select("query_id", "vec_id", gate.alias("gate"), (gate >= THRESHOLD).alias("passes"))
 
 
 KEYWORDS = "about thathe retion wherean"
@@ -349,49 +354,136 @@ def q38_section_counts(spark, folder):
     return store.chunks_per_document(rows, "filename", "section")
 
 
-@query(f"WITH {CHUNKS}, s AS (SELECT c.id, c.ord, {COSINE} AS sim FROM c JOIN embeddings e ON e.vec_id = c.ord, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE section = 'en'), r AS (SELECT *, row_number() OVER (ORDER BY round(sim, 9) DESC, ord) AS rank FROM s) SELECT id, cast(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
+@query(f"WITH {CHUNKS}, s AS (SELECT q.vec_id AS query_id, c.id, c.ord, {COSINE} AS sim FROM c JOIN embeddings e ON e.vec_id = c.ord, embeddings q WHERE section = 'en' AND q.vec_id IN (SELECT item_id FROM benchmark WHERE item_id % 100 = 0)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, ord) AS rank FROM s) SELECT query_id, id, cast(rank AS INTEGER) AS rank, round(sim, 6) AS similarity FROM r WHERE rank <= 5")
 def q39_section_filter_topk(spark, folder):
     found = legacy.cosine_topk(chunks_of(spark, folder, True), question_of(spark, folder), "en")
-    return found.select("id", F.col("rank").cast("int").alias("rank"), F.round("similarity", 6).alias("similarity"))
+    return found.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
 # ---- illustrations and pages
-PICTURES = "(1, 'text [Рисунок 1: img_001.png] and [Рисунок 12: b.jpg]'), (2, 'none'), (3, '[Рисунок 2: c.png]')"
+PICTURED = "SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' [Рисунок ' || doc_id % 20 || ': img_' || doc_id % 20 || '.png]' || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE ' then more ' || lang END || '[Рисунок 7: b.jpg] last words [Рисунок x: no]' END AS text FROM documents"
+MARK = r"\[Рисунок (\d+): ([^\]]+)\]"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'img_001.png', 0), (1, 12, 'b.jpg', 1), (3, 2, 'c.png', 0)) v(id, number, image, \"at\")")
-def q40_marker_extract(spark, folder):
-    return images.markers(values(spark, PICTURES, "id, text"), "id")
+def pictured(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, two of three with two markers, with or without words between them, and something that is none."""
+    marks = "concat(text, ' [Рисунок ', doc_id % 20, ': img_', doc_id % 20, '.png]', if(doc_id % 2 = 0, ' ', concat(' then more ', lang)), '[Рисунок 7: b.jpg] last words [Рисунок x: no]')"
+    return table(spark, folder, "documents").select("doc_id", "source", "lang", F.expr(f"if(doc_id % 3 = 0, text, {marks})").alias("text"))
 
 
-GROUPED = "(1, 'alpha words [Рисунок 1: a.png] [Рисунок 2: b.png] middle text [Рисунок 3: c.png]'), (2, '[Рисунок 4: d.png] x [Рисунок 5: e.png]')"
+@query(f"WITH p AS ({PICTURED}), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{MARK}', 1)) AS number, unnest(regexp_extract_all(text, '{MARK}', 2)) AS image, generate_subscripts(regexp_extract_all(text, '{MARK}', 1), 1) - 1 AS place FROM p) SELECT doc_id, number::INTEGER AS number, image, place::INTEGER AS \"at\" FROM m")
+def q40_marker_extract(spark, folder):
+    return images.markers(pictured(spark, folder), "doc_id")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a.png', 1), (1, 1, 'b.png', 1), (1, 2, 'c.png', 2), (2, 0, 'd.png', 1), (2, 1, 'e.png', 1)) v(id, \"at\", image, grp)")
+@query(f"WITH p AS ({PICTURED}), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{MARK}', 2)) AS image, unnest(string_split_regex(text, '{MARK}')[:-2]) AS before, generate_subscripts(regexp_extract_all(text, '{MARK}', 2), 1) AS place FROM p), w AS (SELECT *, len(list_distinct(regexp_extract_all(lower(before), '[A-Za-zА-Яа-яЁё0-9-]{{4,}}'))) AS n FROM m), g AS (SELECT *, sum((place = 1 OR n > 0)::INT) OVER (PARTITION BY doc_id ORDER BY place) - 1 AS grp FROM w) SELECT doc_id, grp::INTEGER AS grp, max(CASE WHEN rn = 1 THEN n END)::INTEGER AS n_words, string_agg(image, ',' ORDER BY place) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY place) AS rn FROM g) GROUP BY doc_id, grp")
 def q41_marker_groups(spark, folder):
-    rows = values(spark, GROUPED, "id, text")
-    before = rows.select("id", F.posexplode(F.split("text", T.MARKER.replace("(", "(?:"), -1)).alias("at", "before"))
-    starts = (F.col("at") == 0) | (F.size(T.bag_words(F.lower("before"))) > 0)
-    group = F.sum(starts.cast("int")).over(W.partitionBy("id").orderBy("at"))
-    return images.markers(rows, "id").join(before, ["id", "at"]).select("id", "at", "image", group.cast("int").alias("grp"))
+    rows = pictured(spark, folder).withColumn("marks", F.regexp_extract_all("text", F.lit(f"({T.MARKER})"), F.lit(1)))
+    rows = rows.withColumn("urls", F.map_from_entries(F.array_distinct(F.arrays_zip("marks", T.marker_names(F.col("text")).alias("url")))))
+    groups = rows.select("doc_id", F.posexplode(A.marker_groups(F.col("text"), F.col("urls"))).alias("grp", "g"))
+    return groups.select("doc_id", "grp", F.size("g.words").alias("n_words"), F.array_join("g.urls", ",").alias("urls"))
 
 
-SHOWN = "(0, 0, 'other_file.docx', 'x [Рисунок 1: a.png]'), (0, 1, 'payment-process.docx', 'y [Рисунок 1: b.png]'), (0, 2, 'other_file.docx', 'z [Рисунок 2: c.png]'), (1, 0, 'first.docx', 'x [Рисунок 1: a.png]'), (1, 1, 'second.docx', 'x [Рисунок 1: a.png]'), (1, 2, 'second.docx', 'x [Рисунок 2: a.png]')"
+FILE_ROOTS = ROOTS.format("replace(replace(filename, '_', ' '), '-', ' ')")
+SHOWN = f"p AS ({PICTURED}), h AS (SELECT doc_id % 10 * 4 AS query_id, doc_id AS pos, substr(list_extract(string_split(text, ' '), 1 + doc_id % 3), 1, 12) || '-' || lang || '_' || source || '.docx' AS filename, text FROM p), q AS (SELECT item_id AS query_id, text || ' source about src' AS question FROM benchmark)"
 
 
-@query("SELECT * FROM (VALUES (0, 'payment-process.docx', 2), (1, 'second.docx', 0)) v(query_id, filename, score)")
+@query(f"WITH {SHOWN}, f AS (SELECT query_id, filename, count(*) AS n, min(pos) AS first FROM h WHERE regexp_matches(text, '{MARK}') GROUP BY ALL), s AS (SELECT f.*, len(list_intersect({ROOTS.format('question')}, {FILE_ROOTS})) AS score FROM f JOIN q USING (query_id)), r AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN top > 0 THEN -score ELSE -n END, first) AS k FROM r) SELECT query_id, filename, score::INTEGER AS score FROM o WHERE k = 1")
 def q42_image_source(spark, folder):
-    asked = values(spark, "(0, 'how does the payment process go'), (1, 'nothing in common')", "query_id, question")
-    return images.image_source(values(spark, SHOWN, "query_id, pos, filename, text"), asked)
+    name = "concat(substr(element_at(split(text, ' '), cast(1 + doc_id % 3 as int)), 1, 12), '-', lang, '_', source, '.docx')"
+    hits = pictured(spark, folder).select(F.expr("doc_id % 10 * 4").alias("query_id"), F.col("doc_id").alias("pos"), F.expr(name).alias("filename"), "text")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" source about src")).alias("question"))
+    return images.image_source(hits, asked)
 
 
 @query("SELECT * FROM (VALUES (1, '1. open the payment form' || chr(10) || 'u1' || chr(10) || '2. press approve button' || chr(10) || 'u2'), (2, 'no points here')) v(id, answer)")
 def q43_attach_images(spark, folder):
-    rows = spark.sql("SELECT 1 AS id, concat('1. open the payment form', char(10), '2. press approve button') AS answer, array('open payment form here [Рисунок 1: a.png] then press approve [Рисунок 2: b.png]') AS chunks, array('[Рисунок 1: a.png]', '[Рисунок 2: b.png]') AS markers, array('u1', 'u2') AS urls UNION ALL SELECT 2, 'no points here', array('text'), array('m'), array('u')")
-    return rows.select("id", A.attach_images("answer", "chunks", "markers", "urls").alias("answer"))
+    rows = spark.sql("SELECT 1 AS id, concat('1. open the payment form', char(10), '2. press approve button') AS answer, array('open payment form here [Рисунок 1: a.png] then press approve [Рисунок 2: b.png]') AS chunks, map('[Рисунок 1: a.png]', 'u1', '[Рисунок 2: b.png]', 'u2') AS urls UNION ALL SELECT 2, 'no points here', array('text'), map('m', 'u')")
+    return rows.select("id", A.attach_images("answer", "chunks", "urls").alias("answer"))
+
 
+LINE = """CASE turn % 5 WHEN 1 THEN turn || '. ' || text WHEN 2 THEN 'http://h/' || conv_id || '?a=1&b' WHEN 3 THEN turn || ') <b>"' || text || '''' WHEN 4 THEN '  ' ELSE text END"""
+ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
 
-@query()
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _markup(template: str, *columns: str) -> str:
+    """SQL of a template whose gaps are columns."""
+    first, *rest = template.split("{}")
+    return " || ".join([_quoted(first), *(f"{c} || {_quoted(after)}" for c, after in zip(columns, rest))])
+
+
+_NL = " || chr(10) || "
+_SOURCE_LIST = _NL.join([*map(_quoted, A._SOURCES), _markup(A._SOURCE, "'http://h/files/f&amp;' || conv_id", "'f&amp;' || conv_id"), "'</ul>'"])
+_PAGE = _quoted(f'<!DOCTYPE html><html><head><meta charset="utf-8"><style>{A._STYLE}</style></head><body>')
+
+
+@query(rf"""WITH a AS (SELECT conv_id, string_split(string_agg({LINE}, chr(10) ORDER BY turn), chr(10)) AS lines FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM a),
+k AS (SELECT conv_id, place, trim(line) AS line, {ESCAPED.format('trim(line)')} AS safe, CASE WHEN trim(line) = 'http://h/' || conv_id || '?a=1&b' THEN 'g' WHEN regexp_matches(trim(line), '^\d+[.)]\s+') THEN 'i' ELSE 'p' END AS kind FROM l WHERE trim(line) <> ''),
+s AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'g' THEN kind END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 'i', false) AS listed, coalesce(last_value(CASE WHEN kind <> 'g' THEN kind END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'i', false) AS was, lead(kind) OVER (PARTITION BY conv_id ORDER BY place) AS next FROM k),
+r AS (SELECT conv_id, place, CASE WHEN kind = 'i' AND NOT was THEN '<ol>' || chr(10) ELSE '' END || CASE kind WHEN 'g' THEN CASE WHEN listed THEN {_markup(A._LIST_IMAGE, 'safe')} ELSE {_markup(A._IMAGE, 'safe')} END WHEN 'i' THEN '<li>' || regexp_replace(safe, '^\d+[.)]\s+', '') ELSE '<p>' || safe || '</p>' END || CASE WHEN listed AND coalesce(next, 'p') = 'p' THEN chr(10) || '</li></ol>' ELSE '' END AS part FROM s)
+SELECT conv_id, {_PAGE} || string_agg(part, chr(10) ORDER BY place) || CASE WHEN conv_id % 2 = 0 THEN chr(10) || {_SOURCE_LIST} ELSE '' END || '</body></html>' AS html FROM r GROUP BY conv_id""")
 def q44_answer_html(spark, folder):
-    rows = spark.sql("SELECT 1 AS id, concat('Intro <a>', char(10), '1. first', char(10), 'u1', char(10), 'end') AS answer, array('u1') AS images, array('f.txt') AS names, array('http://h/files/f.txt') AS urls")
-    return rows.select("id", A.answer_html("answer", "images", "names", "urls").alias("html"))
+    line = F.expr(r"""case turn % 5 when 1 then concat(turn, '. ', text) when 2 then concat('http://h/', conv_id, '?a=1&b') when 3 then concat(turn, ') <b>"', text, '\'') when 4 then '  ' else text end""")
+    rows = table(spark, folder, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("answer"))
+    name, none = F.concat(F.lit("f&"), F.col("conv_id")), F.array().cast("array<string>")
+    rows = rows.withColumn("images", F.array(F.concat(F.lit("http://h/"), F.col("conv_id"), F.lit("?a=1&b")))).withColumn("names", F.when(F.col("conv_id") % 2 == 0, F.array(name)).otherwise(none))
+    rows = rows.withColumn("urls", F.transform("names", lambda x: F.concat(F.lit("http://h/files/"), x)))
+    return rows.select("conv_id", A.answer_html("answer", "images", "names", "urls").alias("html"))
+
+
+# ---- service
+CTX = "y AS (SELECT * FROM x WHERE pos < 10), ctx AS (SELECT query_id, string_agg('[CHUNK ' || pos || ' | ' || filename || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS context, count(*) AS chunks_used, list(text ORDER BY pos)[:5] AS raw FROM y GROUP BY query_id)"
+SRC = f"o AS (SELECT query_id, filename, min(pos) AS first FROM y GROUP BY query_id, filename), z AS (SELECT o.*, len(list_intersect({ROOTS.format('question')}, {FILE_ROOTS})) AS relevance FROM o JOIN q USING (query_id)), src AS (SELECT query_id, list(filename ORDER BY relevance DESC, first) AS sources FROM z GROUP BY query_id)"
+
+
+@query(f"WITH {HITS}, {NEAR}, {CTX}, {SRC}, rep AS (SELECT query_id, trim(substr(text, 1, 80)) AS reply FROM y WHERE pos = 0), bb AS (SELECT *, {BAG.format(NORM.format('reply'))} AS words, {NORM.format('context')} AS norm FROM rep JOIN ctx USING (query_id)) SELECT query_id, CASE WHEN len(words) = 0 OR len(list_filter(words, lambda w: contains(norm, w)))::DOUBLE / len(words) >= 0.3 THEN reply ELSE '{T.NOT_FOUND}' END AS answer, array_to_string(sources, '|') AS sources, chunks_used, length(array_to_string(raw, '|')) AS raw_length FROM bb JOIN src USING (query_id)")
+def q45_ask(spark, folder):
+    asked = question_of(spark, folder).withColumn("rewritten", F.col("question"))
+    chunks = chunks_of(spark, folder, True)
+    hits = search.hybrid_search(chunks, asked).join(chunks.select("id", "text"), "id")
+    found = service.context_of(hits, chunks, asked)
+    said = F.concat(F.lit("<think>so\nit is</think> «"), F.trim(F.substring("text", 1, 80)), F.lit(" [CHUNK 1]» "))
+    replies = found.where("pos = 0").select("query_id", said.alias("raw"), F.lit(None).cast("string").alias("failure"))
+    rows = service.finished(asked, hits, found, replies, "http://host/", threshold=0.0)
+    return rows.select("query_id", "answer", F.array_join("sources", "|").alias("sources"), "chunks_used", F.length(F.array_join("raw_chunks", "|")).cast("long").alias("raw_length"))
+
+
+@query(f"WITH {CHUNKS}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE user_id < 15), l AS (SELECT 'src' || user_id || '.txt' AS filename, event_type AS status, cast(event_id % 40 AS INTEGER) AS done, cast(event_id % 3 * 20 AS INTEGER) AS total FROM e WHERE k = 1), n AS (SELECT filename, cast(count(*) AS INTEGER) AS have FROM c GROUP BY filename) SELECT filename, coalesce(status, 'ready') AS status, coalesce(done, have) AS chunks_done, coalesce(total, have) AS chunks_total, round_even(coalesce(done, have) * 100.0::DOUBLE / CASE WHEN coalesce(total, have) = 0 THEN 1 ELSE coalesce(total, have) END, 1) AS progress_pct FROM l FULL JOIN n USING (filename)")
+def q46_document_status(spark, folder):
+    log = table(spark, folder, "events").where("user_id < 15").selectExpr("concat('src', user_id, '.txt') as filename", "event_type as status", "cast(event_id % 40 as int) as chunks_done", "cast(event_id % 3 * 20 as int) as chunks_total", "cast(null as string) as error", "cast(ts as string) as started_at", "cast(ts as string) as finished_at", "event_id as seq")
+    return store.document_status(log, chunks_of(spark, folder)).select("filename", "status", "chunks_done", "chunks_total", "progress_pct")
+
+
+@query(f"WITH n AS (SELECT doc_id, lang || doc_id || {ENDS.replace('/', '')} AS filename FROM documents) SELECT filename, CASE WHEN doc_id % 2 = 0 THEN 'skipped' ELSE 'started' END AS state FROM n WHERE doc_id % 7 IN (0, 3, 4, 6)")
+def q47_started_and_skipped(spark, folder):
+    files = table(spark, folder, "documents").select("doc_id", F.expr(f"concat(lang, doc_id, {ENDS.replace('/', '')})").alias("filename"))
+    status = files.select("filename", F.when(F.col("doc_id") % 2 == 0, "indexing").otherwise("ready").alias("status"))
+    return store.started_and_skipped(files, status)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 5 WHEN event_id % 7 - 2 >= 1 THEN event_id % 7 - 2 ELSE 0 END::INTEGER AS top_k, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 2 THEN 5 ELSE event_id % 7 - 2 END::INTEGER AS legacy FROM events")
+def q48_top_k_check(spark, folder):
+    asked = F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 7 - 2)
+    return table(spark, folder, "events").select("event_id", F.coalesce(service.checked_top_k(asked, TOP_K), F.lit(0)).alias("top_k"), service.legacy_top_k(asked, TOP_K).alias("legacy"))
+
+
+@query("WITH b AS (SELECT conv_id, turn, trim(text) AS text, CASE WHEN role = 'assistant' THEN 1 + turn % 3 ELSE 0 END AS n FROM conversations), c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS before FROM b), l AS (SELECT conv_id, turn, text || array_to_string(list_transform(range(1, n + 1), lambda i: chr(10) || '[Рисунок ' || (before + i) || ': img_' || lpad((before + i)::VARCHAR, 3, '0') || '.png]'), '') AS part FROM c) SELECT conv_id, trim(string_agg(part, chr(10) || chr(10) ORDER BY turn)) || chr(10) AS preview FROM l GROUP BY conv_id")
+def q49_preview_text(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", F.col("turn").alias("pos"), F.trim("text").alias("text"), F.expr("if(role = 'assistant', transform(sequence(0L, turn % 3), i -> concat('dir/p', i, '.png')), cast(array() as array<string>))").alias("images"))
+    return documents.preview_text(rows, "conv_id")
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text || 'Ёж-и 5', '[^ \n\t\r\f\vЀ-ӿɏ-]', '', 'g') AS kept FROM conversations")
+def q50_cyrillic_only(spark, folder):
+    return table(spark, folder, "conversations").select("conv_id", "turn", T.cyrillic_only(F.concat("text", F.lit("Ёж-и 5"))).alias("kept"))
+
+
+@query(f"WITH p AS ({PICTURED}), m AS (SELECT unnest(regexp_extract_all(text, '{MARK}', 1)) AS number, unnest(regexp_extract_all(text, '{MARK}', 2)) AS image FROM p WHERE source = 'src1') SELECT DISTINCT 0 AS query_id, '[Рисунок ' || number || ': ' || image || ']' AS marker, 'http://host/files/src1_images/' || image AS url FROM m")
+def q51_image_urls(spark, folder):
+    rows = pictured(spark, folder).select(F.lit(0).alias("query_id"), F.concat("source", F.lit(".txt")).alias("filename"), F.col("doc_id").alias("pos"), "text")
+    source = spark.range(1).select(F.col("id").cast("int").alias("query_id"), F.lit("src1.txt").alias("filename"))
+    return images.image_urls(rows, source, "http://host/")

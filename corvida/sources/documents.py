@@ -14,6 +14,7 @@ from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvida.functions import text as T
@@ -30,27 +31,43 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("filename", T.basename(F.col("path"))).withColumn("supported", T.supported(F.col("filename")))
 
 
+def _part(target: str) -> str:
+    """A relationship's target as a name in the archive: from the archive's root, or from the document's folder."""
+    steps: list[str] = []
+    for step in (target.lstrip("/") if target.startswith("/") else f"word/{target}").split("/"):
+        steps = steps[:-1] if step == ".." else [*steps, step] if step != "." else steps
+    return "/".join(steps)
+
+
+def content_types(z: zipfile.ZipFile) -> tuple[dict[str, str], dict[str, str]]:
+    """Types of parts, and types of file endings for the parts that have none of their own."""
+    if "[Content_Types].xml" not in z.namelist():
+        return {}, {}
+    entries = list(ET.fromstring(z.read("[Content_Types].xml")))
+    parts = {e.get("PartName", "").lstrip("/"): e.get("ContentType", "") for e in entries if e.get("PartName")}
+    return parts, {e.get("Extension", "").lower(): e.get("ContentType", "") for e in entries if e.get("Extension")}
+
+
 def read_docx(blob: bytes) -> tuple[str, list[tuple[str, bytes]]]:
-    """(text with markers, [(image name, bytes)]) in document order."""
+    """(text with markers, [(image name, bytes)]) in document order; a document without any text is an error."""
     with zipfile.ZipFile(io.BytesIO(blob)) as z:
-        body = ET.fromstring(z.read("word/document.xml"))
+        names, (own, by_ending) = set(z.namelist()), content_types(z)
         targets = {}
-        if "word/_rels/document.xml.rels" in z.namelist():
-            targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+        if "word/_rels/document.xml.rels" in names:
+            targets = {r.get("Id"): _part(r.get("Target") or "") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
         paragraphs, images = [], []
-        for p in body.iter(f"{_W}p"):
-            text = "".join((n.text or "") if n.tag == f"{_W}t" else "\t" if n.tag == f"{_W}tab" else "\n" if n.tag == f"{_W}br" else "" for n in p.iter())
-            if text.strip():
-                paragraphs.append(text.strip())
+        for p in ET.fromstring(z.read("word/document.xml")).iter(f"{_W}p"):
+            marks = {f"{_W}t": lambda n: n.text or "", f"{_W}tab": lambda n: "\t", f"{_W}br": lambda n: "\n"}
+            text = "".join(marks[n.tag](n) for n in p.iter() if n.tag in marks).strip()
+            paragraphs += [text] if text else []
             for node in p.iter():
-                ref = node.get(f"{_R}embed") or (node.get(f"{_R}id") if node.tag.endswith("}imagedata") else None)
-                target = targets.get(ref)
-                if target and f"word/{target}" in z.namelist():
-                    ending = "." + target.rsplit(".", 1)[-1].lower() if "." in target else ".png"
-                    ending = {".jpeg": ".jpg"}.get(ending, ending) if ending.replace("jpeg", "jpg") in _ENDINGS.values() else ".png"
-                    name = f"img_{len(images) + 1:03d}{ending}"
-                    images.append((name, z.read(f"word/{target}")))
-                    paragraphs.append(f"[Рисунок {len(images)}: {name}]")
+                part = targets.get(node.get(f"{_R}embed") or (node.get(f"{_R}id") if node.tag.endswith("}imagedata") else None))
+                if part in names:
+                    kind = own.get(part) or by_ending.get(part.rpartition(".")[2].lower(), "")
+                    images.append((f"img_{len(images) + 1:03d}{_ENDINGS.get(kind, '.png')}", z.read(part)))
+                    paragraphs.append(f"[Рисунок {len(images)}: {images[-1][0]}]")
+        if not paragraphs:
+            raise ValueError("no text in the document")
         return "\n".join(paragraphs), images
 
 
@@ -92,3 +109,41 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["filename", "part_index", "text", "error", "images"])
 
     return files.mapInPandas(run, "filename string, part_index int, text string, error string, images array<struct<name:string,content:binary>>")
+
+
+def write_images(parsed: DataFrame, folder: str) -> DataFrame:
+    """Write the pictures of ``read_documents`` below ``folder``, as <stem>_images/<name>; (filename, n_images) of the files that have any.
+
+    ``folder`` is a path or URI in a store that all executors reach; every executor writes its own files' pictures.
+    """
+    rows = parsed.where(F.size("images") > 0).select("filename", T.stem(F.col("filename")).alias("stem"), "images")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for x in frames:
+            for stem, images in zip(x["stem"], x["images"]):
+                store.create_dir(f"{base}/{stem}_images", recursive=True)
+                for image in images:
+                    with store.open_output_stream(f"{base}/{stem}_images/{image['name']}") as out:
+                        out.write(image["content"])
+            yield pd.DataFrame({"filename": x["filename"], "n_images": x["images"].map(len)})
+
+    return rows.mapInPandas(run, "filename string, n_images int")
+
+
+def preview_text(blocks: DataFrame, *keys: str) -> DataFrame:
+    """(keys, preview) of (keys, pos, text, images): blocks in order, each with its pictures' markers, numbered through, and a blank line."""
+    n = F.coalesce(F.size("images"), F.lit(0))
+    order = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = blocks.withColumn("before", F.coalesce(F.sum(F.when(n > 0, n).otherwise(0)).over(order), F.lit(0)))
+
+    def marker(image, i):
+        number = F.col("before") + i + 1
+        return F.concat(F.lit("[Рисунок "), number, F.lit(": img_"), F.lpad(number.cast("string"), 3, "0"), F.regexp_extract(T.basename(image), r"^.+(\.[^.]+)$", 1), F.lit("]"))
+
+    lines = F.concat(F.array("text"), F.transform(F.coalesce("images", F.array().cast("array<string>")), marker), F.array(F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", lines.alias("lines"))))
+    text = F.array_join(F.flatten(F.transform(ordered, lambda x: x["lines"])), "\n")
+    return rows.groupBy(*keys).agg(F.concat(T.strip(text), F.lit("\n")).alias("preview"))

@@ -14,13 +14,13 @@ from corvida.operators.store import ChunkStore
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: ChunkStore, embed: Callable[[list[str]], list], checkpoint: str) -> StreamingQuery:
-    """Runs once over what is new. A batch replaces its files' rows in one snapshot, so a repeated batch changes nothing."""
+    """Runs once over what is new. A batch replaces its files' rows in one step, so a repeated batch changes nothing."""
     files = spark.readStream.format("text").option("wholetext", True).load(folder)
     parsed = files.select(T.basename(F.col("_metadata.file_path")).alias("filename"), F.lit(0).alias("part_index"), F.col("value").alias("text"))
 
     def write(batch: DataFrame, _: int) -> None:
-        new = ingest_rows(batch, embed)
-        old = store.read().join(batch.select("filename").distinct(), "filename", "left_anti")
-        store.write(old.unionByName(new))
+        names = [r[0] for r in batch.select("filename").distinct().collect()]  # the new files of one micro-batch
+        if names:
+            store.put(names, ingest_rows(batch, embed))
 
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
