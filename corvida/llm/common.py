@@ -18,9 +18,11 @@ _own_folder: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; below a temporary folder only where that is unset (tests)."""
+    """A fresh path below ``spark.checkpoint.dir``; in local mode, where that is unset, below a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="corvida-"))
         base = _own_folder[0]
@@ -62,9 +64,19 @@ def delete_table(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
-def row_key(*columns: str) -> Column:
+def as_rows(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``row``, so that no column that is added clashes with one of its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def of_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The table that ``as_rows`` was given."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
+def row_key(*columns: str | Column) -> Column:
     """A key by content. Repeated rows share it, which is right wherever equal rows get equal answers."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+    return F.xxhash64(*columns)
 
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))

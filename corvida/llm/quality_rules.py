@@ -1,19 +1,20 @@
 """Quality rules whose cutoffs are chosen with a guarantee on false rejections.
 
-Rules are upper limits on per-word or per-line rates. Their cutoffs form a path of levels, each stricter than the one
-before. For each stratum (language) and level, the labelled good documents are a holdout: with k of n rejected, the
-exact binomial tail P(X <= k | n, ``risk``) is a p-value for "this level rejects over ``risk`` of good documents".
+Rules are upper limits on per-word or per-line rates. Cutoffs come from the data: of each stratum's (language's) labelled good
+documents, dealt into two halves by a hash of their ids, the first gives for each rule the values at ``QUANTILES``, from mild
+to strict; level k rejects a document if any rate is above its rule's k-th value. The second half is the holdout: with k of n
+rejected, the exact binomial tail P(X <= k | n, ``risk``) is a p-value for "this level rejects over ``risk`` of good documents".
 Holding it against ``delta`` / (strata * levels) (Bonferroni over all tests made) gives the exact (Clopper-Pearson) upper bound;
 the strictest level that passes is used, and where none passes only the base rules apply. So, with probability
 1 - ``delta``, no stratum loses over ``risk`` of its good documents to the rules, all rules taken together.
 
 Scale. One Arrow pass over the texts computes the features, which are kept as a narrow table; labels meet features by
-an equi-join; what is aggregated is (stratum, level) counts. The table of chosen levels has one row per stratum and is
-broadcast only below ``SMALL`` rows; above, it is a shuffled join.
+an equi-join; what is aggregated is quantile summaries and (stratum, level) counts. The tables of cutoffs and levels have one row per stratum and are
+broadcast only up to ``SMALL`` rows; above, they are shuffled joins.
 
 Defined cases. Null or empty text: no words, so base_failed. Null language: a stratum of its own. Null labels count
-for nothing; with several labels for a document the highest counts. Documents without a doc_id have no label.
-Repeated rows are each judged and returned. Empty tables give an empty result. Other columns are not read.
+for nothing; with several labels for a document the highest counts. Documents without a doc_id have no label. A stratum without good labels has no cutoffs.
+Repeated rows are each judged and returned. Empty tables give an empty result. Other columns are not read, and kept by ``kept_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm.common import rolled, row_key, stored
+from corvida.llm.common import as_rows, of_rows, row_key, stored
 
-#: Cutoffs by level, mildest first; a document is rejected at a level if any rate is above that level's cutoff.
-PATH = {
-    "symbols_per_word": (2.0, 1.0, 0.5, 0.3, 0.2),
-    "repeat_word_share": (0.45, 0.4, 0.35, 0.3, 0.25),
-    "dup_line_share": (0.9, 0.75, 0.6, 0.5, 0.4),
-    "upper_share": (0.9, 0.8, 0.7, 0.6, 0.5),
-    "exclaims_per_word": (2.0, 1.0, 0.75, 0.5, 0.3),
-}
+RULES = ("symbols_per_word", "repeat_word_share", "dup_line_share", "upper_share", "exclaims_per_word")
+#: Shares of the good documents that are not above a rule's cutoff, by level.
+QUANTILES = (0.9995, 0.999, 0.9975, 0.995, 0.99, 0.98)
 RISK, DELTA = 0.02, 0.05
 SMALL = 4096
 
@@ -48,10 +44,8 @@ def _repeat_words(words: list[bytes]) -> int:
         return 0
     ids: dict[bytes, int] = {}
     at = np.array([ids.setdefault(w, len(ids)) for w in words], np.uint64)
-    if (v := len(ids)) < 2_000_000:
-        keys = (at[:-2] * np.uint64(v) + at[1:-1]) * np.uint64(v) + at[2:]
-    else:
-        keys = rolled(at * np.uint64(0x9E3779B97F4A7C15), 3)
+    pairs = np.unique(at[:-1] << np.uint64(32) | at[1:], return_inverse=True)[1].astype(np.uint64)  # numbered, so that any text's windows fit in a word
+    keys = pairs[:-1] << np.uint64(32) | at[2:]
     if len(order := np.sort(keys)) == 0 or not (same := order[1:] == order[:-1]).any():
         return 0
     hit = np.isin(keys, order[1:][same])
@@ -103,13 +97,10 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, 1 - front * f if flip else front * f)
 
 
-def reject_level(path: dict[str, tuple[float, ...]] = PATH) -> Column:
-    """The mildest level (from 0) that rejects the row; null if none does."""
-    levels = len(next(iter(path.values())))
-    out = F.lit(None).cast("int")
-    for level in reversed(range(levels)):
-        out = F.when(F.greatest(*[F.expr(f"int({rate} > {cuts[level]}D)") for rate, cuts in path.items()]) == 1, level).otherwise(out)
-    return out
+def reject_level(levels: int) -> Column:
+    """The mildest level (from 0) that rejects the row, whose cutoffs stand in the arrays ``cut_<rule>``; null if none does."""
+    first = F.least(*[F.expr(f"size(filter(cut_{rule}, c -> {rule} <= c))") for rule in RULES])
+    return F.when((first >= 0) & (first < levels), first)
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -130,28 +121,44 @@ def choose_levels(judged: DataFrame, levels: int, risk: float, delta: float) ->
     return counts.crossJoin(F.broadcast(tests)).mapInPandas(certify, "stratum string, level int")
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", path: dict[str, tuple[float, ...]] = PATH, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def _by_stratum(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with what ``facts``, a stored table of one row per stratum, has for theirs."""
+    facts = facts.withColumnRenamed("stratum", "of")
+    small = F.broadcast(facts) if facts.count() <= SMALL else facts
+    return rows.join(small, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def cutoffs(good: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(stratum, cut_<rule> ...): each rule's values at the quantiles, from rows of good documents with their rates."""
+    shares = F.array(*map(F.lit, quantiles))
+    return good.groupBy("stratum").agg(*[F.percentile_approx(rule, shares, 10_000).alias(f"cut_{rule}") for rule in RULES])
+
+
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", quantiles: tuple[float, ...] = QUANTILES, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Per document: doc_id, key (content key of the row), stratum, the counts, base_failed, reject_level, level (chosen; -1: none), kept."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum")).withColumn("key", row_key("doc_id", "text", "stratum"))
     rows = source.mapInArrow(_measured, f"doc_id {id_type}, key long, stratum string, " + ", ".join(f"{c} long" for c in _COUNTS))
-    rows = _rates(rows).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn("reject_level", reject_level(path)).drop(*path)
-    rows = stored(rows, "quality-features")
+    rows = stored(_rates(rows).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "quality-features")
     good = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).groupBy("doc_id").agg(F.max("label").alias("label")).where("label = 1 and doc_id is not null")
-    judged = rows.where("not base_failed").select("doc_id", "stratum", "reject_level").join(good.select("doc_id"), "doc_id")
-    chosen = stored(choose_levels(judged, len(next(iter(path.values()))), risk, delta), "quality-levels").withColumnRenamed("stratum", "of")
-    if chosen.count() <= SMALL:
-        chosen = F.broadcast(chosen)
-    level = F.coalesce(F.col("level"), F.lit(-1))
-    return rows.join(chosen, F.col("stratum").eqNullSafe(F.col("of")), "left").drop("of").withColumn("level", level).withColumn("kept", F.expr("not base_failed and coalesce(reject_level > level, true)"))
+    judged = rows.where("not base_failed").select("doc_id", "stratum", *RULES).join(good.select("doc_id"), "doc_id").withColumn("half", F.expr("pmod(xxhash64(doc_id, 'half'), 2)"))
+    judged = stored(judged, "quality-judged")
+    levels = len(quantiles)
+    cuts = stored(cutoffs(judged.where("half = 0"), quantiles), "quality-cutoffs")
+    held = _by_stratum(judged.where("half = 1"), cuts).select("stratum", reject_level(levels).alias("reject_level"))
+    chosen = stored(choose_levels(held, levels, risk, delta), "quality-levels")
+    rows = _by_stratum(rows, cuts).withColumn("reject_level", reject_level(levels)).drop(*RULES, *[f"cut_{rule}" for rule in RULES])
+    rows = _by_stratum(rows, chosen).withColumn("level", F.coalesce(F.col("level"), F.lit(-1)))
+    return rows.withColumn("kept", F.expr("not base_failed and coalesce(reject_level > level, true)"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
     judged = apply_quality_rules(docs, labels, id_col, text_col, stratum_col, **options)
-    stays = judged.where("kept").select(F.col("key").alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col), F.col(stratum_col).cast("string")))
-    return keyed.join(stays, "__key", "left_semi").select(*docs.columns)
+    stays = judged.where("kept").select("key").distinct()
+    at = lambda c: F.col("row").getField(c)
+    keyed = as_rows(docs).withColumn("key", row_key(at(id_col), at(text_col), at(stratum_col).cast("string")))
+    return of_rows(keyed.join(stays, "key", "left_semi"), docs.columns)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
