@@ -12,8 +12,8 @@ so a source with a third of all rows is many small windows; each stratum meets i
 The source table is broadcast only below ``SMALL`` rows; above, it is a shuffled join.
 
 Defined cases. Null or empty text: size 0. Null source: a source of its own, last in order; the empty string is a source.
-A source without words has target 0. Null doc_ids and repeated rows are documents like any other (equal seeds walk side by side).
-Empty input: empty result. Columns of the same names as the results are replaced.
+A source without words has target 0. Null doc_ids are dealt out by their texts; repeated rows are documents like any other (equal seeds walk side by side).
+Empty input: empty result. Extra columns of any names are kept; ``mix_sources`` replaces those named like its results.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvida.llm.common import WORD, stored
+from corvida.llm.common import WORD, as_rows, of_rows, stored
 
 MAX_EPOCHS, STRATUM, SMALL = 3, 2000, 10_000
 WEIGHTS = (5, 2, 1)
@@ -41,13 +41,14 @@ def water_level(sources: DataFrame, max_epochs: int) -> float:
         level = higher
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target, whole (copies), extra (words of one more, partial copy) and taken.
+RESULTS = ("size", "source_size", "target", "whole", "extra", "taken")
 
-    ``weights`` has (source, weight); without it, weights follow ``cycle`` over the sources in code point order.
-    """
-    rows = docs.withColumn("size", F.expr(f"cast(regexp_count(coalesce({text_col}, ''), r'{WORD}') as bigint)"))
-    sources = stored(rows.groupBy(F.col(source_col).alias("of")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs_n")), "mix-sources")
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, cycle: tuple[int, ...], max_epochs: int, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``RESULTS`` beside the column ``row``, which has the columns of ``docs``."""
+    id_, text, source = (F.col("row").getField(c) for c in (id_col, text_col, source_col))
+    rows = as_rows(docs).withColumn("size", F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")).withColumn("its_source", source)
+    sources = stored(rows.groupBy(F.col("its_source").alias("of")).agg(F.sum("size").alias("source_size"), F.count("*").alias("docs_n")), "mix-sources")
     if weights is None:
         rank = F.row_number().over(W.orderBy(F.asc_nulls_last("of")))  # one row per source
         sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, cycle)), ((rank - 1) % len(cycle) + 1).cast("int")))
@@ -58,25 +59,37 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[
     targets = sources.select("of", "source_size", F.least((F.col("source_size") * max_epochs).cast("double"), F.col("weight") * F.lit(level)).alias("target"), F.ceil(F.col("docs_n") / STRATUM).alias("strata"))
     if sources.count() <= SMALL:
         targets = F.broadcast(targets)
-    rows = rows.drop("source_size", "target").join(targets, F.col(source_col).eqNullSafe(F.col("of")))
-    rows = rows.withColumn("seeded", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    rows = rows.join(targets, F.col("its_source").eqNullSafe(F.col("of")))
+    # rows without an id are dealt out by their texts
+    rows = rows.withColumn("seeded", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(id_.cast("string"), F.md5(F.coalesce(text, F.lit("")))))))
     rows = rows.withColumn("stratum", F.expr("cast(conv(substr(seeded, 1, 8), 16, 10) as bigint) % strata"))
     rows = rows.withColumn("times", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))).withColumn("whole", F.floor("times"))
     own = W.partitionBy("of", "stratum")
     before = F.sum("size").over(own.orderBy("seeded", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     due = F.floor((F.col("times") - F.col("whole")) * F.sum("size").over(own) + 0.5)
     rows = rows.withColumn("extra", F.least(F.greatest(due - before, F.lit(0)), F.col("size")).cast("long"))
-    return rows.withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("long")).drop("of", "strata", "seeded", "stratum", "times")
+    return rows.withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("long")).select("row", *RESULTS)
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with size, source_size, target, whole (copies), extra (words of one more, partial copy) and taken, in place of columns of these names.
+
+    ``weights`` has (source, weight); without it, weights follow ``cycle`` over the sources in code point order.
+    """
+    rows = _mixed(docs, weights, cycle, max_epochs, seed, id_col, text_col, source_col)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
+
 
+def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as taken, the partial copy as its first words joined by one space. Documents without words go.
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as taken, the partial copy as its first words joined by one space. Documents without words go."""
-    rows = mix_sources(docs, text_col=text_col, **options)
-    part = F.expr(f"array_join(slice(regexp_extract_all({text_col}, r'{WORD}', 0), 1, cast(extra as int)), ' ')")
-    copies = F.concat(F.array_repeat(F.col(text_col), F.col("whole").cast("int")), F.when(F.col("extra") == F.col("size"), F.array(F.col(text_col))).when(F.col("extra") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    rows = rows.where("size > 0").withColumn("copies", copies)
-    others = [c for c in docs.columns if c != text_col]
-    return rows.select(*others, F.explode("copies").alias(text_col)).select(*docs.columns)
+    All columns but the text are as they were, whatever their names.
+    """
+    rows, text = _mixed(docs, weights, cycle, max_epochs, seed, id_col, text_col, source_col), F.col("row").getField(text_col)
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, F.col("extra").cast("int")), " ")
+    copies = F.concat(F.array_repeat(text, F.col("whole").cast("int")), F.when(F.col("extra") == F.col("size"), F.array(text)).when(F.col("extra") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    rows = rows.where("size > 0").select("row", F.explode(copies).alias("copy"))
+    return of_rows(rows.withColumn("row", F.col("row").withField(text_col, F.col("copy"))), docs.columns)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +98,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = f"""
-WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('7|' || coalesce(cast(doc_id AS VARCHAR), '')) AS seeded FROM documents),
+WITH d AS (SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('7|' || coalesce(cast(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS seeded FROM documents),
 s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
 w AS (SELECT *, list_extract([5, 2, 1], cast((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)) AS weight FROM s),
 o AS (SELECT *, 3 * source_size / weight::DOUBLE AS ratio, row_number() OVER (ORDER BY 3 * source_size / weight::DOUBLE, source NULLS LAST) AS k FROM w),
