@@ -15,6 +15,9 @@ Scale. Nothing is broadcast or collected. Entries are pre-aggregated by fingerpr
 of all rows is one entry; runs share their buckets, so history is never shuffled again; joins back to documents are
 plain equi-joins that adaptive execution splits. Shuffle files of a step go when it ends.
 
+Repeated rows share a key and are opened once, so neither their stretches nor their spans are gathered per copy. Keys, fingerprints
+and window hashes have 64 bits each, and windows are told apart by two of them.
+
 Defined cases. Null and empty texts have no words. Fewer than 35 words: nothing goes. Repeated rows are documents like
 any other, so each is the other's copy. A null doc_id is kept as null. Empty input gives an empty result. Only the id
 and text columns are read, so extra columns cannot clash.
@@ -110,8 +113,8 @@ def _opened(window: int, gram: int):
             for key, text, opens in zip(*(c.to_pylist() for c in batch.columns)):
                 w = rolled(_word_hashes(text), window)
                 for o in {(o["start"], o["n"], o["fp"]) for o in opens}:
-                    at = np.arange(o[0], o[0] + o[1])
-                    keys.append(np.full(o[1], key)), starts.append(at), fps.append(np.full(o[1], o[2])), hashes.append(w[at].view(np.int64))
+                    at = np.arange(o[0], min(o[0] + o[1], len(w)))
+                    keys.append(np.full(len(at), key)), starts.append(at), fps.append(np.full(len(at), o[2])), hashes.append(w[at].view(np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (keys, starts, fps, hashes)], names=["key", "start", "fp", "hash"])
 
@@ -204,8 +207,10 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     postings = spark.read.schema(_POSTING_DDL + ", batch int").parquet(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = FingerprintIndex(spark, parts * max(1, -(-postings.count() // (parts * BUCKET_ENTRIES))))
-    shared = [index.add(postings.where((F.col("batch") == b) & F.col("fp").isNotNull()).select("fp")) for b in range(batches)]
-    index.drop()
+    try:
+        shared = [index.add(postings.where((F.col("batch") == b) & F.col("fp").isNotNull()).select("fp")) for b in range(batches)]
+    finally:
+        index.drop()  # also after a failed step: its tables are in the caller's catalogue
     union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
     shared = stored(union(shared).distinct(), "fp-shared")  # a plain table, so that the join on a hot fingerprint can be split
     own = postings.where("fp is null").select("key", "fp", "stretch", "start", "n")
@@ -219,11 +224,11 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     # of stretches that recur as a whole, one stands for all where the fingerprint has others too
     others = found.where("fp is not null and recurs is null")
     one = found.where("recurs").groupBy("fp", "stretch").agg(F.min(F.struct("key", "start", "n")).alias("x")).join(others.select("fp").distinct(), "fp", "left_semi").select("x.key", "fp", "x.start", "x.n")
-    opens = others.select("key", "fp", "start", "n").unionByName(one).groupBy("key").agg(F.collect_list(F.struct("start", "n", "fp")).alias("opens"))
-    windows = stored(docs.select("key", "text").join(opens, "key").select("key", "text", "opens").mapInArrow(_opened(window, gram), "key long, start long, fp long, hash long"), "fp-windows")
+    opens = others.select("key", "fp", "start", "n").unionByName(one).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "n", "fp")).alias("opens"))
+    windows = stored(docs.select("key", "text").join(opens, "key").select("key", "text", "opens").dropDuplicates(["key"]).mapInArrow(_opened(window, gram), "key long, start long, fp long, hash long"), "fp-windows")
     twice = windows.groupBy("fp", "hash").count().where("count > 1").select("fp", "hash")
     settled = settled.unionByName(windows.join(twice, ["fp", "hash"]).select("key", "start", F.lit(1).alias("n")))
-    spans = stored(settled.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "fp-spans")
+    spans = stored(settled.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "fp-spans")
     return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_kept(window, with_text), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
