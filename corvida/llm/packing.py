@@ -1,15 +1,15 @@
 """Order-preserving packing into fixed windows by dynamic programming.
 
-Documents are encoded and laid end to end in their order. Allowed cuts are document ends, sentence ends and, in stretches
-longer than ``GRID`` tokens without either, every ``GRID`` tokens. Among all ways to cut the stream into windows of at most
-``window`` tokens, dynamic programming finds the cheapest: padding, plus ``CUT_SENTENCE`` for a cut within a
-document and ``CUT_WORD`` for one within a sentence. Padding of a window that starts at i and ends at j is window - (j - i),
-so the best i for j minimises cost(i) + i over a sliding range, which a monotone queue gives in amortised constant time;
-windows that are a power of two long need no padding and are tried beside it.
+Documents are encoded and laid end to end in their order. Allowed cuts are document ends and sentence ends; only a
+sentence longer than a window may be cut within, every ``GRID`` tokens. Among all ways to cut the stream into windows of at most
+``window`` tokens, dynamic programming finds the cheapest: what is left empty, plus ``CUT_SENTENCE`` for a cut within a
+document and ``CUT_WORD`` for one within a sentence. A window that starts at i and ends at j leaves window - (j - i) empty,
+so the best i for j minimises cost(i) + i over a sliding range, which a monotone queue gives in amortised constant time.
+A sentence ends with the token of ``.``, ``!`` or ``?``, but not within a number.
 
 Scale. No shuffle, broadcast or collect: each scan partition packs its own documents, ``BLOCK`` tokens at a time, so a worker
-holds one block (or one longer document). A block's last window is its only forced one; what it pads is
-part of the same optimum, in which powers of two make short ends cheap. A window never spans partitions.
+holds one block (or one longer document). What is left at a block's end goes on with the next one, so that only a partition's
+end is forced: its last window may be dealt out as powers of two, which need no padding. A window never spans partitions.
 
 Defined cases. Null and empty texts are one token, the end id. Repeated rows and null ids are packed each. An empty table gives an
 empty result. Other columns are not read. Ids are the library's for whole texts: its splitting drops white space, so words are encoded
@@ -18,6 +18,7 @@ once each (the tests hold this against whole texts); special strings in texts ar
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -32,42 +33,33 @@ from pyspark.sql import functions as F
 
 WINDOW, END_ID, GRID, BLOCK = 4096, 2, 64, 1 << 20
 CUT_SENTENCE, CUT_WORD = 2.0, 8.0
-MEMO, TURN, JOINED = 1_000_000, 32, 64
+MEMO, TURN, JOINED = 1_000_000, 32, 256
 
 
-def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
+def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int, tail: bool = True) -> list[int]:
     """Token positions where windows end, at least total cost. ``ends``: allowed cuts, increasing, the last one being the end.
 
     ``penalty[k]`` is the price of a cut at ``ends[k]``; no two neighbours (nor 0 and the first) may be over ``window`` apart.
-    What the end forces, a short last window, may also be dealt out as powers of two, at ``CUT_WORD`` for each cut.
+    What the end forces, a short last window, may also be dealt out as powers of two, at ``CUT_WORD`` for each cut. Unless this
+    is the ``tail``, the end forces nothing: the cheapest cuts up to anywhere in the last window are given, and what is after them goes on.
     """
     pos = [0, *ends.tolist()]
-    price = [0.0, *penalty.tolist()]
-    place = np.array(pos)
-    by_power: dict[int, list[int]] = {}  # for an end the starts that make its window a power of two
-    for k in range((window - 1).bit_length()):
-        before = np.minimum(np.searchsorted(place, place - (1 << k)), len(pos) - 1)
-        hit = np.flatnonzero(place[before] == place - (1 << k))
-        for j, i in zip(hit.tolist(), before[hit].tolist()):
-            by_power.setdefault(j, []).append(i)
     cost, come = [0.0] * len(pos), [0] * len(pos)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for j in range(1, len(pos)):
-        p = pos[j]
-        while pos[queue[0][1]] < p - window:
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost(i) + i, i's place, i
+    for j, (p, price) in enumerate(zip(pos[1:], penalty.tolist()), 1):
+        while queue[0][1] < p - window:
             queue.popleft()
-        least, i = queue[0]
-        c = least + window - p
-        for b in by_power.get(j, ()):
-            if cost[b] < c:
-                c, i = cost[b], b
-        c += price[j]
+        least, _, i = queue[0]
+        c = least + window - p + price
         cost[j], come[j] = c, i
-        while queue and queue[-1][0] >= c + p:
+        c += p
+        while queue and queue[-1][0] >= c:
             queue.pop()
-        queue.append((c + p, j))
+        queue.append((c, p, j))
     out, j, i = [], len(pos) - 1, len(pos) - 2
-    while i >= 0 and (n := pos[j] - pos[i]) <= window:
+    if not tail:
+        j = min((k for k in range(j, -1, -1) if pos[k] > pos[-1] - window), key=cost.__getitem__)
+    while tail and i >= 0 and (n := pos[j] - pos[i]) <= window:
         if (c := cost[i] + CUT_WORD * (n.bit_count() - 1)) < cost[j]:
             cost[j], come[j] = c, i
             out = [pos[j] - sum(1 << b for b in range(k) if n >> b & 1) for k in range(1, n.bit_length()) if n >> k - 1 & 1]
@@ -78,35 +70,40 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     return sorted(out)
 
 
-#: A letter (ASCII or Latin-1), marks and a word's end: the marks are a pre-token of their own, so the word may be cut there.
-_MARK = re.compile(rb"([a-z]|\xc3[\xa0-\xb6\xb8-\xbf])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
+#: A letter (ASCII or Latin-1) and marks at a word's end: the marks are a pre-token of their own, so the word may be cut there.
+_MARKED = re.compile(rb"(.*(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+#: Loaded tokenizers and their words' ids, which the tasks of one Python worker share.
+_SHARED: dict[str, tuple] = {}
 
 
 class Encoder:
     """Ids of a text as little-endian bytes.
 
-    New words are encoded ``JOINED`` at a time, with a mark between them that is a pre-token of its own. Words are encoded once while the memo of at most ``MEMO`` words lasts; it is kept with the loaded tokenizer in the
-    Python worker, so that the tasks of one worker share it.
+    New words are encoded ``JOINED`` at a time, with a mark between them that is a pre-token of its own; marks at their ends are
+    encoded apart. Words are encoded once while the memo of at most ``MEMO`` words lasts.
     """
 
     def __init__(self, path: str, end_id: int):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        shared = tokenizers.__dict__.setdefault("_corvida_encoders", {})
-        if path not in shared:
-            shared[path] = tokenizers.Tokenizer.from_file(path), {}
-        (self.model, self.memo), self.end = shared[path], end_id.to_bytes(4, "little")
+        if path not in _SHARED:
+            _SHARED[path] = tokenizers.Tokenizer.from_file(path), {}
+        (self.model, self.memo), self.end = _SHARED[path], end_id.to_bytes(4, "little")
         ids = [e.ids for e in self.model.encode_batch_fast([".", "!", "?", "|"], add_special_tokens=False)]
         self.stops, self.bar = [i[-1] for i in ids[:3]], ids[3]
+        self.digits = np.zeros(self.model.get_vocab_size(), bool)  # tokens that begin with a digit
+        self.digits[[i for w, i in self.model.get_vocab().items() if w[:1].isdigit()]] = True
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
+    def learn(self, words: set[bytes]) -> None:
+        """Put all of these words into the memo, which is cleared first if it would get too long."""
+        new = words.difference(self.memo)
+        if len(self.memo) + 3 * len(new) > MEMO:
             self.memo.clear()
-            new = list(set(words))
+            new = words
+        parts = [(w, *m.groups()) for w in new if not 97 <= w[-1] <= 122 and w[-1] < 127 and b"<|" not in w and (m := _MARKED.fullmatch(w))]
+        new = new.difference([w for w, _, _ in parts]).union(*[p[1:] for p in parts]).difference(self.memo)
         plain = [w for w in new if b"|" not in w] if len(self.bar) == 1 else []
         for at in range(0, len(plain), JOINED):
             part = plain[at : at + JOINED]
@@ -115,50 +112,34 @@ class Encoder:
             for w, end in zip(part, [*bars, len(raw)], strict=True):
                 self.memo[w] = raw[begin:end]
                 begin = end + 4
-        others = [w for w in new if b"|" in w] if len(self.bar) == 1 else new
+        others = [w for w in new if b"|" in w] if len(self.bar) == 1 else list(new)
         for at in range(0, len(others), 10_000):
             part = others[at : at + 10_000]
             for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 self.memo[w] = array("I", e.ids).tobytes()
+        for w, stem, marks in parts:
+            self.memo[w] = self.memo[stem] + self.memo[marks]
 
     def cut(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:  # else lower case might make a special string
-            raw = _MARK.sub(rb"\1 \2", raw.lower())
-        return raw.split()
+        return (raw if b"<|" in raw else raw.lower()).split()  # else lower case might make a special string
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words, raws = [self.cut(t) for t in texts], [b""] * len(texts)
-        for _ in range(2):
-            new: list[bytes] = []
-            for k, mine in enumerate(words):
-                try:
-                    raws[k] = b"".join(map(self.memo.__getitem__, mine))
-                except KeyError:
-                    new += mine
-            if not new:
-                break
-            self.learn(new)
-        else:  # the memo was cleared in between
-            raws = [self._alone(mine) for mine in words]
-        return [raw + self.end for raw in raws]
-
-    def _alone(self, words: list[bytes]) -> bytes:
-        self.learn(words)
-        return b"".join(map(self.memo.__getitem__, words))
-
-
-def boundaries(ids: np.ndarray, doc_ends: np.ndarray, stops: list[int], grid: int) -> tuple[np.ndarray, np.ndarray]:
+        words = [self.cut(t) for t in texts]
+        self.learn(set().union(*words))
+        return [b"".join(map(self.memo.__getitem__, mine)) + self.end for mine in words]
+
+
+def boundaries(ids: np.ndarray, doc_ends: np.ndarray, stops: list[int], digits: np.ndarray, window: int, grid: int) -> tuple[np.ndarray, np.ndarray]:
     """Cuts within the documents of a block, and their prices; those at documents' ends are free."""
-    stop = np.zeros(len(ids), bool)
-    for i in stops:
-        stop |= ids == i
+    stop = np.flatnonzero(np.isin(ids, stops) if len(stops) > 3 else np.logical_or.reduce([ids == i for i in stops]))
+    number = digits[ids[np.maximum(stop - 1, 0)]] & digits[ids[np.minimum(stop + 1, len(ids) - 1)]]
     kind = np.zeros(len(ids) + 1, np.uint8)
-    kind[1:][stop] = 2
+    kind[stop[~number] + 1] = 2
     kind[doc_ends] = 3
     soft = np.flatnonzero(kind)
     begins = np.r_[0, soft[:-1]]
-    more = (soft - begins - 1) // grid
+    more = np.where(soft - begins > window, (soft - begins - 1) // grid, 0)
     kind[np.repeat(begins, more) + grid * (1 + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))] = 1
     ends = np.flatnonzero(kind)
     return ends, np.array([0.0, CUT_WORD, CUT_SENTENCE, 0.0])[kind[ends]]
@@ -173,23 +154,26 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         encode, part, sequence = Encoder(tokenizer, end_id), TaskContext.get().partitionId() << 40, 0
         kind = None
 
-        def out(held: list[tuple[object, bytes]]) -> pa.RecordBatch:
+        def out(held: list[tuple[object, bytes, int]], last: bool) -> tuple[pa.RecordBatch, list[tuple[object, bytes, int]]]:
+            """Pieces of the windows that are fixed, and what is left over: documents (id, ids, how many have gone)."""
             nonlocal sequence
-            sizes = [len(raw) >> 2 for _, raw in held]
-            ends, prices = boundaries(np.frombuffer(b"".join(raw for _, raw in held), "<u4"), np.cumsum(sizes), encode.stops, GRID)
-            stop = best_cuts(ends, prices, window)
-            rows, at, begin, k = [], 0, 0, 0
-            for (doc_id, raw), n in zip(held, sizes):
+            sizes = np.array([len(raw) >> 2 for _, raw, _ in held])
+            ends, prices = boundaries(np.frombuffer(b"".join(raw for _, raw, _ in held), "<u4"), np.cumsum(sizes), encode.stops, encode.digits, window, GRID)
+            stop = best_cuts(ends, prices, window, last)
+            rows, rest, at, begin, k = [], [], 0, 0, 0
+            for (doc_id, raw, gone), n in zip(held, sizes.tolist()):
                 start = 0
-                while start < n:
+                while start < n and k < len(stop):
                     length = min(n - start, stop[k] - at)
                     ids = raw[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, length, zlib.crc32(ids), n, part + sequence, at - begin) + (np.frombuffer(ids, "<u4").tolist(),) * with_ids)
+                    rows.append((doc_id, gone + start, length, zlib.crc32(ids), gone + n, part + sequence, at - begin) + (np.frombuffer(ids, "<u4").tolist(),) * with_ids)
                     start, at = start + length, at + length
                     if at == stop[k]:
                         begin, k, sequence = at, k + 1, sequence + 1
+                if start < n:
+                    rest.append((doc_id, raw[4 * start :], gone + start))
             types = [kind] + [pa.int64()] * 6 + [pa.list_(pa.int64())] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(names), types)], names=names), rest
 
         held, tokens = [], 0
         for batch in batches:
@@ -197,13 +181,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             for at in range(0, batch.num_rows, TURN):
                 turn = batch.slice(at, TURN)
                 for doc_id, raw in zip(turn.column(0).to_pylist(), encode(turn.column(1).to_pylist())):
-                    held.append((doc_id, raw))
+                    held.append((doc_id, raw, 0))
                     tokens += len(raw) >> 2
                     if tokens >= block:
-                        yield out(held)
-                        held, tokens = [], 0
+                        pieces, held = out(held, False)
+                        tokens = sum(len(raw) >> 2 for _, raw, _ in held)
+                        yield pieces
         if held:
-            yield out(held)
+            yield out(held, True)[0]
 
     ddl = f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in names[1:7]) + ", ids array<long>" * with_ids
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
