@@ -2,11 +2,12 @@
 
 Candidates are what the patterns of ``KINDS`` match. Their features are length, transitions between character classes,
 character shares, how much common words cover (the dictionary), path marks, and the words next to them. The forest is
-trained on labelled findings and then written out as SQL expressions, whose votes are the probability of a
+trained on labelled findings (value, text before, text after, label) and then written out as SQL expressions, whose votes are the probability of a
 secret. Without labelled findings of the caller's own, ``labelled_findings`` makes ``FINDINGS`` of them from rules
 (random keys, and look-alikes: digests, UUIDs, paths, long words, counters), a bounded set by parameter.
 
-Native: DataFrame, SQL and Spark ML only. Scale: the scan has no shuffle; candidates, features and votes are
+Native: DataFrame, SQL and Spark ML only. Plain searches first tell which patterns a text can have at all; most have none, and
+are done. Scale: the scan has no shuffle; candidates, features and votes are
 array expressions of the row itself, so neither a hot source nor a file full of keys moves data. Only the forest
 (``TREES`` trees of depth ``DEPTH``) reaches the driver.
 
@@ -23,6 +24,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvida.llm.common import as_rows, of_rows
+
 FINDINGS, TREES, DEPTH, SEED = 4000, 15, 6, 11
 
 _NAMES = r"(?i:token|secret|passw(?:or)?d|passwd|passphrase|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth|bearer)"
@@ -52,34 +55,55 @@ HARMLESS = r"(?i)(?:example|sample|dummy|commit|revision|sha-?\d*|md5|digest|che
 
 
 _CANDIDATE = "|".join(KINDS.values())
+_UNNAMED = "|".join(x for k, x in KINDS.items() if k not in ("quoted", "assigned"))
 _WORDS = "|".join(sorted(COMMON, key=lambda w: (-len(w), w)))
 
+#: What a text has, in lower case, if it names a secret.
+NAME_PARTS = ("token", "secret", "passw", "passphrase", "pwd", "key", "credential", "auth", "bearer")
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` stands for ``value``, evaluated once. A column would be put in wherever it is named, even once a candidate."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: SQL over ``t``, the text: whether an assigned value can be in it, and whether a candidate of another kind can.
+_HAS_NAMED = "(contains(t, ':') or contains(t, '=')) and (" + _let("lower(t)", "l", " or ".join(f"contains(l, '{x}')" for x in NAME_PARTS)) + f") and t rlike r\"{_NAMES}[\\x22'\\w-]{{0,12}}\\s{{0,8}}[:=]\""
+_HAS_OTHER = "t rlike '(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/.-]{16}' or (contains(t, '://') and contains(t, '@')) or contains(t, '-----BEGIN') or contains(t, 'xox')"
+
 
 def _share(pattern: str) -> str:
     """SQL: the share of the candidate's characters that are left when the pattern is taken out."""
-    return f"double(length(regexp_replace(v, r\"{pattern}\", ''))) / length(v)"
+    return f"double(length(regexp_replace(«v», r\"{pattern}\", ''))) / length(«v»)"
 
 
-#: Feature names and SQL over ``v`` (the candidate) and ``b`` (up to 40 characters before it).
+#: Feature names and SQL over ``«v»`` (the candidate), ``«b»`` (up to 40 characters before it) and ``«a»`` (up to 40 after it).
 FEATURES = {
-    "length": "double(length(v))",
-    "transitions": "double(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[a-z]+', '\u0001'), '[A-Z]+', '\u0002'), '[0-9]+', '\u0003'), '[^\u0001\u0002\u0003]+', '\u0004'))) / length(v)",
+    "length": "double(length(«v»))",
+    "transitions": "double(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(«v», '[a-z]+', '\u0001'), '[A-Z]+', '\u0002'), '[0-9]+', '\u0003'), '[^\u0001\u0002\u0003]+', '\u0004'))) / length(«v»)",
     "digits": _share("[^0-9]"),
     "upper": _share("[^A-Z]"),
     "hex": _share("[^0-9a-fA-F]"),
     "marks": _share("[A-Za-z0-9]"),
-    "distinct": "double(size(array_distinct(split(v, '')))) / least(length(v), 40)",
+    "distinct": "double(size(array_distinct(split(«v», '')))) / least(length(«v»), 40)",
     "vowels": _share("[^aeiouyAEIOUY]"),
     "dictionary": "1 - " + _share(f"(?i){_WORDS}"),
-    "path": r"""double(regexp_count(v, r'[/]|\.[A-Za-z]{2,4}\b')) / length(v)""",
-    "known": "case when v rlike r\"^(?:" + "|".join(x for k, x in KINDS.items() if k not in BY_PLACE) + ")\" then 1D else 0D end",
-    "named": f"case when b rlike r\"{BEFORE}\" then 1D else 0D end",
-    "harmless": f"case when b rlike r\"{HARMLESS}\" then 1D else 0D end",
+    "path": r"""double(regexp_count(«v», r'[/]|\.[A-Za-z]{2,4}\b')) / length(«v»)""",
+    "known": "case when «v» rlike r\"^(?:" + "|".join(x for k, x in KINDS.items() if k not in BY_PLACE) + ")\" then 1D else 0D end",
+    "named": f"case when «b» rlike r\"{BEFORE}\" then 1D else 0D end",
+    "harmless": f"case when «b» rlike r\"{HARMLESS}\" then 1D else 0D end",
+    "closed": "case when right(«b», 1) in ('\"', '\\'', '`') and left(«a», 1) = right(«b», 1) then 1D else 0D end",
+    "continued": "case when «a» rlike r'^\\s[a-z]+\\s[a-z]+' then 1D else 0D end",
 }
 
 
+def feature_sql(v: str = "v", b: str = "b", a: str = "a") -> list[str]:
+    """SQL of all features over the given expressions, named."""
+    return [f"{sql.replace('«v»', v).replace('«b»', b).replace('«a»', a)} as {k}" for k, sql in FEATURES.items()]
+
+
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(v, b, label): ``n`` findings made by rule, half of them secrets; the default training set."""
+    """(v, b, a, label): ``n`` findings made by rule, half of them secrets; the default training set."""
     rows = spark.range(0, n, 1, 1).select("id", F.md5(F.concat(F.lit("f"), F.col("id").cast("string"))).alias("m"), F.sha1(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("s"), F.sha2(F.concat(F.lit("h"), F.col("id").cast("string")), 256).alias("x"))
     word = lambda k: f"element_at(array({', '.join(repr(w) for w in COMMON)}), cast(conv(substr(x, {k}, 4), 16, 10) as int) % {len(COMMON)} + 1)"
     mixed = "translate(base64(unhex(x)), '=', '')"
@@ -102,12 +126,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     secret = [c for c in cases if c[2]]
     other = [c for c in cases if not c[2]]
     pick = lambda k: "case " + " ".join(f"when id % 2 = {1 - label} and (id div 2) % {len(group)} = {i} then {c[k]}" for label, group in ((1, secret), (0, other)) for i, c in enumerate(group)) + " end"
-    return rows.select(F.expr(pick(0)).alias("v"), F.expr(f"right({pick(1)}, 40)").alias("b"), F.expr("1 - id % 2").cast("double").alias("label"))
+    after = f"element_at(array(concat(' ', {word(9)}, ' ', {word(21)}, ' '), concat(', ', {word(9)}), '\n', ''), 1 + int(conv(substr(s, 1, 2), 16, 10)) % 4)"
+    found = rows.select(F.expr(pick(0)).alias("v"), F.expr(f"right({pick(1)}, 40)").alias("b"), F.expr("1 - id % 2").cast("double").alias("label"), F.expr(after).alias("after"))
+    closed = "case when right(b, 1) in ('\"', '`') then right(b, 1) when b like '%://%:' then '@' else '' end"
+    return found.select("v", "b", F.expr(f"left(concat({closed}, after), 40)").alias("a"), "label")
 
 
 def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[str]:
     """SQL expressions over the features, one per tree: 1 for a secret, 0 for a false positive."""
-    rows = findings.select("label", *[F.expr(x).alias(k) for k, x in FEATURES.items()])
+    rows = findings.selectExpr("label", *feature_sql())
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows)
     names = list(FEATURES)
@@ -124,19 +151,20 @@ def train_forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, se
     return [sql([x.strip() for x in part.strip().split("\n")]) for part in parts]
 
 
-def _scored(docs: DataFrame, text_col: str, forest: list[str]) -> DataFrame:
-    """``docs`` with ``judged``, an array of (gap, v, p) from left to right, and ``rest``, the text after the last."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({_CANDIDATE})"), F.lit(1))
-    rows = docs.withColumn("found", found)
-    rows = rows.withColumn("gaps", F.when(F.size("found") > 0, F.split(F.col(text_col), _CANDIDATE, -1)))
-    # features over named fields: the candidate is x.v, what stands before it x.b, across the candidates before
-    rows = rows.withColumn("pieces", F.expr("transform(found, (v, i) -> struct(v as v, get(gaps, i) as gap, right(concat(get(gaps, i), v), 40) as tail))"))
-    rows = rows.withColumn("pieces", F.expr("transform(pieces, (x, i) -> struct(x.v as v, x.gap as gap, right(concat(array_join(transform(slice(pieces, greatest(i - 38, 1), least(i, 39)), y -> y.tail), ''), x.gap), 40) as b))"))
-    features = ", ".join(f"{sql.replace('(v', '(x.v').replace('when v', 'when x.v').replace('when b', 'when x.b')} as {k}" for k, sql in FEATURES.items())
+def _judged(text: str, forest: list[str]) -> str:
+    """SQL: of a text a struct of ``judged``, an array of (gap, v, p) from left to right, and ``rest``, the text after the last; null without candidates."""
+    split = f"case when n then split(t, r\"{_CANDIDATE}\", -1) else split(t, r\"{_UNNAMED}\", -1) end"
+    found = f"case when n then regexp_extract_all(t, r\"({_CANDIDATE})\", 1) when {_HAS_OTHER} then regexp_extract_all(t, r\"({_UNNAMED})\", 1) end"
+    # what stands before a candidate and after it, across other candidates
+    pieces = "transform(found, (v, i) -> struct(v as v, get(gaps, i) as gap, get(gaps, i + 1) as next, right(concat(get(gaps, i), v), 40) as tail, left(concat(v, get(gaps, i + 1)), 40) as head))"
+    before = "right(concat(array_join(transform(slice(p, greatest(i - 38, 1), least(i, 39)), y -> y.tail), ''), x.gap), 40)"
+    after = "left(concat(x.next, array_join(transform(slice(p, i + 2, 39), y -> y.head), '')), 40)"
+    placed = f"transform(p, (x, i) -> struct(x.v as v, x.gap as gap, {before} as b, {after} as a))"
+    measured = f"transform({placed}, x -> struct(x.v as v, x.gap as gap, {', '.join(feature_sql('x.v', 'x.b', 'x.a'))}))"
     votes = " + ".join(f"({tree})" for tree in forest)
-    judged = f"transform(transform(pieces, x -> struct(x.v as v, x.gap as gap, {features})), f -> struct(f.gap as gap, f.v as v, ({votes}) / {len(forest)}D as p))"
-    rows = rows.withColumn("judged", F.expr(f"case when size(found) > 0 then {judged} end"))
-    return rows.withColumn("rest", F.element_at("gaps", -1)).drop("found", "gaps", "pieces")
+    judged = f"transform({measured}, f -> struct(f.gap as gap, f.v as v, ({votes}) / {len(forest)}D as p))"
+    with_gaps = _let(split, "gaps", _let(pieces, "p", f"struct({judged} as judged, element_at(gaps, -1) as rest)"))
+    return _let(text, "t", _let(f"coalesce({_HAS_NAMED}, false)", "n", _let(found, "found", f"case when size(found) > 0 then {with_gaps} end")))
 
 
 def _kind(v: Column) -> Column:
@@ -149,20 +177,21 @@ def _kind(v: Column) -> Column:
 def find_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per secret that the forest keeps: doc_id, start (characters before it), length, kind, value, probability."""
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", forest)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     step = f"struct(acc.at + length(f.gap) + length(f.v) as at, case when f.p >= {threshold}D then concat(acc.out, array(struct(acc.at + length(f.gap) as start, f.v as value, f.p as p))) else acc.out end as out)"
     empty = "struct(0 as at, cast(array() as array<struct<start:int,value:string,p:double>>) as out)"
-    found = rows.where("judged is not null").select("doc_id", F.explode(F.expr(f"aggregate(judged, {empty}, (acc, f) -> {step}).out")).alias("s"))
+    places = _let(_judged("text", forest), "s", f"aggregate(s.judged, {empty}, (acc, f) -> {step}).out")
+    found = rows.select("doc_id", F.explode(F.expr(places)).alias("s"))
     return found.select("doc_id", F.col("s.start").cast("long").alias("start"), F.length("s.value").cast("long").alias("length"), _kind(F.col("s.value")).alias("kind"), F.col("s.value").alias("value"), F.col("s.p").alias("probability"))
 
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None, text_col: str = "text", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in the text replaced by ``mark``."""
     forest = train_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    rows = _scored(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), "text", forest)
-    clean = F.expr(f"concat(array_join(flatten(transform(judged, f -> array(f.gap, case when f.p >= {threshold}D then '{mark}' else f.v end))), ''), rest)")
-    text = F.when(F.expr(f"exists(judged, f -> f.p >= {threshold}D)"), clean).otherwise(F.col("text"))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    clean = f"concat(array_join(flatten(transform(s.judged, f -> array(f.gap, case when f.p >= {threshold}D then '{mark}' else f.v end))), ''), s.rest)"
+    column = f"row.`{text_col}`"
+    text = F.expr(_let(_judged(column, forest), "s", f"case when exists(s.judged, f -> f.p >= {threshold}D) then {clean} else {column} end"))
+    return of_rows(as_rows(docs).select(F.col("row").withField(f"`{text_col}`", text).alias("row")), docs.columns)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
