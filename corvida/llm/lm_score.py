@@ -1,18 +1,19 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Symbols are the training words (A-Z in lower case), one end symbol per document, and one symbol for all unknown words.
-A context of one or two symbols is a state of the tree if it has entries (next symbols that follow it ``LEAST`` times or more)
+A context of one to ``DEPTH`` symbols is a state of the tree if it has entries (next symbols that follow it ``LEAST`` times or more)
 and its next-symbol distribution differs from that of its longest proper suffix (a G test and a least divergence in nats); suffixes
 of states are states. A state's distribution is smoothed towards its suffix state's with weight ``PRIOR``; the root discounts
 every word's count and gives what that frees to the unknown symbol. All distributions sum to one over the symbols. Each symbol
 is scored in the longest suffix of its history that is a state; a document's history begins with an end symbol.
 
 Scale. Counts cover all training documents, and ``LEAST`` is the same number for any corpus, so the tree grows with it. It is a
-table: n-grams are counted, tested and valued by shuffled joins. What a state or an entry adds to what its suffix says is
-one number per n-gram, so that a document's score is a sum over its words, its bigrams and its trigrams, which meet
-the table in joins of pre-aggregated blocks (words: ``term_blocks``). Bit filters of fixed size (``FILTER_BITS``)
+table, never collected: n-grams are counted in sorted packed runs (``_counted``), tested and valued by joins. What a state or an entry adds
+to what its suffix says is one number per n-gram, so that a document's score is a sum over its words and n-grams. The
+``HOT`` most frequent of these are broadcast, a fixed number, and summed where the text is read, so that no hot key is
+ever shuffled; the others meet the table in a join of blocks of documents. Bit filters of fixed size (``FILTER_BITS``)
 keep n-grams that cannot be in the table out of a shuffle; they never drop one that is, and only save less as they fill up.
-Words and n-grams are known by 64-bit hashes; word counts, by the words. ``grow`` builds the same tree in memory.
+Words and n-grams are known by 64-bit hashes: of ten thousand million distinct ones some two or three pairs are taken for one.
 
 Defined cases. Null or empty text: the end symbol only. A null doc_id counts as the empty text for the split, so it
 trains. Repeated rows are scored and counted each. With nothing to train on every count is 0. Other columns are not read.
@@ -22,25 +23,24 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm.common import delete_table, mixed, rolled, row_key, stored
-from corvida.llm.term_blocks import summed, term_blocks
+from corvida.llm.common import delete_table, mixed, rolled, stored
 
-DEPTH = 2
-LEAST = 2
+DEPTH, LEAST = 4, 16
 MIN_DIVERGENCE, PRIOR = 0.005, 8.0
-CHUNK = 4 << 20
-BITS = 17  # for a word's number in ``grow``
+#: Symbols that a worker works on at once; n-grams that are counted in one group; values that are broadcast.
+CHUNK, PART, HOT = 1 << 20, 1 << 21, 1 << 19
 FILTER_BITS = 27
-END = 0x5851F42D4C957F2D  # the end symbol among the words' hashes
+HELD = 4  # chunks whose n-grams are counted together before they are sent
+END = np.uint64(0x5851F42D4C957F2D)  # the end symbol among the words' hashes
 
 
 def held_out(doc_id) -> bool:
@@ -51,171 +51,52 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def ngram_keys(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each symbol, tagged by n; whether all their words are frequent (numbers from 1, else 0).
-
-    ``numbers`` begins with ``DEPTH`` symbols of history.
-    """
-    size = len(numbers) - DEPTH
-    key, good = np.full(size, n, np.uint64), np.ones(size, bool)
-    for j in range(DEPTH - n + 1, DEPTH + 1):
-        part = numbers[j : j + size]
-        key = (key << np.uint64(BITS)) | part.astype(np.uint64)
-        good &= part > 0
-    return key, good
-
-
-def numbered(words: list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
-    """Numbers of a document's symbols, 1 being the end, after ``DEPTH`` ends of history (one, and unknown before)."""
-    get = frequent.get
-    return np.array([0] * (DEPTH - 1) + [1] + [get(w, 0) for w in words] + [1], np.int64)
-
-
-class SuffixTree:
-    """Entries and contexts in one hash-ordered table: key, log10 gain over the root (entries) or back-off weight (contexts)."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = mixed(keys.astype(np.uint64))
-        order = np.argsort(h)
-        self.h, self.values = h[order], values[order].astype(np.float64)
-        self.shift = np.uint64(64 - max(1, math.ceil(math.log2(4 * len(h) + 1))))
-        self.start = np.searchsorted(self.h >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
-
-    @classmethod
-    def of(cls, parts: tuple) -> SuffixTree:
-        tree = cls.__new__(cls)
-        tree.h, tree.values, tree.start, tree.shift = parts
-        return tree
-
-    def parts(self) -> tuple:
-        return self.h, self.values, self.start, self.shift
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 where there is none."""
-        h = mixed(keys)
-        slot = (h >> self.shift).astype(np.int64)
-        at, end = self.start[slot], self.start[slot + 1]
-        out = np.full(len(h), -1, np.int64)
-        todo = np.flatnonzero(at < end)
-        at = at.astype(np.int64)
-        while len(todo):
-            hit = self.h[at[todo]] == h[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
-        return out
-
-    def gain(self, numbers: np.ndarray) -> float:
-        """log10 of the text's probability over what the root alone gives it."""
-        total, todo = 0.0, np.arange(len(numbers) - DEPTH)
-        for n in range(DEPTH + 1, 1, -1):
-            key, good = ngram_keys(numbers, n)
-            known = todo[good[todo]]
-            at = self.find(key[known])
-            total += float(self.values[at[at >= 0]].sum())
-            done = np.zeros(len(numbers) - DEPTH, bool)
-            done[known[at >= 0]] = True
-            todo = todo[~done[todo]]
-            # the state, if it is one, backs off: its symbols are the n - 1 before
-            context, good = ngram_keys(np.r_[0, numbers[:-1]], n - 1)
-            known = todo[good[todo]]
-            at = self.find(context[known] | np.uint64(1 << 62))
-            total += float(self.values[at[at >= 0]].sum())
-        return total
-
-
-def grow(keys: np.ndarray, counts: np.ndarray, symbol_counts: np.ndarray, total: int, discount: float) -> SuffixTree:
-    """The tree from counted n-grams (n at least 2) of frequent symbols, whose own counts are ``symbol_counts`` (place 0 unused)."""
-    low = lambda n: np.uint64((1 << (BITS * n)) - 1)
-    order = np.argsort(keys)
-    keys, counts = keys[order].astype(np.uint64), counts[order].astype(np.float64)
-    grams = {1: (np.arange(1, len(symbol_counts), dtype=np.uint64), symbol_counts[1:].astype(np.float64))}
-    for n in range(2, DEPTH + 2):
-        mine = keys >> np.uint64(BITS * n) == n
-        grams[n] = keys[mine] & low(n), counts[mine]
-    place = lambda n, body: np.minimum(np.searchsorted(grams[n][0], body), max(len(grams[n][0]) - 1, 0))
-    state = {}
-    for d in range(1, DEPTH + 1):  # contexts of d symbols, entries of d + 1
-        (eb, ec), (cb, cc) = grams[d + 1], grams[d]
-        of, p = place(d, eb >> np.uint64(BITS)), np.zeros(0)
-        if len(eb):
-            p = ec / cc[of]
-            parent = grams[d][1][place(d, eb & low(d))] / (total if d == 1 else grams[d - 1][1][place(d - 1, (eb >> np.uint64(BITS)) & low(d - 1))])
-            gain = np.bincount(of, p * np.log(np.maximum(p / parent, 1e-12)), len(cb))
-        else:
-            gain = np.zeros(len(cb))
-        free = np.maximum(np.bincount(of, minlength=len(cb)) - 1, 1)
-        state[d] = (gain >= MIN_DIVERGENCE) & (2 * cc * gain > free + 3 * np.sqrt(2.0 * free))
-    for d in range(DEPTH, 1, -1):  # suffixes of states are states
-        state[d - 1] |= np.isin(grams[d - 1][0], grams[d][0][state[d]] & low(d - 1))
-    root = np.maximum(symbol_counts - discount, 1e-9) / max(total, 1)
-    below_b, below_p, out_k, out_v = grams[1][0], root[1:], [], []
-    for d in range(1, DEPTH + 1):
-        (eb, ec), cb, cc = grams[d + 1], grams[d][0][state[d]], grams[d][1][state[d]]
-        keep = np.isin(eb >> np.uint64(BITS), cb)
-        eb, ec = eb[keep], ec[keep]
-        of = np.searchsorted(cb, eb >> np.uint64(BITS))
-        back = (cc - np.bincount(of, ec, len(cb)) + PRIOR) / (cc + PRIOR)
-        # the suffix state's probability: its entry where kept (always, an n-gram being no more frequent than its end)
-        down = np.searchsorted(below_b, eb & low(d))
-        down_p = np.where(below_b[np.minimum(down, len(below_b) - 1)] == (eb & low(d)), below_p[np.minimum(down, len(below_b) - 1)], 0.0) if len(below_b) else np.zeros(len(eb))
-        missing = down_p == 0
-        if missing.any():  # its context is no state: take the shorter suffix's
-            down_p[missing] = root[(eb[missing] & low(1)).astype(np.int64)]
-        p = ec / (cc + PRIOR)[of] + back[of] * down_p
-        out_k += [eb | np.uint64((d + 1) << (BITS * (d + 1))), cb | np.uint64(d << (BITS * d)) | np.uint64(1 << 62)]
-        out_v += [np.log10(p) - np.log10(root[(eb & low(1)).astype(np.int64)]), np.log10(back)]
-        below_b, below_p = eb, p
-    return SuffixTree(np.concatenate(out_k), np.concatenate(out_v))
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(["t" + w.decode("utf-8", "replace") for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
-
-    counts: Counter = Counter()
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not held_out(doc_id):
-                counts.update(words_of(text))
-                if len(counts) > 500_000:
-                    yield out(counts)
-                    counts.clear()
-    if counts:
-        yield out(counts)
-
-
 class _Hashes(dict):
-    """A word's hash: Spark's xxhash64 of its term."""
-
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(b"t" + word, 42)
+        self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-def _symbols(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    out = np.empty(len(words) + 2, np.uint64)
-    out[0] = out[-1] = END
-    out[1:-1] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return out
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, train: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Documents (doc_id, text), at least ``size`` symbols at a time: ids, numbers of words, and symbols, an end before and after each text's."""
+    hashes, ids, lengths, words = _Hashes(), [], [], []
 
+    def out():
+        n = np.array(lengths, np.int64)
+        symbols, starts = np.full(len(words) + 2 * len(n), END, np.uint64), np.cumsum(n + 2) - (n + 2)
+        inner = np.ones(len(symbols), bool)
+        inner[starts] = inner[starts + n + 1] = False
+        symbols[inner] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        return list(ids), n, symbols
 
-def _gram_keys(*columns: np.ndarray) -> np.ndarray:
-    """Keys of n-grams from the columns of their symbols; ``rolled`` gives the same for a text's symbols."""
-    return rolled(np.stack(columns), len(columns))[0]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if train and held_out(doc_id):
+                    continue
+                mine = words_of(text)
+                ids.append(doc_id), lengths.append(len(mine))
+                words += mine
+                if len(words) + 2 * len(ids) >= size:
+                    yield out()
+                    ids.clear(), lengths.clear(), words.clear()
+    if ids:
+        yield out()
 
 
-def _with_keys(grams: DataFrame, n: int) -> DataFrame:
+def _word_counts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_gram_keys(*columns).view(np.int64))], names=[*batch.schema.names, "gram"])
+        for _, n, symbols in _chunks(batches, size, True):
+            ends = np.cumsum(n + 2)
+            inner = np.ones(len(symbols), bool)
+            inner[ends - 1] = inner[ends - n - 2] = False
+            w, c = np.unique(symbols[inner], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], names=["k", "c"])
 
-    names = ", ".join(f"{c} {t}" for c, t in grams.dtypes)
-    return grams.mapInArrow(run, f"{names}, gram long")
+    return run
 
 
 def _filter(keys: DataFrame):
@@ -233,149 +114,267 @@ def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _ngram_counts(n: int, parts):
-    """Counts of the training texts' n-grams (columns w0, w1 ...) whose (n - 1)-grams may all be among ``parts``."""
+def gram_keys(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all n-grams along a text, apart by n; those of single symbols are their hashes."""
+    return rolled(symbols, n) + np.uint64((n - 1) * 0x9E3779B97F4A7C15 % 2**64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, buffer, held = parts.value, _Hashes(), [], 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x) for x in zip(*buffer)]
-            buffer.clear()
-            _, first, counts = np.unique(_gram_keys(*columns), return_index=True, return_counts=True)
-            for at in range(0, len(first), 1 << 18):
-                mine = first[at : at + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[mine].view(np.int64)) for x in columns), pa.array(counts[at : at + (1 << 18)])], names=[*(f"w{i}" for i in range(n)), "n"])
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams from the columns of their symbols."""
+    return gram_keys(np.stack(columns), len(columns))[0]
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held_out(doc_id):
-                    continue
-                seq = _symbols(words_of(text), hashes)
-                good = _maybe(bits, rolled(seq, n - 1))
-                at = np.flatnonzero(good[:-1] & good[1:])
-                if len(at):
-                    buffer.append([seq[at + i] for i in range(n)])
-                    held += len(at)
-                if held >= CHUNK:
-                    yield from out()
-                    held = 0
-        if buffer:
-            yield from out()
+
+def _runs(order: np.ndarray) -> np.ndarray:
+    """Where equal values begin among sorted ones."""
+    return np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, np.int64)
+
+
+_PACKED = "part int, n int, rows int, blob binary"
+
+
+def _summed(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys of n-grams given by their symbols' columns and, last, their counts; and their columns, counts summed."""
+    key = gram_key(columns[:-1])
+    order = np.argsort(key)
+    key = key[order]
+    first = _runs(key)
+    rows = order[first]
+    return key[first], [*(c[rows] for c in columns[:-1]), np.add.reduceat(columns[-1][order], first) if len(first) else columns[-1]]
+
+
+def _to_blob(columns: list[np.ndarray]) -> bytes:
+    """The distinct symbols, then each row's symbols as places among them, then the counts."""
+    words, place = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
+    place = place.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    raw = b"".join([np.array([len(words), place.itemsize], np.uint32).tobytes(), words.tobytes(), place.tobytes(), columns[-1].astype(np.uint32).tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _of_blob(blob: bytes, n: int, rows: int) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    distinct, width = np.frombuffer(raw, np.uint32, 2).tolist()
+    words = np.frombuffer(raw, np.uint64, distinct, 8)
+    place = np.frombuffer(raw, f"u{width}", n * rows, 8 + 8 * distinct)
+    counts = np.frombuffer(raw, np.uint32, rows, 8 + 8 * distinct + width * n * rows)
+    return [*words[place].reshape(n, rows), counts.astype(np.int64)]
+
+
+def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
+    """N-grams of the training texts, counted by ``HELD`` chunks at a time, sorted by key and cut by its top ``bits``.
+
+    Taken are those whose ``inner``-grams may all be among ``parts``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = parts.value, {n: [] for n in sizes}
+
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            key, columns = _summed([np.concatenate(x) for x in zip(*held[n])])
+            held[n].clear()
+            part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+            edge = [*_runs(part).tolist(), len(key)]
+            rows = [(part[a], n, b - a, _to_blob([c[a:b] for c in columns])) for a, b in zip(edge, edge[1:])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "rows", "blob"])
+
+        for _, n_words, symbols in _chunks(batches, chunk, True):
+            doc = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words + 2)
+            good = _maybe(known, gram_keys(symbols, inner))
+            for n in sizes:
+                if (places := len(symbols) - n + 1) > 0:
+                    ok = doc[:places] == doc[n - 1 :]
+                    for k in range(n - inner + 1):
+                        ok &= good[k : k + places]
+                    at = np.flatnonzero(ok)
+                    held[n].append(_summed([*(symbols[at + k] for k in range(n)), np.ones(len(at), np.int64)])[1])
+                    if len(held[n]) == HELD:
+                        yield from out(n)
+        for n in sizes:
+            if held[n]:
+                yield from out(n)
 
     return run
 
 
-def _gram_blocks(tree):
-    """Per block of documents the n-grams that may be in the tree, each with the rows where it stands, once a time."""
+def _merged(least: int):
+    """Packed parts, sorted by (part, n), to the n-grams that occur ``least`` times: n, k, pre, suf (keys of all but the last and all but the first symbol), last, c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, keys, rows, held = tree.value, _Hashes(), [], [], 0
+        held, at = [], None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            k, r = np.concatenate(keys), np.concatenate(rows)
-            keys.clear(), rows.clear()
-            order = np.argsort(k, kind="stable")
-            k, r = k[order], r[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[first, len(k)]
-            for at in range(0, len(first), 1 << 16):
-                mine = ends[at : at + (1 << 16) + 1]
-                lists = pa.ListArray.from_arrays((mine - mine[0]).astype(np.int32), r[mine[0] : mine[-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(k[mine[:-1]].view(np.int64)), lists], names=["gram", "rows"])
+        def out() -> pa.RecordBatch:
+            key, columns = _summed([np.concatenate(x) for x in zip(*held)])
+            held.clear()
+            keep = columns[-1] >= least
+            *symbols, counts = (c[keep] for c in columns)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), at[1], np.int32)), *(pa.array(x.view(np.int64)) for x in (key[keep], gram_key(symbols[:-1]), gram_key(symbols[1:]), symbols[-1])), pa.array(counts)], names=["n", "k", "pre", "suf", "last", "c"])
 
         for batch in batches:
-            for text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seq = _symbols(words_of(text), hashes)
-                found = np.concatenate([rolled(seq, n) for n in range(2, DEPTH + 2)])
-                found = found[_maybe(bits, found)]
-                if len(found):
-                    keys.append(found), rows.append(np.full(len(found), row, np.int64))
-                    held += len(found)
-                if held >= CHUNK:
-                    yield from out()
-                    held = 0
-        if keys:
-            yield from out()
+            for part, n, rows, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if at not in (None, (part, n)):
+                    yield out()
+                at = part, n
+                held.append(_of_blob(blob, n, rows))
+        if held:
+            yield out()
 
     return run
 
 
-def _is_state(count: Column) -> Column:
+def _counted(docs: DataFrame, sizes: tuple[int, ...], inner: int, parts, symbols: int, least: int) -> DataFrame:
+    """All n-grams of the given sizes that occur ``least`` times or more in training, stored."""
+    bits = max(0, math.ceil(math.log2(max(1, symbols / PART))))
+    packed = docs.mapInArrow(_packed(sizes, inner, parts, bits, CHUNK), _PACKED)
+    rows = packed.repartition(1 << bits, "part", "n").sortWithinPartitions("part", "n").mapInArrow(_merged(least), "n int, k long, pre long, suf long, last long, c long")
+    return stored(rows, f"lm-grams-{sizes[0]}")
+
+
+def _is_state(cc: Column) -> Column:
     free = F.greatest(F.col("entries") - 1, F.lit(1))
-    return (F.col("gain") >= MIN_DIVERGENCE) & (2 * count * F.col("gain") > free + 3 * F.sqrt(2.0 * free))
+    return (F.col("gain") >= MIN_DIVERGENCE) & (2 * cc * F.col("gain") > free + 3 * F.sqrt(2.0 * free))
+
+
+def _named(df: DataFrame, **names: str) -> DataFrame:
+    """Renamed columns of a table that has no bound: whatever is joined with it, is merged with it at every size."""
+    return df.select(*[F.col(old).alias(new) for new, old in names.items()]).hint("merge")
 
 
-def _tree(docs: DataFrame, words: DataFrame, total: int, discount: float) -> tuple[DataFrame, DataFrame]:
-    """The states of one symbol (w, back) and what each n-gram adds (gram, adds). ``words`` has w and c, the end included."""
-    count = lambda n, parts: stored(docs.mapInArrow(_ngram_counts(n, parts), ", ".join(f"w{i} long" for i in range(n)) + ", n long").groupBy(*(f"w{i}" for i in range(n))).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST), f"lm-grams-{n}")
-    two = count(2, _filter(words.where(F.col("c") >= LEAST).select(F.col("w").alias("k"))))
-    three = count(3, _filter(_with_keys(two, 2).select(F.col("gram").alias("k"))))
-    of = lambda df, **names: df.select(*[F.col(old).alias(new) for new, old in names.items()])
-    stats = lambda df, *by: df.groupBy(*by).agg(F.first("cc").alias("cc"), F.sum(F.col("n") / F.col("cc") * F.log(F.greatest(F.col("n") / F.col("cc") / F.col("parent"), F.lit(1e-12)))).alias("gain"), F.count("*").alias("entries"), F.sum("n").alias("kept"))
+def _tree(grams: dict[int, DataFrame], words: DataFrame, total: int, discount: float, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What each n-gram adds to a score, (k, adds, c), and the states of one symbol, (k, back). ``words``: (k, c), the end included."""
     back = (F.col("cc") - F.col("kept") + PRIOR) / (F.col("cc") + PRIOR)
+    # nodes of d symbols: key, key of the suffix, count, count of the suffix
+    nodes = words.select("k", F.lit(0).cast("long").alias("suf"), "c", F.lit(total).cast("long").alias("sc"))
+    entries, tests = {}, {}
+    for d in range(1, depth + 1):
+        found = grams[d + 1].join(_named(nodes, pre="k", below="suf", cc="c", csc="sc"), "pre").join(_named(nodes, suf="k", down="c"), "suf")
+        entries[d] = stored(found.join(_named(words, last="k", lc="c"), "last").select("k", "pre", "suf", "below", "c", "cc", "csc", "down", "lc"), f"lm-entries-{d}")
+        p = F.col("c") / F.col("cc")
+        gain = F.sum(p * F.log(F.greatest(p * F.col("csc") / F.col("down"), F.lit(1e-12))))
+        tests[d] = entries[d].groupBy("pre").agg(F.first("below").alias("below"), F.first("cc").alias("cc"), gain.alias("gain"), F.count("*").alias("entries"), F.sum("c").alias("kept"))
+        nodes = _named(entries[d], k="k", suf="suf", c="c", sc="down")
+    states: dict[int, DataFrame] = {}
+    for d in range(depth, 0, -1):  # suffixes of states are states
+        if d == depth:
+            mine = tests[d].where(_is_state(F.col("cc")))
+        else:
+            mine = tests[d].join(states[d + 1].select(F.col("below").alias("pre"), F.lit(True).alias("held")).distinct(), "pre", "left").where(_is_state(F.col("cc")) | F.col("held"))
+        states[d] = stored(mine.select("pre", "below", "cc", back.alias("back")), f"lm-states-{d}")
+    root = F.greatest(F.col("lc") - discount, F.lit(1e-9)) / total
+    adds, lower = None, None
+    for d in range(1, depth + 1):
+        mine = entries[d].join(states[d].select("pre", "back"), "pre")
+        mine = mine.withColumn("low", root) if lower is None else mine.join(_named(lower, suf="k", low="p"), "suf")
+        mine = mine.select("k", "c", "low", "back", (F.col("c") / (F.col("cc") + PRIOR) + F.col("back") * F.col("low")).alias("p"))
+        lower = stored(mine.select("k", "c", "p", (F.log10("p") - F.log10("low") - F.log10("back")).alias("adds")), f"lm-adds-{d}")
+        part = lower.select("k", "c", "adds")
+        adds = part if adds is None else adds.unionByName(part)
+        if d > 1:
+            adds = adds.unionByName(states[d].select(F.col("pre").alias("k"), F.col("cc").alias("c"), F.log10("back").alias("adds")))
+    tree = stored(adds.groupBy("k").agg(F.sum("adds").alias("adds"), F.max("c").alias("c")), "lm-tree")
+    for table in entries.values():
+        delete_table(table)
+    return tree, _named(states[1], k="pre", back="back")
+
+
+def _hottest(values: DataFrame, most: int) -> int:
+    """The least count from which on at most ``most`` values are counted: an eighth of an octave is taken whole or not at all."""
+    octave = F.floor(8 * F.log2("c")).cast("int")
+    left, least = most, 2**62
+    for r in sorted(values.groupBy(octave.alias("o")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), reverse=True):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["c"]
+    return least
+
+
+_BLOCK = "k long, block long, rows array<int>, doc_ids array<{id}>, a array<long>, lg array<double>, over array<double>, known array<long>"
+
+
+def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType):
+    """Per block of documents a row per distinct word and n-gram that may have a value, hot ones aside, with where it stands, once a time.
+
+    One more row, whose key is unique, has the block's documents: ids, tokens, and what their hot words and n-grams sum to.
+    """
+    schema = pa.schema([("k", pa.int64()), ("block", pa.int64()), ("rows", pa.list_(pa.int32())), ("doc_ids", pa.list_(id_type)), ("a", pa.list_(pa.int64())), ("lg", pa.list_(pa.float64())), ("over", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (hot_k, *hot_v) = tree.value, hot.value
+        for block, (ids, n_words, symbols) in enumerate(_chunks(batches, chunk, False), TaskContext.get().partitionId() << 24):
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_words + 2)
+            ends = np.cumsum(n_words + 2)
+            inner = np.ones(len(symbols), bool)
+            inner[ends - 1] = inner[ends - n_words - 2] = False
+            keys, rows = [symbols[inner]], [doc[inner]]
+            for n in range(2, depth + 2):
+                if (places := len(symbols) - n + 1) > 0:
+                    key = gram_keys(symbols, n)
+                    at = np.flatnonzero((doc[:places] == doc[n - 1 :]) & _maybe(known, key))
+                    keys.append(key[at]), rows.append(doc[at])
+            key, row = np.concatenate(keys), np.concatenate(rows)
+            keys.clear(), rows.clear()
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            first = _runs(key)
+            times = np.diff(np.r_[first, len(key)])
+            own = key[first]
+            at = np.minimum(np.searchsorted(hot_k, own), max(len(hot_k) - 1, 0))
+            is_hot = hot_k[at] == own if len(hot_k) else np.zeros(len(own), bool)
+            every, of = np.repeat(is_hot, times), np.repeat(at, times)
+            sums = [np.bincount(row[every], v[of[every]], len(ids)) for v in hot_v]
+            facts = [pa.array([int(mixed(np.array([block], np.uint64)).view(np.int64)[0])]), pa.array([block]), pa.array([list(range(len(ids)))], schema.field("rows").type)]
+            facts += [pa.array([ids], schema.field("doc_ids").type), pa.array([n_words + 1], schema.field("a").type), *(pa.array([s], pa.list_(pa.float64())) for s in sums[:2]), pa.array([sums[2].astype(np.int64)], schema.field("known").type)]
+            yield pa.RecordBatch.from_arrays(facts, schema=schema)
+            rare, times, row = own[~is_hot], times[~is_hot], row[~every]
+            edge = np.r_[0, np.cumsum(times)]
+            for a in range(0, len(rare), 1 << 16):
+                b = min(a + (1 << 16), len(rare))
+                lists = pa.ListArray.from_arrays((edge[a : b + 1] - edge[a]).astype(np.int32), row[edge[a] : edge[b]])
+                yield pa.RecordBatch.from_arrays([pa.array(rare[a:b].view(np.int64)), pa.array(np.full(b - a, block)), lists, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
 
-    deep = three.join(of(two, w0="w0", w1="w1", cc="n"), ["w0", "w1"]).join(of(two, w1="w0", w2="w1", down="n"), ["w1", "w2"]).join(of(words, w1="w", c1="c"), "w1")
-    states2 = stats(deep.withColumn("parent", F.col("down") / F.col("c1")), "w0", "w1").where(_is_state(F.col("cc")))
-    states2 = stored(states2.select("w0", "w1", "cc", back.alias("back")), "lm-states-2")
-
-    entries = two.join(of(words, w0="w", cc="c"), "w0").join(of(words, w1="w", c1="c"), "w1").withColumn("parent", F.col("c1") / total)
-    states1 = stats(entries, "w0").join(states2.select(F.col("w1").alias("w0"), F.lit(True).alias("below")).distinct(), "w0", "left").where(_is_state(F.col("cc")) | F.col("below"))
-    states1 = stored(states1.select("w0", "cc", back.alias("back")), "lm-states-1")
-
-    # an entry's probability over the root's, and what that adds to the state's back-off
-    root = F.greatest(F.col("c1") - discount, F.lit(1e-9)) / total
-    known = two.join(states1, "w0").join(of(words, w1="w", c1="c"), "w1").select("w0", "w1", "back", root.alias("root"), (F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * root).alias("p"))
-    known = stored(known.select("w0", "w1", "root", "p", (F.log10(F.col("p") / F.col("root")) - F.log10("back")).alias("adds"), F.log10(F.col("p") / F.col("root")).alias("over")), "lm-entries-2")
-    delete_table(two)
-    third = three.join(states2, ["w0", "w1"]).join(of(known, w1="w0", w2="w1", root="root", p="p", over="over"), ["w1", "w2"])
-    third = third.select("w0", "w1", "w2", (F.log10((F.col("n") / (F.col("cc") + PRIOR) + F.col("back") * F.col("p")) / F.col("root")) - F.log10("back") - F.col("over")).alias("adds"))
-    third = stored(_with_keys(third, 3).select("gram", "adds"), "lm-adds-3")
-    delete_table(three)
-    pairs = known.select("w0", "w1", "adds").unionByName(states2.select("w0", "w1", F.log10("back").alias("adds"))).groupBy("w0", "w1").agg(F.sum("adds").alias("adds"))
-    pairs = stored(_with_keys(pairs, 2).select("gram", "adds"), "lm-adds-2")
-    delete_table(known), delete_table(states2)
-    return of(states1, w="w0", back="back"), third.unionByName(pairs)
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return run
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     remainder = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7")
-    counts = stored(docs.mapInArrow(_word_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("c")), "lm-words")
-    n_words, distinct, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    words = stored(docs.mapInArrow(_word_counts(CHUNK), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
+    n_words, distinct, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = docs.where(remainder != 2).count()
     n, v = n_words + ends, distinct + (ends > 0)
     discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.1))
 
-    end_of = spark.range(1 if ends else 0).select(F.lit(END).alias("w"), F.lit(ends).cast("long").alias("c"))
-    states, tree = _tree(docs, counts.select(F.xxhash64("term").alias("w"), "c").unionByName(end_of), max(n, 1), discount)
-    # equal texts share their row and so their sums
-    docs = docs.withColumn("row", row_key("text"))
-    blocks = docs.select("text", "row").mapInArrow(_gram_blocks(_filter(tree.select(F.col("gram").alias("k")))), "gram long, rows array<long>")
-    gains = blocks.join(tree, "gram").select(F.explode("rows").alias("row"), "adds").groupBy("row").agg(F.sum("adds").alias("adds"))
-    gains = gains.join(docs.groupBy("row").agg(F.count("*").alias("copies")), "row").select("row", (F.col("adds") / F.col("copies")).alias("gain"))
-    gains = stored(gains, "lm-gains")
-    delete_table(tree)
-
-    def scored():
-        def one(_, text):
-            words = words_of(text)
-            return Counter(words), len(words) + 1, 0, 0.0
-
-        return one
+    frequent = words.where(F.col("c") >= least).unionByName(spark.range(1 if ends else 0).select(F.lit(int(END.view(np.int64))).alias("k"), F.lit(ends).cast("long").alias("c")))
+    pairs = _counted(docs, (2,), 1, _filter(frequent), n, least)
+    longer = _counted(docs, tuple(range(3, depth + 2)), 2, _filter(pairs), n, least) if depth > 1 else None
+    grams = {2: pairs} | {k: longer.where(F.col("n") == k) for k in range(3, depth + 2)}
+    tree, states = _tree(grams, frequent, max(n, 1), discount, depth)
 
-    # the root: discounted counts; what the discounts free is the unknown symbol's
+    # the root: discounted counts; what the discounts free is the unknown symbol's; each word is a context once
     unknown = math.log10(discount * v / n) if n else 0.0
-    over = F.log10((F.col("c") - discount) / max(n, 1)) - unknown + F.coalesce(F.log10("back"), F.lit(0.0))  # each word is a context once
-    values = counts.withColumn("w", F.xxhash64("term")).join(states, "w", "left").select("term", F.log10(F.col("c") + 1).alias("lg"), over.alias("over"), F.lit(1).alias("known"))
-    sums = summed(term_blocks(docs.select(F.struct("doc_id", "row").alias("doc_id"), "text"), scored), values, ["lg", "over", "known"])
-    sums = sums.select("doc_id.*", "a", "lg", "over", "known").join(gains, "row", "left")
-    start = states.where(F.col("w") == END).first()
+    over = F.log10((F.col("c") - discount) / max(n, 1)) - unknown + F.coalesce(F.log10("back"), F.lit(0.0))
+    values = words.join(states, "k", "left").select("k", "c", F.log10(F.col("c") + 1).alias("lg"), over.alias("over"), F.lit(1.0).alias("known"))
+    values = stored(values.unionByName(tree.select("k", "c", F.lit(0.0).alias("lg"), F.col("adds").alias("over"), F.lit(0.0).alias("known"))), "lm-values")
+    from_count = _hottest(values, hot)
+    top = values.where(F.col("c") >= from_count).select("k", "lg", "over", "known").toArrow()  # at most ``hot`` rows
+    top_k = top.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(top_k)
+    inline = spark.sparkContext.broadcast([top_k[order], *(top.column(c).to_numpy()[order] for c in ("lg", "over", "known"))])
+
+    id_type = docs.schema["doc_id"].dataType
+    blocks = docs.mapInArrow(_blocks(depth, _filter(tree), inline, CHUNK, to_arrow_type(id_type)), _BLOCK.format(id=id_type.simpleString()))
+    rest = _named(values.where(F.col("c") < from_count), k="k", v_lg="lg", v_over="over", v_known="known")
+    joined = blocks.join(rest, "k", "left").where("doc_ids is not null or v_known is not null")
+    at = lambda c: F.coalesce(F.expr(f"get({c}, i)"), F.expr(f"v_{c}"), F.lit(0.0)).alias(c)
+    flat = joined.select("*", F.posexplode("rows").alias("i", "doc")).select("block", "doc", F.expr("get(doc_ids, i)").alias("doc_id"), F.expr("get(a, i)").alias("a"), at("lg"), at("over"), at("known"))
+    sums = flat.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("a").alias("a"), *[F.sum(c).alias(c) for c in ("lg", "over", "known")])
+    start = states.where(F.col("k") == int(END.view(np.int64))).first()
     end = (math.log10((ends - discount) / n) if ends else 0.0) + (math.log10(start["back"]) if start else 0.0)
     base = F.col("lg") + math.log10(ends + 1) - F.col("a") * math.log10(n + v + 1)
-    score = F.coalesce("gain", F.lit(0.0)) + F.col("over") + (F.col("a") - 1) * unknown + end
+    score = F.col("over") + (F.col("a") - 1) * unknown + end
     return sums.select("doc_id", (remainder == 2).alias("held_out"), F.col("a").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
