@@ -10,6 +10,7 @@ from corvida.functions import text as T
 from corvida.functions.vector import cosine_gate, inner_product, norm
 from corvida.operators import answer as A
 from corvida.operators import chunking, context, images, legacy, lexical, search, service, store
+from corvida.scratch import kept
 from corvida.sources import documents
 
 QUERIES, SQL = {}, {}
@@ -193,17 +194,17 @@ def q17_similarity_gate(spark, folder):
 # ---- context
 @query(f"WITH {HITS}, {NEAR} SELECT query_id, filename, chunk_index, cast(doc_rank AS INTEGER) AS doc_rank FROM w")
 def q18_neighbor_expansion(spark, folder):
-    return context.neighbours(hits_of(spark, folder), chunks_of(spark, folder)).select("query_id", "filename", "chunk_index", "doc_rank")
+    return context.neighbours(kept(hits_of(spark, folder), "hits"), chunks_of(spark, folder)).select("query_id", "filename", "chunk_index", "doc_rank")
 
 
 @query(f"WITH {HITS}, {NEAR} SELECT query_id, cast(pos AS INTEGER) AS pos, filename, chunk_index FROM x WHERE pos < 10")
 def q19_context_budget(spark, folder):
-    return context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K).select("query_id", F.col("pos").cast("int").alias("pos"), "filename", "chunk_index")
+    return context.build_context(kept(hits_of(spark, folder), "hits"), chunks_of(spark, folder), 2 * TOP_K).select("query_id", F.col("pos").cast("int").alias("pos"), "filename", "chunk_index")
 
 
 @query(f"WITH {HITS}, {NEAR} SELECT query_id, string_agg('[CHUNK ' || pos || ' | ' || filename || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY pos) AS context, count(*) AS chunks_used FROM x WHERE pos < 10 GROUP BY query_id")
 def q20_context_string(spark, folder):
-    rows = context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K)
+    rows = context.build_context(kept(hits_of(spark, folder), "hits"), chunks_of(spark, folder), 2 * TOP_K)
     return context.context_string(rows).select("query_id", "context", "chunks_used")
 
 
@@ -212,7 +213,7 @@ ROOTS = "list_distinct(list_transform(regexp_extract_all(lower({}), '[а-яёa-z
 
 @query(f"WITH {HITS}, {NEAR}, o AS (SELECT query_id, filename, min(pos) AS first FROM x WHERE pos < 10 GROUP BY query_id, filename), z AS (SELECT query_id, filename, first, len(list_intersect({ROOTS.format('question')}, {ROOTS.format('''replace(replace(filename, '_', ' '), '-', ' ')''')})) AS relevance FROM o JOIN q USING (query_id)) SELECT query_id, filename, cast(relevance AS INTEGER) AS relevance, cast(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, first) AS INTEGER) AS source_rank FROM z")
 def q21_ordered_sources(spark, folder):
-    rows = context.build_context(hits_of(spark, folder), chunks_of(spark, folder), 2 * TOP_K)
+    rows = context.build_context(kept(hits_of(spark, folder), "hits"), chunks_of(spark, folder), 2 * TOP_K)
     return context.ordered_sources(rows, question_of(spark, folder)).select("query_id", "filename", "relevance", "source_rank")
 
 
@@ -444,8 +445,8 @@ SRC = f"o AS (SELECT query_id, filename, min(pos) AS first FROM y GROUP BY query
 def q45_ask(spark, folder):
     asked = question_of(spark, folder).withColumn("rewritten", F.col("question"))
     chunks = chunks_of(spark, folder, True)
-    hits = search.hybrid_search(chunks, asked).join(chunks.select("id", "text"), "id")
-    found = service.context_of(hits, chunks, asked)
+    hits = kept(search.hybrid_search(chunks, asked).join(chunks.select("id", "text"), "id"), "hits")
+    found = kept(service.context_of(hits, chunks, asked), "context")
     said = F.concat(F.lit("<think>so\nit is</think> «"), F.trim(F.substring("text", 1, 80)), F.lit(" [CHUNK 1]» "))
     replies = found.where("pos = 0").select("query_id", said.alias("raw"), F.lit(None).cast("string").alias("failure"))
     rows = service.finished(asked, hits, found, replies, "http://host/", threshold=0.0)
