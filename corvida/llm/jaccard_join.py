@@ -42,8 +42,9 @@ from corvida.llm.graph import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 RATES, POOL, STARS = (2.0, 1.25, 1.25, 1.25), 64.0, 3
-SMALL, TILE, TILE_SHINGLES = 256, 1024, 1 << 20
+SMALL, TILE, TILE_SHINGLES = 8192, 1024, 1 << 20
 SKETCH = 64
+PAIRWISE = 64  # larger buckets are compared one by one, smaller ones many at a time
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _A, _B = (np.random.default_rng(s).integers(1, 2**32, SKETCH, dtype=np.uint32) | np.uint32(1) for s in (5, 6))
@@ -200,13 +201,37 @@ def _close(threshold: float):
     """
     least = _least(threshold)
 
+    def whole(label: np.ndarray, size: np.ndarray, tile: np.ndarray, across: bool, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A forest of one bucket. Rows meet all later ones, some at a time, one minhash after the other; what is joined by then is left out."""
+        labels, own = np.unique(label, return_inverse=True)
+        root, columns, lo, step = np.arange(len(labels)), np.ascontiguousarray(marks.T), 0, 16
+        while lo < len(own):
+            hi = min(lo + step, len(own))
+            group = root[own]
+            equal = np.zeros((hi - lo, len(own) - lo), np.uint8)
+            for c in columns:
+                equal += c[lo:hi, None] == c[None, lo:]
+            x, y = (k + lo for k in np.nonzero((equal >= least) & (group[lo:hi, None] != group[None, lo:])))
+            may = np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y])
+            if across:
+                may &= tile[x] != tile[y]
+            if may.any():
+                root = roots(len(labels), group[x[may]], group[y[may]])[root]
+            lo, step = hi, min(2 * step, 256)
+        rest = np.flatnonzero(root != np.arange(len(labels)))
+        return labels[rest], labels[root[rest]]
+
     def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch | None:
         label, size, tile = (table[c].to_numpy() for c in ("label", "size", "tile"))
         across = table["i"].to_numpy() != table["j"].to_numpy()
         marks = _marks(table["sketch"])
         starts = starts[starts < len(label)]
-        ends = np.r_[starts[1:], len(label)][np.searchsorted(starts, np.arange(len(label)), "right") - 1]
+        stops = np.r_[starts[1:], len(label)]
         left, right = [], []
+        for lo, hi in ((a, b) for a, b in zip(starts, stops) if b - a > PAIRWISE):
+            a, b = whole(label[lo:hi], size[lo:hi], tile[lo:hi], across[lo], marks[lo:hi])
+            left.append(a), right.append(b)
+        ends = np.repeat(np.where(stops - starts > PAIRWISE, starts, stops), stops - starts)
         at = np.arange(len(label))
         d = 1
         while len(at := at[at + d < ends[at]]):
@@ -353,7 +378,7 @@ def _candidates(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
         deeper = more.join(pools, "class").select("class", "label", "bucket", F.explode(F.expr(f"filter(pool, t -> shiftrightunsigned(xxhash64(bucket, t), 11) < {taken} * {float(1 << 53)!r}D)")).alias("t"))
         paths = deeper.select(F.xxhash64("bucket", "t").alias("bucket"), "class", "label").distinct()
     leaves = leaves.select("bucket", "class", "label", "n").join(facts.hint("merge"), "class")
-    leaves = tiled(leaves, f"ceil(n / {TILE}D)", "class").select("bucket", "i", "j", "tile", "label", "size", "sketch")
+    leaves = tiled(leaves, f"ceil(n / {max(SMALL, TILE)}D)", "class").select("bucket", "i", "j", "tile", "label", "size", "sketch")
     more = stored(leaves.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_close(threshold), "a long, b long"), "jaccard-edges")
     if more.isEmpty():
         return labels, facts

@@ -428,6 +428,45 @@ def test_jaccard_edges_grow_with_the_group(spark, monkeypatch):
     assert made[1] <= 2.4 * made[0] and made[2] <= 2.4 * made[1]
 
 
+def test_jaccard_middling_groups_are_compared_whole(spark, monkeypatch):
+    # texts that share much, but less than the threshold, so that no leader links them: their paths must not multiply
+    made, stored = [], jj.stored
+    monkeypatch.setattr(jj, "stored", lambda df, name: made.append(name) or stored(df, name))
+    rng, texts = np.random.default_rng(9), []
+    for i in range(600):
+        words = [f"b{k}" for k in range(160)]
+        for at in rng.choice(160, 16, replace=False):
+            words[at] = f"new{i}x{at}"
+        texts.append((i, " ".join(words)))
+        if i % 60 == 0:
+            texts.append((1000 + i, " ".join([*words[:-1], "end"])))
+    want = jaccard_brute(texts)
+    assert sum(n for _, _, n in want) >= 20
+    assert rows(jj.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "class_id", "n_links") == want
+    assert not [name for name in made if name.startswith("jaccard-level")]
+
+
+def test_jaccard_buckets_compared_whole():
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(4), 300
+    for across in (False, True):
+        marks = rng.integers(0, 256, (n, jj.SKETCH)).astype(np.uint8)
+        for i in range(0, n, 3):  # near to some earlier one
+            marks[i] = np.where(rng.random(jj.SKETCH) < 0.7, marks[rng.integers(0, i + 1)], marks[i])
+        label, size, tile = rng.permutation(n) // 2, rng.integers(80, 120, n), rng.integers(0, 2, n)
+        table = pa.table({"bucket": np.zeros(n, np.int64), "i": np.zeros(n, np.int64), "j": np.full(n, int(across)), "tile": tile, "label": label, "size": size, "sketch": [m.tobytes() for m in marks]})
+        got = [(a, b) for out in jj._close(0.8)(iter(table.to_batches())) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+        near = (marks[:, None] == marks[None]).sum(axis=2) >= jj._least(0.8)
+        near &= np.minimum(size[:, None], size[None]) >= 0.8 * np.maximum(size[:, None], size[None])
+        if across:
+            near &= tile[:, None] != tile[None]
+        x, y = np.nonzero(near & (label[:, None] != label[None]))
+        want = jj.roots(n, label[x], label[y])
+        assert len(got) == (want != np.arange(n)).sum() > 20
+        assert jj.roots(n, *np.array(got).T).tolist() == want.tolist()
+
+
 def test_jaccard_join(docs):
     assert rows(jj.jaccard_join(docs), "doc_id", "class_id", "n_links") == jaccard_brute(plain(docs))
 
