@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_ops import WORD, jaccard_brute, pack_checks
 
-from corvida.llm import quality_rules, secret_scan
+from corvida.llm import jaccard_join, quality_rules, secret_scan
 
 
 def test_stages(spark, small, tmp_path):
@@ -52,3 +53,17 @@ def test_stages(spark, small, tmp_path):
     padding, tokens = pack_checks([(r["doc_id"], r["text"]) for r in at["source_mix"]], pieces)
     assert padding < 0.02 * tokens
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_near_duplicates_of_a_middling_group(spark, small, monkeypatch):
+    # 500 texts that share a third of their shingles: all stay but for one real copy, and no paths are multiplied for them
+    made, stored = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: made.append(name) or stored(df, name))
+    rng, texts = random.Random(3), []
+    for i in range(500):
+        changed = set(rng.sample(range(160), 16))
+        texts.append((i, " ".join(f"new{i}x{k}" if k in changed else f"b{k}" for k in range(160)), "en", "s", 1))
+    texts.append((500, texts[0][1] + " end", "en", "s", 1))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, small).collect()) == list(range(500))
+    assert not [name for name in made if name.startswith("jaccard-level")]
