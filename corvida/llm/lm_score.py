@@ -40,6 +40,7 @@ MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 CHUNK, PART, HOT = 1 << 20, 1 << 21, 1 << 19
 FILTER_BITS = 27
 HELD = 4  # chunks whose n-grams are counted together before they are sent
+SLICE, RANGES = 1 << 16, 3  # keys that are computed at once; top bits by which a worker's keys are worked on apart
 END = np.uint64(0x5851F42D4C957F2D)  # the end symbol among the words' hashes
 
 
@@ -61,28 +62,27 @@ class _Hashes(dict):
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int, train: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Documents (doc_id, text), at least ``size`` symbols at a time: ids, numbers of words, and symbols, an end before and after each text's."""
-    hashes, ids, lengths, words = _Hashes(), [], [], []
+    hashes, ids, lengths, texts, end = _Hashes(), [], [], [], np.array([END])
 
     def out():
-        n = np.array(lengths, np.int64)
-        symbols, starts = np.full(len(words) + 2 * len(n), END, np.uint64), np.cumsum(n + 2) - (n + 2)
-        inner = np.ones(len(symbols), bool)
-        inner[starts] = inner[starts + n + 1] = False
-        symbols[inner] = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        return list(ids), n, symbols
+        full = list(ids), np.array(lengths, np.int64), np.concatenate(texts)
+        ids.clear(), lengths.clear(), texts.clear()  # before they are worked on
+        return full
 
+    n_symbols = 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if train and held_out(doc_id):
                     continue
-                mine = words_of(text)
-                ids.append(doc_id), lengths.append(len(mine))
-                words += mine
-                if len(words) + 2 * len(ids) >= size:
+                words = words_of(text)
+                ids.append(doc_id), lengths.append(len(words))
+                texts += [end, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), end]
+                n_symbols += len(words) + 2
+                if n_symbols >= size:
+                    n_symbols = 0
                     yield out()
-                    ids.clear(), lengths.clear(), words.clear()
     if ids:
         yield out()
 
@@ -110,18 +110,28 @@ def _filter(keys: DataFrame):
 
 
 def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> np.uint64(64 - FILTER_BITS)
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    may = np.empty(len(keys), bool)
+    for at in range(0, len(keys), SLICE):
+        slot = keys[at : at + SLICE] >> np.uint64(64 - FILTER_BITS)
+        may[at : at + SLICE] = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return may
 
 
 def gram_keys(symbols: np.ndarray, n: int) -> np.ndarray:
     """Keys of all n-grams along a text, apart by n; those of single symbols are their hashes."""
-    return rolled(symbols, n) + np.uint64((n - 1) * 0x9E3779B97F4A7C15 % 2**64)
+    keys = np.empty((max(0, len(symbols) - n + 1), *symbols.shape[1:]), np.uint64)
+    for at in range(0, len(keys), SLICE):
+        keys[at : at + SLICE] = rolled(symbols[at : at + SLICE + n - 1], n)
+    keys += np.uint64((n - 1) * 0x9E3779B97F4A7C15 % 2**64)
+    return keys
 
 
 def gram_key(columns: list[np.ndarray]) -> np.ndarray:
     """Keys of n-grams from the columns of their symbols."""
-    return gram_keys(np.stack(columns), len(columns))[0]
+    keys = np.empty(len(columns[0]), np.uint64)
+    for at in range(0, len(keys), SLICE):
+        keys[at : at + SLICE] = gram_keys(np.stack([c[at : at + SLICE] for c in columns]), len(columns))[0]
+    return keys
 
 
 def _runs(order: np.ndarray) -> np.ndarray:
@@ -129,17 +139,26 @@ def _runs(order: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, np.int64)
 
 
+def _ranges(bits: int):
+    """Tests for keys by their top ``bits``, so that not all of a worker's keys are sorted at once."""
+    for r in range(1 << bits):
+        low, high = (np.uint64(x) for x in (r << (64 - bits), ((r + 1) << (64 - bits)) - 1))
+        yield lambda keys, low=low, high=high: (keys >= low) & (keys <= high)
+
+
 _PACKED = "part int, n int, rows int, blob binary"
 
 
-def _summed(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct keys of n-grams given by their symbols' columns and, last, their counts; and their columns, counts summed."""
-    key = gram_key(columns[:-1])
+def _distinct(key: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one of each, and how often each stands there, or the sums of its counts."""
     order = np.argsort(key)
     key = key[order]
     first = _runs(key)
-    rows = order[first]
-    return key[first], [*(c[rows] for c in columns[:-1]), np.add.reduceat(columns[-1][order], first) if len(first) else columns[-1]]
+    if counts is None:
+        sums = np.diff(np.r_[first, len(key)])
+    else:
+        sums = np.add.reduceat(counts[order], first) if len(first) else counts
+    return key[first], order[first], sums
 
 
 def _to_blob(columns: list[np.ndarray]) -> bytes:
@@ -162,36 +181,33 @@ def _of_blob(blob: bytes, n: int, rows: int) -> list[np.ndarray]:
 def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
     """N-grams of the training texts, counted by ``HELD`` chunks at a time, sorted by key and cut by its top ``bits``.
 
-    Taken are those whose ``inner``-grams may all be among ``parts``.
+    Taken are those whose ``inner``-grams may all be among ``parts``. An n-gram is held by its key and a place where it stands,
+    whatever n; its symbols are looked up for one part at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = parts.value, {n: [] for n in sizes}
-
-        def out(n: int) -> Iterator[pa.RecordBatch]:
-            key, columns = _summed([np.concatenate(x) for x in zip(*held[n])])
-            held[n].clear()
-            part = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-            edge = [*_runs(part).tolist(), len(key)]
-            rows = [(part[a], n, b - a, _to_blob([c[a:b] for c in columns])) for a, b in zip(edge, edge[1:])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "rows", "blob"])
-
-        for _, n_words, symbols in _chunks(batches, chunk, True):
+        def counted(n: int, symbols: np.ndarray, doc: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
+            places = len(symbols) - n + 1
+            ok = doc[:places] == doc[n - 1 :]
+            for k in range(n - inner + 1):
+                ok &= good[k : k + places]
+            keys = gram_keys(symbols, n)
+            for of_range in _ranges(min(bits, RANGES)):
+                at = np.flatnonzero(ok & of_range(keys))
+                key, first, counts = _distinct(keys[at])
+                at = at[first]
+                part = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+                edge = [*_runs(part).tolist(), len(part)]
+                rows = [(part[a], n, b - a, _to_blob([*(symbols[at[a:b] + k] for k in range(n)), counts[a:b]])) for a, b in zip(edge, edge[1:])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "rows", "blob"])
+
+        for _, n_words, symbols in _chunks(batches, HELD * chunk, True):
             doc = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words + 2)
-            good = _maybe(known, gram_keys(symbols, inner))
+            good = _maybe(parts.value, gram_keys(symbols, inner))
             for n in sizes:
-                if (places := len(symbols) - n + 1) > 0:
-                    ok = doc[:places] == doc[n - 1 :]
-                    for k in range(n - inner + 1):
-                        ok &= good[k : k + places]
-                    at = np.flatnonzero(ok)
-                    held[n].append(_summed([*(symbols[at + k] for k in range(n)), np.ones(len(at), np.int64)])[1])
-                    if len(held[n]) == HELD:
-                        yield from out(n)
-        for n in sizes:
-            if held[n]:
-                yield from out(n)
+                if len(symbols) >= n:
+                    yield from counted(n, symbols, doc, good)
 
     return run
 
@@ -203,10 +219,11 @@ def _merged(least: int):
         held, at = [], None
 
         def out() -> pa.RecordBatch:
-            key, columns = _summed([np.concatenate(x) for x in zip(*held)])
+            *columns, counts = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            keep = columns[-1] >= least
-            *symbols, counts = (c[keep] for c in columns)
+            key, row, counts = _distinct(gram_key(columns), counts)
+            keep = counts >= least
+            counts, symbols = counts[keep], [c[row[keep]] for c in columns]
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), at[1], np.int32)), *(pa.array(x.view(np.int64)) for x in (key[keep], gram_key(symbols[:-1]), gram_key(symbols[1:]), symbols[-1])), pa.array(counts)], names=["n", "k", "pre", "suf", "last", "c"])
 
         for batch in batches:
@@ -310,26 +327,29 @@ def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType):
                     key = gram_keys(symbols, n)
                     at = np.flatnonzero((doc[:places] == doc[n - 1 :]) & _maybe(known, key))
                     keys.append(key[at]), rows.append(doc[at])
-            key, row = np.concatenate(keys), np.concatenate(rows)
-            keys.clear(), rows.clear()
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            first = _runs(key)
-            times = np.diff(np.r_[first, len(key)])
-            own = key[first]
-            at = np.minimum(np.searchsorted(hot_k, own), max(len(hot_k) - 1, 0))
-            is_hot = hot_k[at] == own if len(hot_k) else np.zeros(len(own), bool)
-            every, of = np.repeat(is_hot, times), np.repeat(at, times)
-            sums = [np.bincount(row[every], v[of[every]], len(ids)) for v in hot_v]
+            sums = [np.zeros(len(ids)) for _ in hot_v]
+            for of_range in _ranges(RANGES):
+                mine = [of_range(k) for k in keys]
+                key, row = (np.concatenate([x[m] for x, m in zip(xs, mine)]) for xs in (keys, rows))
+                order = np.argsort(key, kind="stable")
+                key, row = key[order], row[order]
+                first = _runs(key)
+                times = np.diff(np.r_[first, len(key)])
+                own = key[first]
+                at = np.minimum(np.searchsorted(hot_k, own), max(len(hot_k) - 1, 0))
+                is_hot = hot_k[at] == own if len(hot_k) else np.zeros(len(own), bool)
+                every, of = np.repeat(is_hot, times), np.repeat(at, times)
+                for s, v in zip(sums, hot_v):
+                    s += np.bincount(row[every], v[of[every]], len(ids))
+                rare, times, row = own[~is_hot], times[~is_hot], row[~every]
+                edge = np.r_[0, np.cumsum(times)]
+                for a in range(0, len(rare), 1 << 16):
+                    b = min(a + (1 << 16), len(rare))
+                    lists = pa.ListArray.from_arrays((edge[a : b + 1] - edge[a]).astype(np.int32), row[edge[a] : edge[b]])
+                    yield pa.RecordBatch.from_arrays([pa.array(rare[a:b].view(np.int64)), pa.array(np.full(b - a, block)), lists, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
             facts = [pa.array([int(mixed(np.array([block], np.uint64)).view(np.int64)[0])]), pa.array([block]), pa.array([list(range(len(ids)))], schema.field("rows").type)]
             facts += [pa.array([ids], schema.field("doc_ids").type), pa.array([n_words + 1], schema.field("a").type), *(pa.array([s], pa.list_(pa.float64())) for s in sums[:2]), pa.array([sums[2].astype(np.int64)], schema.field("known").type)]
             yield pa.RecordBatch.from_arrays(facts, schema=schema)
-            rare, times, row = own[~is_hot], times[~is_hot], row[~every]
-            edge = np.r_[0, np.cumsum(times)]
-            for a in range(0, len(rare), 1 << 16):
-                b = min(a + (1 << 16), len(rare))
-                lists = pa.ListArray.from_arrays((edge[a : b + 1] - edge[a]).astype(np.int32), row[edge[a] : edge[b]])
-                yield pa.RecordBatch.from_arrays([pa.array(rare[a:b].view(np.int64)), pa.array(np.full(b - a, block)), lists, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
 
     return run
 

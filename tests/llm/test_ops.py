@@ -184,6 +184,29 @@ def test_scores_are_the_trees(spark, hot):
     assert sorted(((r["doc_id"], round(r["score"], 5)) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_lm_memory_of_a_worker(monkeypatch):
+    # what is held at once grows with the symbols that are counted together, not with the lengths of n-grams or with how many have a value
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, chunk = np.random.default_rng(8), 1 << 16
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 1000)) for _ in range(320)]
+    ids = [i for i in range(1000) if not lm_score.held_out(i)][: len(texts)]
+    every = SimpleNamespace(value=np.full(1 << (lm_score.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    hot = SimpleNamespace(value=[np.zeros(0, np.uint64), *(np.zeros(0) for _ in range(3))])
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    for work, most in ((lm_score._packed((3, 4, 5), 2, every, 5, chunk), 80), (lm_score._blocks(4, every, hot, 4 * chunk, pa.int64()), 220)):
+        tracemalloc.start()
+        for _ in work(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak <= most * 4 * chunk  # bytes a symbol
+
+
 def test_lm_scores_of_hard_cases(docs):
     texts = plain(docs)
     tree = Tree([lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)], 2, 4)
