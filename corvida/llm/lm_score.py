@@ -39,7 +39,7 @@ MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 #: Symbols that a worker works on at once; n-grams that are counted in one group; values that are broadcast.
 CHUNK, PART, HOT = 1 << 20, 1 << 21, 1 << 19
 FILTER_BITS = 27
-HELD = 4  # chunks whose n-grams are counted together before they are sent
+HELD = 4  # chunks whose words and n-grams are counted together before they are sent; half as many make a block of documents
 SLICE, RANGES = 1 << 16, 3  # keys that are computed at once; top bits by which a worker's keys are worked on apart
 END = np.uint64(0x5851F42D4C957F2D)  # the end symbol among the words' hashes
 
@@ -361,7 +361,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     remainder = F.expr("crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7")
-    words = stored(docs.mapInArrow(_word_counts(CHUNK), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
+    words = stored(docs.mapInArrow(_word_counts(HELD * CHUNK), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
     n_words, distinct, once, twice = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = docs.where(remainder != 2).count()
     n, v = n_words + ends, distinct + (ends > 0)
@@ -385,7 +385,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     inline = spark.sparkContext.broadcast([top_k[order], *(top.column(c).to_numpy()[order] for c in ("lg", "over", "known"))])
 
     id_type = docs.schema["doc_id"].dataType
-    blocks = docs.mapInArrow(_blocks(depth, _filter(tree), inline, CHUNK, to_arrow_type(id_type)), _BLOCK.format(id=id_type.simpleString()))
+    blocks = docs.mapInArrow(_blocks(depth, _filter(tree), inline, HELD // 2 * CHUNK, to_arrow_type(id_type)), _BLOCK.format(id=id_type.simpleString()))
     rest = _named(values.where(F.col("c") < from_count), k="k", v_lg="lg", v_over="over", v_known="known")
     joined = blocks.join(rest, "k", "left").where("doc_ids is not null or v_known is not null")
     at = lambda c: F.coalesce(F.expr(f"get({c}, i)"), F.expr(f"v_{c}"), F.lit(0.0)).alias(c)
