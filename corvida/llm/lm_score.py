@@ -21,12 +21,14 @@ trains. Repeated rows are scored and counted each. With nothing to train on ever
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,7 @@ MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 CHUNK, PART, HOT = 1 << 20, 1 << 21, 1 << 19
 FILTER_BITS = 27
 HELD = 4  # chunks whose words and n-grams are counted together before they are sent; half as many make a block of documents
+TEXTS = 1 << 22  # bytes of texts whose words are cut and hashed at once
 SLICE, RANGES = 1 << 16, 3  # keys that are computed at once; top bits by which a worker's keys are worked on apart
 END = np.uint64(0x5851F42D4C957F2D)  # the end symbol among the words' hashes
 
@@ -52,39 +55,68 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def _give_back() -> None:
+    """What is freed goes back to the system: a worker lives on, beside the other steps' memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int, train: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Documents (doc_id, text), at least ``size`` symbols at a time: ids, numbers of words, and symbols, an end before and after each text's."""
-    hashes, ids, lengths, texts, end = _Hashes(), [], [], [], np.array([END])
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (doc_id, text), some ``TEXTS`` bytes of texts at a time; a longer text is a part of its own."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, TEXTS + (sizes[at - 1] if at else 0), "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' numbers of words, and the hashes of these (as ``words_of`` gives them), each distinct word's computed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    place = coded.indices.to_numpy()
+    real = np.fromiter(map(bool, distinct), bool, len(distinct))[place]  # white space at a text's ends leaves an empty piece
+    edge = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+    before = np.r_[0, np.cumsum(real)]
+    return before[edge[1:]] - before[edge[:-1]], hashes[place[real]]
 
-    def out():
-        full = list(ids), np.array(lengths, np.int64), np.concatenate(texts)
-        ids.clear(), lengths.clear(), texts.clear()  # before they are worked on
-        return full
 
-    n_symbols = 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if train and held_out(doc_id):
-                    continue
-                words = words_of(text)
-                ids.append(doc_id), lengths.append(len(words))
-                texts += [end, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), end]
-                n_symbols += len(words) + 2
-                if n_symbols >= size:
-                    n_symbols = 0
-                    yield out()
+def _chunks(batches: Iterator[pa.RecordBatch], size: int, train: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Documents (doc_id, text), at least ``size`` symbols at a time: ids, numbers of words, and symbols, an end before and after each text's."""
+    ids, lengths = [], []
+    symbols, used = np.empty(size + (size >> 3), np.uint64), 0  # filled anew for each chunk
+    for part in _parts(batches):
+        if train:
+            part = part.filter(pa.array([not held_out(x) for x in part.column(0).to_pylist()], pa.bool_()))
+        part_ids = part.column(0).to_pylist()
+        n_words, words = _hashed(part.column(1))
+        ends, word_ends = np.cumsum(n_words + 2), np.cumsum(n_words)
+        at = 0
+        while at < len(part_ids):
+            begin, word = (ends[at - 1], word_ends[at - 1]) if at else (0, 0)
+            to = min(int(np.searchsorted(ends, size - used + begin)) + 1, len(part_ids))
+            if (after := used + int(ends[to - 1] - begin)) > len(symbols):
+                symbols = np.concatenate([symbols[:used], np.empty(after - used + (size >> 3), np.uint64)])
+            inner = np.ones(after - used, bool)
+            inner[ends[at:to] - begin - 1] = inner[ends[at:to] - begin - n_words[at:to] - 2] = False
+            mine = symbols[used:after]
+            mine[:] = END
+            mine[inner] = words[word : word_ends[to - 1]]
+            ids += part_ids[at:to]
+            lengths.append(n_words[at:to])
+            at, used = to, after
+            if used >= size:
+                yield ids, np.concatenate(lengths), symbols[:used]
+                ids, lengths, used = [], [], 0
+                _give_back()
     if ids:
-        yield out()
+        yield ids, np.concatenate(lengths), symbols[:used]
+    _give_back()
 
 
 def _word_counts(size: int):
@@ -93,8 +125,9 @@ def _word_counts(size: int):
             ends = np.cumsum(n + 2)
             inner = np.ones(len(symbols), bool)
             inner[ends - 1] = inner[ends - n - 2] = False
-            w, c = np.unique(symbols[inner], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], names=["k", "c"])
+            for of_range in _ranges(RANGES):
+                w, c = np.unique(symbols[inner & of_range(symbols)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], names=["k", "c"])
 
     return run
 
@@ -109,14 +142,6 @@ def _filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    may = np.empty(len(keys), bool)
-    for at in range(0, len(keys), SLICE):
-        slot = keys[at : at + SLICE] >> np.uint64(64 - FILTER_BITS)
-        may[at : at + SLICE] = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-    return may
-
-
 def gram_keys(symbols: np.ndarray, n: int) -> np.ndarray:
     """Keys of all n-grams along a text, apart by n; those of single symbols are their hashes."""
     keys = np.empty((max(0, len(symbols) - n + 1), *symbols.shape[1:]), np.uint64)
@@ -126,6 +151,25 @@ def gram_keys(symbols: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
+def _maybe(bits: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
+    """Which n-grams along a text may be in a filter."""
+    may = np.empty(max(0, len(symbols) - n + 1), bool)
+    for at in range(0, len(may), SLICE):
+        slot = gram_keys(symbols[at : at + SLICE + n - 1], n) >> np.uint64(64 - FILTER_BITS)
+        may[at : at + SLICE] = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+    return may
+
+
+def _within(n_words: np.ndarray, n: int) -> np.ndarray:
+    """Which n-grams along a chunk's texts lie in one text."""
+    ends = np.cumsum(n_words + 2)
+    within = np.ones(max(0, int(ends[-1]) - n + 1), bool)
+    for k in range(1, n):
+        at = ends - k
+        within[at[(at >= 0) & (at < len(within))]] = False
+    return within
+
+
 def gram_key(columns: list[np.ndarray]) -> np.ndarray:
     """Keys of n-grams from the columns of their symbols."""
     keys = np.empty(len(columns[0]), np.uint64)
@@ -186,11 +230,9 @@ def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(n: int, symbols: np.ndarray, doc: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
-            places = len(symbols) - n + 1
-            ok = doc[:places] == doc[n - 1 :]
+        def counted(n: int, symbols: np.ndarray, ok: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(n - inner + 1):
-                ok &= good[k : k + places]
+                ok &= good[k : k + len(ok)]
             keys = gram_keys(symbols, n)
             for of_range in _ranges(min(bits, RANGES)):
                 at = np.flatnonzero(ok & of_range(keys))
@@ -203,11 +245,9 @@ def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "rows", "blob"])
 
         for _, n_words, symbols in _chunks(batches, HELD * chunk, True):
-            doc = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words + 2)
-            good = _maybe(parts.value, gram_keys(symbols, inner))
+            good = _maybe(parts.value, symbols, inner)
             for n in sizes:
-                if len(symbols) >= n:
-                    yield from counted(n, symbols, doc, good)
+                yield from counted(n, symbols, _within(n_words, n), good)
 
     return run
 
@@ -234,6 +274,7 @@ def _merged(least: int):
                 held.append(_of_blob(blob, n, rows))
         if held:
             yield out()
+        _give_back()
 
     return run
 
@@ -314,42 +355,49 @@ def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType):
     """
     schema = pa.schema([("k", pa.int64()), ("block", pa.int64()), ("rows", pa.list_(pa.int32())), ("doc_ids", pa.list_(id_type)), ("a", pa.list_(pa.int64())), ("lg", pa.list_(pa.float64())), ("over", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (hot_k, *hot_v) = tree.value, hot.value
-        for block, (ids, n_words, symbols) in enumerate(_chunks(batches, chunk, False), TaskContext.get().partitionId() << 24):
-            doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_words + 2)
-            ends = np.cumsum(n_words + 2)
-            inner = np.ones(len(symbols), bool)
-            inner[ends - 1] = inner[ends - n_words - 2] = False
-            keys, rows = [symbols[inner]], [doc[inner]]
-            for n in range(2, depth + 2):
-                if (places := len(symbols) - n + 1) > 0:
-                    key = gram_keys(symbols, n)
-                    at = np.flatnonzero((doc[:places] == doc[n - 1 :]) & _maybe(known, key))
-                    keys.append(key[at]), rows.append(doc[at])
-            sums = [np.zeros(len(ids)) for _ in hot_v]
+    def grams(n_words: np.ndarray, symbols: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
+        """Words, then n-grams of each size, a range of keys at a time: keys by place, the places to be taken, the range."""
+        for n in range(1, depth + 2):
+            ok = _within(n_words, n)
+            if n == 1:
+                ends = np.cumsum(n_words + 2)
+                ok[ends - 1] = ok[ends - n_words - 2] = False
+            else:
+                ok &= _maybe(known, symbols, n)
+            keys = gram_keys(symbols, n)
             for of_range in _ranges(RANGES):
-                mine = [of_range(k) for k in keys]
-                key, row = (np.concatenate([x[m] for x, m in zip(xs, mine)]) for xs in (keys, rows))
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                first = _runs(key)
-                times = np.diff(np.r_[first, len(key)])
-                own = key[first]
-                at = np.minimum(np.searchsorted(hot_k, own), max(len(hot_k) - 1, 0))
-                is_hot = hot_k[at] == own if len(hot_k) else np.zeros(len(own), bool)
-                every, of = np.repeat(is_hot, times), np.repeat(at, times)
-                for s, v in zip(sums, hot_v):
-                    s += np.bincount(row[every], v[of[every]], len(ids))
-                rare, times, row = own[~is_hot], times[~is_hot], row[~every]
-                edge = np.r_[0, np.cumsum(times)]
-                for a in range(0, len(rare), 1 << 16):
-                    b = min(a + (1 << 16), len(rare))
-                    lists = pa.ListArray.from_arrays((edge[a : b + 1] - edge[a]).astype(np.int32), row[edge[a] : edge[b]])
-                    yield pa.RecordBatch.from_arrays([pa.array(rare[a:b].view(np.int64)), pa.array(np.full(b - a, block)), lists, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
-            facts = [pa.array([int(mixed(np.array([block], np.uint64)).view(np.int64)[0])]), pa.array([block]), pa.array([list(range(len(ids)))], schema.field("rows").type)]
-            facts += [pa.array([ids], schema.field("doc_ids").type), pa.array([n_words + 1], schema.field("a").type), *(pa.array([s], pa.list_(pa.float64())) for s in sums[:2]), pa.array([sums[2].astype(np.int64)], schema.field("known").type)]
-            yield pa.RecordBatch.from_arrays(facts, schema=schema)
+                yield keys, ok, of_range
+
+    def of_block(block: int, ids: list, n_words: np.ndarray, symbols: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known, (hot_k, *hot_v) = tree.value, hot.value
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_words + 2)
+        sums = [np.zeros(len(ids)) for _ in hot_v]
+        for keys, ok, of_range in grams(n_words, symbols, known):
+            at = np.flatnonzero(ok & of_range(keys))
+            key = keys[at]
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], doc[at[order]]
+            first = _runs(key)
+            times = np.diff(np.r_[first, len(key)])
+            own = key[first]
+            at = np.minimum(np.searchsorted(hot_k, own), max(len(hot_k) - 1, 0))
+            is_hot = hot_k[at] == own if len(hot_k) else np.zeros(len(own), bool)
+            every, of = np.repeat(is_hot, times), np.repeat(at, times)
+            for s, v in zip(sums, hot_v):
+                s += np.bincount(row[every], v[of[every]], len(ids))
+            rare, times, row = own[~is_hot], times[~is_hot], row[~every]
+            edge = np.r_[0, np.cumsum(times)]
+            for a in range(0, len(rare), 1 << 16):
+                b = min(a + (1 << 16), len(rare))
+                lists = pa.ListArray.from_arrays((edge[a : b + 1] - edge[a]).astype(np.int32), row[edge[a] : edge[b]])
+                yield pa.RecordBatch.from_arrays([pa.array(rare[a:b].view(np.int64)), pa.array(np.full(b - a, block)), lists, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
+        facts = [pa.array([int(mixed(np.array([block], np.uint64)).view(np.int64)[0])]), pa.array([block]), pa.array([list(range(len(ids)))], schema.field("rows").type)]
+        facts += [pa.array([ids], schema.field("doc_ids").type), pa.array([n_words + 1], schema.field("a").type), *(pa.array([s], pa.list_(pa.float64())) for s in sums[:2]), pa.array([sums[2].astype(np.int64)], schema.field("known").type)]
+        yield pa.RecordBatch.from_arrays(facts, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, found in enumerate(_chunks(batches, chunk, False), TaskContext.get().partitionId() << 24):
+            yield from of_block(block, *found)
 
     return run
 

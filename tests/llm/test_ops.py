@@ -207,6 +207,48 @@ def test_lm_memory_of_a_worker(monkeypatch):
         assert peak <= most * 4 * chunk  # bytes a symbol
 
 
+def test_lm_blocks_hold_one_size_of_ngrams(monkeypatch):
+    # a worker that writes blocks of documents holds the keys of one n at a time, not those of all five
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, size = np.random.default_rng(9), 1 << 18
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 1000)) for _ in range(320)]
+    every = SimpleNamespace(value=np.full(1 << (lm_score.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    hot = SimpleNamespace(value=[np.zeros(0, np.uint64), *(np.zeros(0) for _ in range(3))])
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    places = sum(len(b.column("rows").values) for b in lm_score._blocks(4, every, hot, size, pa.int64())(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places == sum(1000 + sum(1002 - n + 1 for n in range(2, 6)) + 1 for _ in texts)  # all words and n-grams, and the documents
+    assert peak <= 90 * size  # bytes a symbol
+
+
+@pytest.mark.parametrize("size", [1, 5, 37, 1 << 20])
+@pytest.mark.parametrize("at_once", [1, 10, 1 << 22])
+def test_lm_chunks_are_the_words(monkeypatch, size, at_once):
+    import pyarrow as pa
+    import xxhash
+
+    monkeypatch.setattr(lm_score, "TEXTS", at_once, raising=False)
+    texts = [None, "", " ", "a B\u00c0\x85 c\u3000d e\x1c f\x1f", "  x  Y\n\t\x0b\x0c\r z ", "\U0001f600 \u00c9 \u00e9 Z", "q" * 10] * 30
+    rows = list(zip([None, *range(len(texts) - 1)], texts))
+    batch = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string()))], names=["doc_id", "text"])
+    for train in (True, False):
+        ids, symbols = [], []
+        for chunk_ids, n_words, chunk in lm_score._chunks(iter([batch, batch.slice(0, 0), batch.slice(3, 20)]), size, train):
+            assert len(chunk) == sum(n_words) + 2 * len(n_words) and len(chunk_ids) == len(n_words)
+            ids += chunk_ids
+            symbols += chunk.tolist()
+        want = [(d, lm_score.words_of(t)) for d, t in rows + rows[3:23] if not (train and lm_score.held_out(d))]
+        assert ids == [d for d, _ in want]
+        assert symbols == [x for _, words in want for x in (int(lm_score.END), *map(xxhash.xxh64_intdigest, words), int(lm_score.END))]
+
+
 def test_lm_scores_of_hard_cases(docs):
     texts = plain(docs)
     tree = Tree([lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)], 2, 4)
