@@ -41,6 +41,7 @@ MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 #: Symbols that a worker works on at once; n-grams that are counted in one group; values that are broadcast.
 CHUNK, PART, HOT = 1 << 20, 1 << 21, 1 << 19
 FILTER_BITS = 27
+FILTER_SHIFTS = 64 - FILTER_BITS, 64 - 2 * FILTER_BITS  # where a key's two places in a filter are read
 HELD = 4  # chunks whose words and n-grams are counted together before they are sent; half as many make a block of documents
 TEXTS = 1 << 22  # bytes of texts whose words are cut and hashed at once
 SLICE, RANGES = 1 << 16, 3  # keys that are computed at once; top bits by which a worker's keys are worked on apart
@@ -133,9 +134,9 @@ def _word_counts(size: int):
 
 
 def _filter(keys: DataFrame):
-    """A broadcast bit filter of the column ``k``: at most 2**FILTER_BITS / 64 rows reach the driver."""
-    slot = F.shiftrightunsigned("k", 64 - FILTER_BITS)
-    rows = keys.select(F.shiftrightunsigned(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(k, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    """A broadcast bit filter of the column ``k``, two bits a key: at most 2**FILTER_BITS / 64 rows reach the driver."""
+    slots = keys.select(F.explode(F.array(*[F.shiftrightunsigned("k", shift).bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long")) for shift in FILTER_SHIFTS])).alias("slot"))
+    rows = slots.select(F.shiftrightunsigned("slot", 6).alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
     rows = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
@@ -155,8 +156,11 @@ def _maybe(bits: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
     """Which n-grams along a text may be in a filter."""
     may = np.empty(max(0, len(symbols) - n + 1), bool)
     for at in range(0, len(may), SLICE):
-        slot = gram_keys(symbols[at : at + SLICE + n - 1], n) >> np.uint64(64 - FILTER_BITS)
-        may[at : at + SLICE] = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        keys, both = gram_keys(symbols[at : at + SLICE + n - 1], n), np.uint64(1)
+        for shift in FILTER_SHIFTS:
+            slot = (keys >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+            both = both & (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)))
+        may[at : at + SLICE] = both > 0
     return may
 
 
@@ -205,24 +209,60 @@ def _distinct(key: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     return key[first], order[first], sums
 
 
-def _to_blob(columns: list[np.ndarray]) -> bytes:
-    """The distinct symbols, then each row's symbols as places among them, then the counts."""
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: equal high bytes compress away."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _of_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as differences; ``np.cumsum`` gives them back."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+class _Codes:
+    """Symbols as small numbers: ranks of the most frequent ones, then places among the others that a blob has."""
+
+    def __init__(self, by_rank: np.ndarray):
+        self.by_rank = by_rank
+        self.rank = np.argsort(by_rank)
+        self.known = by_rank[self.rank]
+
+    def of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of distinct sorted symbols, and those that have no rank."""
+        at = np.minimum(np.searchsorted(self.known, symbols), max(len(self.known) - 1, 0))
+        other = self.known[at] != symbols if len(self.known) else np.ones(len(symbols), bool)
+        codes = np.empty(len(symbols), np.int64)
+        codes[~other] = self.rank[at[~other]]
+        codes[other] = len(self.by_rank) + np.arange(np.count_nonzero(other))
+        return codes, symbols[other]
+
+
+def _to_blob(columns: list[np.ndarray], codes: _Codes) -> bytes:
+    """The distinct symbols without a rank, then each row's symbols as codes, by the first two, then the counts."""
     words, place = np.unique(np.concatenate(columns[:-1]), return_inverse=True)
-    place = place.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
-    raw = b"".join([np.array([len(words), place.itemsize], np.uint32).tobytes(), words.tobytes(), place.tobytes(), columns[-1].astype(np.uint32).tobytes()])
+    code, others = codes.of(words)
+    place = code[place].reshape(len(columns) - 1, -1)
+    order = np.argsort(place[0] << 32 | place[1])
+    place = place[:, order].astype(np.uint32)
+    place[0] = _steps(place[0])
+    raw = b"".join([len(others).to_bytes(8, "little"), _planes(_steps(others)), *map(_planes, place), _planes(columns[-1][order].astype(np.uint32))])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _of_blob(blob: bytes, n: int, rows: int) -> list[np.ndarray]:
+def _of_blob(blob: bytes, n: int, rows: int, codes: _Codes) -> list[np.ndarray]:
     raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-    distinct, width = np.frombuffer(raw, np.uint32, 2).tolist()
-    words = np.frombuffer(raw, np.uint64, distinct, 8)
-    place = np.frombuffer(raw, f"u{width}", n * rows, 8 + 8 * distinct)
-    counts = np.frombuffer(raw, np.uint32, rows, 8 + 8 * distinct + width * n * rows)
-    return [*words[place].reshape(n, rows), counts.astype(np.int64)]
+    n_others = int.from_bytes(raw[:8], "little")
+    words = np.concatenate([codes.by_rank, np.cumsum(_of_planes(raw, "u8", n_others, 8), dtype=np.uint64)])
+    first, *rest, counts = (_of_planes(raw, "u4", rows, 8 + 8 * n_others + 4 * rows * k) for k in range(n + 1))
+    return [words[np.cumsum(first)], *(words[x] for x in rest), counts.astype(np.int64)]
 
 
-def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
+def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int, frequent=None):
     """N-grams of the training texts, counted by ``HELD`` chunks at a time, sorted by key and cut by its top ``bits``.
 
     Taken are those whose ``inner``-grams may all be among ``parts``. An n-gram is held by its key and a place where it stands,
@@ -230,7 +270,7 @@ def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(n: int, symbols: np.ndarray, ok: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def counted(n: int, symbols: np.ndarray, ok: np.ndarray, good: np.ndarray, codes: _Codes) -> Iterator[pa.RecordBatch]:
             for k in range(n - inner + 1):
                 ok &= good[k : k + len(ok)]
             keys = gram_keys(symbols, n)
@@ -240,23 +280,24 @@ def _packed(sizes: tuple[int, ...], inner: int, parts, bits: int, chunk: int):
                 at = at[first]
                 part = (key >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
                 edge = [*_runs(part).tolist(), len(part)]
-                rows = [(part[a], n, b - a, _to_blob([*(symbols[at[a:b] + k] for k in range(n)), counts[a:b]])) for a, b in zip(edge, edge[1:])]
+                rows = [(part[a], n, b - a, _to_blob([*(symbols[at[a:b] + k] for k in range(n)), counts[a:b]], codes)) for a, b in zip(edge, edge[1:])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["part", "n", "rows", "blob"])
 
+        codes = _Codes(frequent.value if frequent else np.zeros(0, np.uint64))
         for _, n_words, symbols in _chunks(batches, HELD * chunk, True):
             good = _maybe(parts.value, symbols, inner)
             for n in sizes:
-                yield from counted(n, symbols, _within(n_words, n), good)
+                yield from counted(n, symbols, _within(n_words, n), good, codes)
 
     return run
 
 
-def _merged(least: int):
+def _merged(least: int, frequent=None):
     """Packed parts, sorted by (part, n), to the n-grams that occur ``least`` times: n, k, pre, suf (keys of all but the last and all but the first symbol), last, c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held, at, codes = [], None, _Codes(frequent.value if frequent else np.zeros(0, np.uint64))
 
         def out() -> pa.RecordBatch:
             *columns, counts = (np.concatenate(x) for x in zip(*held))
@@ -271,7 +312,7 @@ def _merged(least: int):
                 if at not in (None, (part, n)):
                     yield out()
                 at = part, n
-                held.append(_of_blob(blob, n, rows))
+                held.append(_of_blob(blob, n, rows, codes))
         if held:
             yield out()
         _give_back()
@@ -279,11 +320,11 @@ def _merged(least: int):
     return run
 
 
-def _counted(docs: DataFrame, sizes: tuple[int, ...], inner: int, parts, symbols: int, least: int) -> DataFrame:
-    """All n-grams of the given sizes that occur ``least`` times or more in training, stored."""
+def _counted(docs: DataFrame, sizes: tuple[int, ...], inner: int, parts, symbols: int, least: int, frequent=None) -> DataFrame:
+    """All n-grams of the given sizes that occur ``least`` times or more in training, stored. ``frequent``: words by rank, for shorter rows only."""
     bits = max(0, math.ceil(math.log2(max(1, symbols / PART))))
-    packed = docs.mapInArrow(_packed(sizes, inner, parts, bits, CHUNK), _PACKED)
-    rows = packed.repartition(1 << bits, "part", "n").sortWithinPartitions("part", "n").mapInArrow(_merged(least), "n int, k long, pre long, suf long, last long, c long")
+    packed = docs.mapInArrow(_packed(sizes, inner, parts, bits, CHUNK, frequent), _PACKED)
+    rows = packed.repartition(1 << bits, "part", "n").sortWithinPartitions("part", "n").mapInArrow(_merged(least, frequent), "n int, k long, pre long, suf long, last long, c long")
     return stored(rows, f"lm-grams-{sizes[0]}")
 
 
@@ -416,9 +457,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.1))
 
     frequent = words.where(F.col("c") >= least).unionByName(spark.range(1 if ends else 0).select(F.lit(int(END.view(np.int64))).alias("k"), F.lit(ends).cast("long").alias("c")))
-    pairs = _counted(docs, (2,), 1, _filter(frequent), n, least)
-    longer = _counted(docs, tuple(range(3, depth + 2)), 2, _filter(pairs), n, least) if depth > 1 else None
-    grams = {2: pairs} | {k: longer.where(F.col("n") == k) for k in range(3, depth + 2)}
+    ranked = frequent.where(F.col("c") >= _hottest(frequent, HOT)).toArrow()  # at most ``HOT`` rows
+    ranked = spark.sparkContext.broadcast(ranked.column("k").to_numpy().view(np.uint64)[np.argsort(-ranked.column("c").to_numpy(), kind="stable")])
+    grams = {2: _counted(docs, (2,), 1, _filter(frequent), n, least, ranked)}
+    for sizes in ((3,), tuple(range(4, depth + 2))):  # what is longer than three is looked for among frequent n-grams of three
+        if sizes and sizes[0] <= depth + 1:
+            found = _counted(docs, sizes, sizes[0] - 1, _filter(grams[sizes[0] - 1]), n, least, ranked)
+            grams |= {k: found.where(F.col("n") == k) for k in sizes}
     tree, states = _tree(grams, frequent, max(n, 1), discount, depth)
 
     # the root: discounted counts; what the discounts free is the unknown symbol's; each word is a context once

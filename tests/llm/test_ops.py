@@ -249,6 +249,40 @@ def test_lm_chunks_are_the_words(monkeypatch, size, at_once):
         assert symbols == [x for _, words in want for x in (int(lm_score.END), *map(xxhash.xxh64_intdigest, words), int(lm_score.END))]
 
 
+@pytest.mark.parametrize("ranked", [0, 700, 3000])
+def test_lm_packed_ngrams_stay_small_in_many_parts(ranked):
+    # bytes a row do not grow with the number of parts; rows come back whole, whether their words have ranks or not
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, every = np.random.default_rng(10), SimpleNamespace(value=np.full(1 << (lm_score.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 1000)) for _ in range(100)]
+    ids = [i for i in range(1000) if not lm_score.held_out(i)][: len(texts)]
+    batch = pa.record_batch([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    symbols = next(lm_score._chunks(iter([batch]), 1 << 20, True))[2]
+    frequent = SimpleNamespace(value=np.unique(symbols)[:ranked])
+    inside = [q for t in texts for q in [[int(lm_score.END), *symbols_of(t), int(lm_score.END)]]]
+    for n in (2, 3):
+        want = Counter(tuple(q[i : i + n]) for q in inside for i in range(len(q) - n + 1))
+        for bits in (0, 8):
+            codes, got, size = lm_score._Codes(frequent.value), Counter(), 0
+            for packed in lm_score._packed((n,), n - 1, every, bits, 1 << 18, frequent)(iter([batch])):
+                for _, m, rows, blob in zip(*(c.to_pylist() for c in packed.columns)):
+                    *columns, counts = lm_score._of_blob(blob, m, rows, codes)
+                    got.update(dict(zip(zip(*(c.tolist() for c in columns)), counts.tolist())))
+                    size += len(blob)
+            assert got == want
+            if ranked == 3000:
+                assert size <= (1.6 + 1.8 * n) * len(want)
+
+
+def symbols_of(text: str) -> list[int]:
+    import xxhash
+
+    return [xxhash.xxh64_intdigest(w) for w in lm_score.words_of(text)]
+
+
 def test_lm_scores_of_hard_cases(docs):
     texts = plain(docs)
     tree = Tree([lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)], 2, 4)
