@@ -11,7 +11,7 @@ Scale. Counts cover all training documents, and ``LEAST`` is the same number for
 table, never collected: n-grams are counted in sorted packed runs (``_counted``), tested and valued by joins. What a state or an entry adds
 to what its suffix says is one number per n-gram, so that a document's score is a sum over its words and n-grams. The
 ``HOT`` most frequent of these are broadcast, a fixed number, and summed where the text is read, so that no hot key is
-ever shuffled; the others meet the table in a join of blocks of documents. Bit filters of fixed size (``FILTER_BITS``)
+ever shuffled; the others meet the blocks of documents part by part, both packed (``_met``). Bit filters of fixed size (``FILTER_BITS``)
 keep n-grams that cannot be in the table out of a shuffle; they never drop one that is, and only save less as they fill up.
 Words and n-grams are known by 64-bit hashes: of ten thousand million distinct ones some two or three pairs are taken for one.
 
@@ -45,6 +45,8 @@ FILTER_SHIFTS = 64 - FILTER_BITS, 64 - 2 * FILTER_BITS  # where a key's two plac
 HELD = 4  # chunks whose words and n-grams are counted together before they are sent; half as many make a block of documents
 TEXTS = 1 << 22  # bytes of texts whose words are cut and hashed at once
 SLICE, RANGES = 1 << 16, 3  # keys that are computed at once; top bits by which a worker's keys are worked on apart
+#: Top bits at least by which values meet the documents; symbols and values of one such part.
+VALUE_BITS, SYMBOLS_MET, VALUES_MET = 4, 1 << 23, 1 << 18
 END = np.uint64(0x5851F42D4C957F2D)  # the end symbol among the words' hashes
 
 
@@ -209,6 +211,15 @@ def _distinct(key: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     return key[first], order[first], sums
 
 
+def _zipped(*raw: bytes) -> bytes:
+    raw = b"".join(raw)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unzipped(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """The first bytes of all numbers, then the second ones, and so on: equal high bytes compress away."""
     return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
@@ -250,12 +261,11 @@ def _to_blob(columns: list[np.ndarray], codes: _Codes) -> bytes:
     order = np.argsort(place[0] << 32 | place[1])
     place = place[:, order].astype(np.uint32)
     place[0] = _steps(place[0])
-    raw = b"".join([len(others).to_bytes(8, "little"), _planes(_steps(others)), *map(_planes, place), _planes(columns[-1][order].astype(np.uint32))])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return _zipped(len(others).to_bytes(8, "little"), _planes(_steps(others)), *map(_planes, place), _planes(columns[-1][order].astype(np.uint32)))
 
 
 def _of_blob(blob: bytes, n: int, rows: int, codes: _Codes) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    raw = _unzipped(blob)
     n_others = int.from_bytes(raw[:8], "little")
     words = np.concatenate([codes.by_rank, np.cumsum(_of_planes(raw, "u8", n_others, 8), dtype=np.uint64)])
     first, *rest, counts = (_of_planes(raw, "u4", rows, 8 + 8 * n_others + 4 * rows * k) for k in range(n + 1))
@@ -386,15 +396,51 @@ def _hottest(values: DataFrame, most: int) -> int:
     return least
 
 
-_BLOCK = "k long, block long, rows array<int>, doc_ids array<{id}>, a array<long>, lg array<double>, over array<double>, known array<long>"
+_FACTS = "rows array<int>, doc_ids array<{id}>, a array<long>, lg array<double>, over array<double>, known array<long>"
+
+
+def _facts_schema(*first: tuple[str, pa.DataType], id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([*first, ("rows", pa.list_(pa.int32())), ("doc_ids", pa.list_(id_type)), ("a", pa.list_(pa.int64())), ("lg", pa.list_(pa.float64())), ("over", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
+
+
+def _by_part(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Sorted keys cut by their top ``bits``: part, from, to."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = _runs(part)
+    return list(zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)]))
+
+
+def _packed_values(bits: int, size: int = 1 << 20):
+    """Values (k, lg, over, known) to packed parts: they stand before all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, *values = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4))
+            held.clear()
+            order = np.argsort(k.view(np.uint64))
+            k, values = k.view(np.uint64)[order], [v[order] for v in values]
+            rows = [(part, -1, _zipped((b - a).to_bytes(8, "little"), _planes(_steps(k[a:b])), *(v[a:b].tobytes() for v in values))) for part, a, b in _by_part(k, bits)]
+            for at in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), (pa.int32(), pa.int64(), pa.binary()))], names=["part", "block", "blob"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= size:
+                yield from out()
+        if held:
+            yield from out()
+
+    return run
 
 
-def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType):
-    """Per block of documents a row per distinct word and n-gram that may have a value, hot ones aside, with where it stands, once a time.
+def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType, bits: int = RANGES):
+    """Per block of documents its distinct words and n-grams that may have a value, hot ones aside, with where they stand, packed in parts.
 
-    One more row, whose key is unique, has the block's documents: ids, tokens, and what their hot words and n-grams sum to.
+    One more row has the block's documents: ids, tokens, and what their hot words and n-grams sum to.
     """
-    schema = pa.schema([("k", pa.int64()), ("block", pa.int64()), ("rows", pa.list_(pa.int32())), ("doc_ids", pa.list_(id_type)), ("a", pa.list_(pa.int64())), ("lg", pa.list_(pa.float64())), ("over", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))])
+    schema = _facts_schema(("part", pa.int32()), ("block", pa.int64()), ("blob", pa.binary()), id_type=id_type)
 
     def grams(n_words: np.ndarray, symbols: np.ndarray, known: np.ndarray) -> Iterator[tuple]:
         """Words, then n-grams of each size, a range of keys at a time: keys by place, the places to be taken, the range."""
@@ -428,11 +474,12 @@ def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType):
                 s += np.bincount(row[every], v[of[every]], len(ids))
             rare, times, row = own[~is_hot], times[~is_hot], row[~every]
             edge = np.r_[0, np.cumsum(times)]
-            for a in range(0, len(rare), 1 << 16):
-                b = min(a + (1 << 16), len(rare))
-                lists = pa.ListArray.from_arrays((edge[a : b + 1] - edge[a]).astype(np.int32), row[edge[a] : edge[b]])
-                yield pa.RecordBatch.from_arrays([pa.array(rare[a:b].view(np.int64)), pa.array(np.full(b - a, block)), lists, *(pa.nulls(b - a, f.type) for f in list(schema)[3:])], schema=schema)
-        facts = [pa.array([int(mixed(np.array([block], np.uint64)).view(np.int64)[0])]), pa.array([block]), pa.array([list(range(len(ids)))], schema.field("rows").type)]
+            rows = [(part, block, _zipped((b - a).to_bytes(8, "little"), _planes(_steps(rare[a:b])), _planes(times[a:b].astype(np.uint32)), _planes(row[edge[a] : edge[b]]))) for part, a, b in _by_part(rare, bits)]
+            for a in range(0, len(rows), 64):
+                mine = [pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 64]), schema)]
+                yield pa.RecordBatch.from_arrays([*mine, *(pa.nulls(len(mine[0]), f.type) for f in list(schema)[3:])], schema=schema)
+        part = int(mixed(np.array([block], np.uint64))[0] >> np.uint64(64 - bits))
+        facts = [pa.array([part], pa.int32()), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([list(range(len(ids)))], schema.field("rows").type)]
         facts += [pa.array([ids], schema.field("doc_ids").type), pa.array([n_words + 1], schema.field("a").type), *(pa.array([s], pa.list_(pa.float64())) for s in sums[:2]), pa.array([sums[2].astype(np.int64)], schema.field("known").type)]
         yield pa.RecordBatch.from_arrays(facts, schema=schema)
 
@@ -443,6 +490,60 @@ def _blocks(depth: int, tree, hot, chunk: int, id_type: pa.DataType):
     return run
 
 
+def _met(id_type: pa.DataType):
+    """Packed parts, sorted by (part, block): what each block's documents get from a part's values, and the blocks' own rows as they are."""
+    schema = _facts_schema(("block", pa.int64()), id_type=id_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, packed, values, docs, of = None, [], None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not docs:
+                return
+            doc, place = np.unique(np.concatenate(docs), return_inverse=True)
+            which = np.concatenate(of)
+            docs.clear(), of.clear()
+            lg, over, known = (np.bincount(place, v[which], len(doc)) for v in values[1:])
+            columns = [pa.array([at[1]]), pa.array([doc], schema.field("rows").type), pa.nulls(1, schema.field("doc_ids").type), pa.nulls(1, schema.field("a").type)]
+            columns += [pa.array([lg]), pa.array([over]), pa.array([known.astype(np.int64)])]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        for batch in batches:
+            facts = batch.filter(pc.is_null(batch.column(2)))
+            if facts.num_rows:
+                yield pa.RecordBatch.from_arrays([facts.column(1), *facts.columns[3:]], schema=schema)
+            for part, block, blob in zip(*(c.to_pylist() for c in batch.columns[:3])):
+                if blob is None:
+                    continue
+                if at != (part, block):
+                    yield from out()
+                if at is None or at[0] != part:
+                    packed, values = [], None
+                at = part, block
+                raw = _unzipped(blob)
+                n = int.from_bytes(raw[:8], "little")
+                keys = np.cumsum(_of_planes(raw, "u8", n, 8), dtype=np.uint64)
+                if block < 0:
+                    packed.append([keys, *np.frombuffer(raw, np.float64, 3 * n, 8 + 8 * n).reshape(3, n)])
+                    continue
+                if values is None and packed:  # once for a part; equal keys are summed
+                    key, *columns = (np.concatenate(x) for x in zip(*packed))
+                    order = np.argsort(key)
+                    key, first = key[order], _runs(key[order])
+                    values, packed = [key[first], *(np.add.reduceat(c[order], first) for c in columns)], []
+                if values is None:
+                    continue
+                place = np.minimum(np.searchsorted(values[0], keys), len(values[0]) - 1)
+                hit = values[0][place] == keys
+                times = _of_planes(raw, "u4", n, 8 + 8 * n).astype(np.int64)
+                rows = _of_planes(raw, "i4", int(times.sum()), 8 + 12 * n)
+                docs.append(rows[np.repeat(hit, times)]), of.append(np.repeat(place[hit], times[hit]))
+        yield from out()
+        _give_back()
+
+    return run
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -478,11 +579,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     inline = spark.sparkContext.broadcast([top_k[order], *(top.column(c).to_numpy()[order] for c in ("lg", "over", "known"))])
 
     id_type = docs.schema["doc_id"].dataType
-    blocks = docs.mapInArrow(_blocks(depth, _filter(tree), inline, HELD // 2 * CHUNK, to_arrow_type(id_type)), _BLOCK.format(id=id_type.simpleString()))
-    rest = _named(values.where(F.col("c") < from_count), k="k", v_lg="lg", v_over="over", v_known="known")
-    joined = blocks.join(rest, "k", "left").where("doc_ids is not null or v_known is not null")
-    at = lambda c: F.coalesce(F.expr(f"get({c}, i)"), F.expr(f"v_{c}"), F.lit(0.0)).alias(c)
-    flat = joined.select("*", F.posexplode("rows").alias("i", "doc")).select("block", "doc", F.expr("get(doc_ids, i)").alias("doc_id"), F.expr("get(a, i)").alias("a"), at("lg"), at("over"), at("known"))
+    arrow_id, facts = to_arrow_type(id_type), _FACTS.format(id=id_type.simpleString())
+    rest = values.where(F.col("c") < from_count)
+    bits = max(VALUE_BITS, math.ceil(math.log2(max(1, n / SYMBOLS_MET, rest.count() / VALUES_MET))))
+    packed = rest.select("k", "lg", "over", "known").mapInArrow(_packed_values(bits), "part int, block long, blob binary")
+    blocks = docs.mapInArrow(_blocks(depth, _filter(tree), inline, HELD // 2 * CHUNK, arrow_id, bits), f"part int, block long, blob binary, {facts}")
+    met = blocks.unionByName(packed, allowMissingColumns=True).repartition(1 << bits, "part").sortWithinPartitions("part", "block").mapInArrow(_met(arrow_id), f"block long, {facts}")
+    at = lambda c: F.expr(f"get({c}, i)").alias(c)
+    flat = met.select("*", F.posexplode("rows").alias("i", "doc")).select("block", "doc", F.expr("get(doc_ids, i)").alias("doc_id"), *map(at, ("a", "lg", "over", "known")))
     sums = flat.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("a").alias("a"), *[F.sum(c).alias(c) for c in ("lg", "over", "known")])
     start = states.where(F.col("k") == int(END.view(np.int64))).first()
     end = (math.log10((ends - discount) / n) if ends else 0.0) + (math.log10(start["back"]) if start else 0.0)

@@ -221,7 +221,12 @@ def test_lm_blocks_hold_one_size_of_ngrams(monkeypatch):
     monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
     batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
     tracemalloc.start()
-    places = sum(len(b.column("rows").values) for b in lm_score._blocks(4, every, hot, size, pa.int64())(iter([batch])))
+    places = 0
+    for block in lm_score._blocks(4, every, hot, size, pa.int64())(iter([batch])):
+        places += len(block.column("rows").drop_null().flatten())
+        for raw in map(lm_score._unzipped, block.column("blob").drop_null().to_pylist()):
+            n = int.from_bytes(raw[:8], "little")
+            places += (len(raw) - 8 - 12 * n) // 4
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert places == sum(1000 + sum(1002 - n + 1 for n in range(2, 6)) + 1 for _ in texts)  # all words and n-grams, and the documents
@@ -283,6 +288,35 @@ def symbols_of(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(w) for w in lm_score.words_of(text)]
 
 
+def test_scores_met_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 700)
+    monkeypatch.setattr(lm_score, "SYMBOLS_MET", 200, raising=False)
+    texts = markov_texts()
+    tree = Tree([lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)], 4, 3)
+    df = spark.createDataFrame([(str(d) if d is not None else None, t) for d, t in texts], "name string, body string").repartition(3)
+    got = lm_score.lm_scores(df, "name", "body", least=3, hot=40)
+    assert sorted(((r["doc_id"], round(r["score"], 5)) for r in got.collect()), key=repr) == sorted(((None if d is None else str(d), round(tree.score(lm_score.words_of(t)), 5)) for d, t in texts), key=repr)
+
+
+def test_lm_blocks_are_packed(monkeypatch):
+    # a distinct word or n-gram of a block takes less than its key, the block's number and a list beside them would
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, size = np.random.default_rng(11), 1 << 18
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 1000)) for _ in range(320)]
+    every = SimpleNamespace(value=np.full(1 << (lm_score.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    hot = SimpleNamespace(value=[np.zeros(0, np.uint64), *(np.zeros(0) for _ in range(3))])
+    monkeypatch.setattr(lm_score, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    held = [b.drop_columns(["doc_ids", "a", "lg", "over", "known"]) for b in lm_score._blocks(2, every, hot, size, pa.int64())(iter([batch]))]
+    keys = set()
+    for _, _, symbols in lm_score._chunks(iter([batch]), size, False):
+        keys |= {(n, x) for n in (1, 2, 3) for x in lm_score.gram_keys(symbols, n).tolist()}
+    assert sum(b.nbytes for b in held) <= 13 * len(keys)
+
+
 def test_lm_scores_of_hard_cases(docs):
     texts = plain(docs)
     tree = Tree([lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)], 2, 4)
