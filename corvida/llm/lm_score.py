@@ -40,6 +40,7 @@ DEPTH, LEAST = 4, 16
 MIN_DIVERGENCE, PRIOR = 0.005, 8.0
 #: Symbols that a worker works on at once; n-grams that are counted in one group; values that are broadcast.
 CHUNK, PART, HOT = 1 << 20, 1 << 21, 1 << 19
+TOGETHER = 4  # groups that one task counts, one after the other, and writes to one file
 FILTER_BITS = 27
 FILTER_SHIFTS = 64 - FILTER_BITS, 64 - 2 * FILTER_BITS  # where a key's two places in a filter are read
 HELD = 4  # chunks whose words and n-grams are counted together before they are sent; half as many make a block of documents
@@ -334,7 +335,7 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], inner: int, parts, symbols
     """All n-grams of the given sizes that occur ``least`` times or more in training, stored. ``frequent``: words by rank, for shorter rows only."""
     bits = max(0, math.ceil(math.log2(max(1, symbols / PART))))
     packed = docs.mapInArrow(_packed(sizes, inner, parts, bits, CHUNK, frequent), _PACKED)
-    rows = packed.repartition(1 << bits, "part", "n").sortWithinPartitions("part", "n").mapInArrow(_merged(least, frequent), "n int, k long, pre long, suf long, last long, c long")
+    rows = packed.repartition(max(1, (1 << bits) // TOGETHER), "part", "n").sortWithinPartitions("part", "n").mapInArrow(_merged(least, frequent), "n int, k long, pre long, suf long, last long, c long")
     return stored(rows, f"lm-grams-{sizes[0]}")
 
 

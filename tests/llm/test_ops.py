@@ -338,6 +338,13 @@ def test_ngrams_counted_in_many_parts(spark, monkeypatch):
     assert sorted(r["c"] for r in got) == sorted(c for c in grams.values() if c >= 3) and len({r["k"] for r in got}) == len(got)
 
 
+def test_ngrams_of_many_parts_are_written_to_few_files(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PART", 500)
+    every = spark.sparkContext.broadcast(np.full(1 << (lm_score.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    df = spark.createDataFrame(markov_texts(), "doc_id long, text string").repartition(5)
+    assert len(lm_score._counted(df, (2,), 1, every, 32_000, 3).inputFiles()) <= 17  # 64 parts
+
+
 def test_scores_beat_the_base(spark, small):
     held = [r for r in lm_score.lm_scores(spark.read.parquet(f"{small}/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
