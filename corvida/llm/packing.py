@@ -12,12 +12,14 @@ holds one block (or one longer document). What is left at a block's end goes on
 end is forced: its last window may be dealt out as powers of two, which need no padding. A window never spans partitions.
 
 Defined cases. Null and empty texts are one token, the end id. Repeated rows and null ids are packed each. An empty table gives an
-empty result. Other columns are not read. Ids are the library's for whole texts: its splitting drops white space, so words are encoded
-once each (the tests hold this against whole texts); special strings in texts are what the library makes of them.
+empty result. Other columns are not read. Ids are the library's for whole texts: its splitting drops white space, so words and their
+pre-tokens are encoded once each (the tests hold this against whole texts); special strings in texts are what the library makes of them.
 """
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
 import re
 import zlib
@@ -27,13 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW, END_ID, GRID, BLOCK = 4096, 2, 64, 1 << 20
 CUT_SENTENCE, CUT_WORD = 2.0, 8.0
-MEMO, TURN, JOINED = 1_000_000, 32, 256
+MEMO, TURN, JOINED = 1_000_000, 1 << 20, 256
 
 
 def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int, tail: bool = True) -> list[int]:
@@ -70,18 +73,42 @@ def best_cuts(ends: np.ndarray, penalty: np.ndarray, window: int, tail: bool = T
     return sorted(out)
 
 
-#: A letter (ASCII or Latin-1) and marks at a word's end: the marks are a pre-token of their own, so the word may be cut there.
-_MARKED = re.compile(rb"(.*(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: Pre-tokens of a folded word of ASCII and Latin-1 letters, ASCII digits and marks, as the tokenizer's own expression cuts it.
+_LETTERS = re.compile(rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++")
+_PIECE = re.compile(_LETTERS.pattern + rb"|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]++")
 
-#: Loaded tokenizers and their words' ids, which the tasks of one Python worker share.
+#: Lower case of such letters, byte by byte: A to Z, and what follows \xc3 in U+00C0 to U+00DE without the multiplication sign.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 or 128 <= b <= 158 and b != 151 else b for b in range(256))
+
+#: The normalizer and the splitting that ``_PIECE`` and ``_FOLD`` stand for; words meet any other tokenizer whole.
+_KNOWN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+#: Loaded tokenizers, what is read from their vocabularies, and their words' ids, which the tasks of one Python worker share.
 _SHARED: dict[str, tuple] = {}
 
 
+def _byte_level() -> str:
+    """The character that the byte-level alphabet has for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(chr(256 + hidden.index(b) if b in hidden else b) for b in range(256))
+
+
 class Encoder:
     """Ids of a text as little-endian bytes.
 
-    New words are encoded ``JOINED`` at a time, with a mark between them that is a pre-token of its own; marks at their ends are
-    encoded apart. Words are encoded once while the memo of at most ``MEMO`` words lasts.
+    Words are encoded once while the memo of at most ``MEMO`` words and pre-tokens lasts. A new word that ``_PIECE`` covers is made
+    of its pre-tokens' ids; new pre-tokens go to the library's model ``JOINED`` at a time, already lower-cased and cut, so that only
+    its merges run. Other words take the library's whole way, with a mark between them that is a pre-token of its own.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -89,45 +116,86 @@ class Encoder:
         import tokenizers
 
         if path not in _SHARED:
-            _SHARED[path] = tokenizers.Tokenizer.from_file(path), {}
-        (self.model, self.memo), self.end = _SHARED[path], end_id.to_bytes(4, "little")
-        ids = [e.ids for e in self.model.encode_batch_fast([".", "!", "?", "|"], add_special_tokens=False)]
+            _SHARED[path] = (*self._load(tokenizers, path), {})
+        (self.model, self.merges, self.alphabet, self.last, self.digits, ids, self.memo), self.end = _SHARED[path], end_id.to_bytes(4, "little")
         self.stops, self.bar = [i[-1] for i in ids[:3]], ids[3]
-        self.digits = np.zeros(self.model.get_vocab_size(), bool)  # tokens that begin with a digit
-        self.digits[[i for w, i in self.model.get_vocab().items() if w[:1].isdigit()]] = True
-
-    def learn(self, words: set[bytes]) -> None:
-        """Put all of these words into the memo, which is cleared first if it would get too long."""
-        new = words.difference(self.memo)
-        if len(self.memo) + 3 * len(new) > MEMO:
-            self.memo.clear()
-            new = words
-        parts = [(w, *m.groups()) for w in new if not 97 <= w[-1] <= 122 and w[-1] < 127 and b"<|" not in w and (m := _MARKED.fullmatch(w))]
-        new = new.difference([w for w, _, _ in parts]).union(*[p[1:] for p in parts]).difference(self.memo)
-        plain = [w for w in new if b"|" not in w] if len(self.bar) == 1 else []
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
+
+    @staticmethod
+    def _load(tokenizers, path: str) -> tuple:
+        model, merges, alphabet = tokenizers.Tokenizer.from_file(path), None, _byte_level()
+        vocabulary = model.get_vocab()
+        last, digits = np.zeros((2, model.get_vocab_size()), bool)  # tokens that end a pre-token, and that begin with a digit
+        last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        digits[[i for w, i in vocabulary.items() if w[:1].isdigit()]] = True
+        bpe = model.model
+        parts = [json.loads(p.__getstate__()) if p else None for p in (model.normalizer, model.pre_tokenizer)]
+        whole = all(c + end in vocabulary for c in alphabet for end in ("", "</w>"))
+        if parts == [*_KNOWN] and isinstance(bpe, tokenizers.models.BPE) and (bpe.end_of_word_suffix, bpe.continuing_subword_prefix, bpe.dropout) == ("</w>", None, None) and whole:
+            merges = tokenizers.Tokenizer(bpe)
+            merges.pre_tokenizer = tokenizers.pre_tokenizers.CharDelimiterSplit(alphabet[32])
+        return model, merges, alphabet, last, digits, [e.ids for e in model.encode_batch_fast([".", "!", "?", "|"], add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Put all of these distinct words, which are not in the memo, into it. It is cleared first if it would get too long."""
+        memo, cut, others = self.memo, {}, []  # cut: words and their pre-tokens in one string (many lists would keep the garbage collector busy)
+        for w in words:
+            folded = w.translate(_FOLD)
+            if not self.merges or b"<|" in w:
+                others.append(w)
+            elif folded.isalpha() or _LETTERS.fullmatch(folded):
+                cut[w] = folded
+            elif (pieces := _PIECE.findall(folded)) and len(spaced := b" ".join(pieces)) == len(w) + len(pieces) - 1:
+                cut[w] = spaced
+            else:
+                others.append(w)
+        new = list(set(b" ".join(cut.values()).split()).difference(memo))
+        if memo and len(memo) + len(cut) + len(others) + len(new) > MEMO:
+            memo.clear()
+            return self.learn(words)
+        for at in range(0, len(new), JOINED):
+            part = new[at : at + JOINED]
+            text = codecs.charmap_decode(b" ".join(part), "strict", self.alphabet)[0]
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist(), ids.tobytes()
+            for piece, begin, end in zip(part, [0, *ends[:-1]], ends, strict=True):
+                memo[piece] = raw[begin:end]
+        joined = [w for w in others if b"|" not in w] if len(self.bar) == 1 else []
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
             ids = np.array(self.model.encode_batch_fast([b" | ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
             bars, raw, begin = (np.flatnonzero(ids == self.bar[0]) * 4).tolist(), ids.tobytes(), 0
             for w, end in zip(part, [*bars, len(raw)], strict=True):
-                self.memo[w] = raw[begin:end]
+                memo[w] = raw[begin:end]
                 begin = end + 4
-        others = [w for w in new if b"|" in w] if len(self.bar) == 1 else list(new)
+        others = [w for w in others if b"|" in w] if len(self.bar) == 1 else others
         for at in range(0, len(others), 10_000):
             part = others[at : at + 10_000]
             for w, e in zip(part, self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.memo[w] = array("I", e.ids).tobytes()
-        for w, stem, marks in parts:
-            self.memo[w] = self.memo[stem] + self.memo[marks]
-
-    def cut(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        return (raw if b"<|" in raw else raw.lower()).split()  # else lower case might make a special string
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [self.cut(t) for t in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.memo.__getitem__, mine)) + self.end for mine in words]
+                memo[w] = array("I", e.ids).tobytes()
+        for w, pieces in cut.items():
+            memo[w] = memo[pieces] if pieces in memo else b"".join(map(memo.__getitem__, pieces.split()))
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # where there is "<|", lower case might make a special string
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary())
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), b" ")[0].as_py().split(b" ") if len(distinct) else []
+        ids = list(map(self.memo.get, words))
+        new = [k for k, i in enumerate(ids) if i is None]
+        self.learn([words[k] for k in new])
+        for k in new:
+            ids[k] = self.memo[words[k]]
+        ids.append(self.end)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+        places = np.insert(coded.indices.to_numpy(), ends, len(words))  # the end id after each text
+        sizes = np.r_[0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]
+        values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(sizes), pa.py_buffer(b"".join(ids))])
+        _, at, raw = values.take(pa.array(places)).buffers()
+        stops = np.frombuffer(at, np.int64)[ends + 1 + np.arange(len(ends))].tolist()
+        raw = memoryview(raw)
+        return [bytes(raw[a:b]) for a, b in zip([0, *stops], stops)]
 
 
 def boundaries(ids: np.ndarray, doc_ends: np.ndarray, stops: list[int], digits: np.ndarray, window: int, grid: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +246,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         held, tokens = [], 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, TURN):
-                turn = batch.slice(at, TURN)
-                for doc_id, raw in zip(turn.column(0).to_pylist(), encode(turn.column(1).to_pylist())):
+            turns = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TURN
+            cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:]):
+                turn = batch.slice(at, end - at)
+                for doc_id, raw in zip(turn.column(0).to_pylist(), encode(turn.column(1))):
                     held.append((doc_id, raw, 0))
                     tokens += len(raw) >> 2
                     if tokens >= block:

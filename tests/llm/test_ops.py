@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -707,6 +708,67 @@ def test_encoder_on_odd_words():
         assert np.frombuffer(raw, "<u4").tolist() == [*model.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_encoder_encodes_pieces_once(monkeypatch):
+    """What the library is given grows with the distinct pre-tokens, not with the words that are made of them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, of):
+            self.of, self.chars = of, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.chars += sum(map(len, texts))
+            return self.of.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(packing, "_SHARED", {})
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, model = packing.Encoder(path, 2), Tokenizer.from_file(path)
+    counted = [Counted(getattr(encode, name)) for name in ("model", "merges") if hasattr(encode, name)]
+    for name, of in zip(("model", "merges"), counted):
+        setattr(encode, name, of)
+    stems = [f"{a}{b}é" for a in ("thatio", "ofoner", "wher", "Éla", "sosu") for b in ("an", "ther", "ing", "con", "ß", "qu")]
+    text = " ".join(f"{a}-{b}.{i % 10}," for i, (a, b) in enumerate((a, b) for a in stems for b in stems))
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == [*model.encode(text, add_special_tokens=False).ids, 2]
+    assert 0 < sum(c.chars for c in counted) < 1000 < len(text) / 10
+
+
+def test_encoder_on_latin_words(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    letters = [chr(c) for c in range(0xA0, 0x100)]
+    singles = [x for c in range(0x180) for x in (chr(c), f"a{chr(c)}b", f"A{chr(c)}'S{chr(c)}")]
+    marks = [f"{a}'{b}{c}" for a in ("", "x", ".", "7", "é", "'") for b in ("s", "S", "re", "VE", "r", "ll", "lL", "d", "dd", "m", "'t") for c in ("", "x", ".", "7", "É")]
+    texts = ["".join(letters), "".join(letters).upper(), " ".join(singles), " ".join(marks), f"<|ENDOFTEXT|> Words É{'a' * 300} <|endoftext|>x", " a  b ", "  ", "</w> </w>x", "Слово слово, 日本語 ελληνικός| “x”", None, ""]
+    other = json.loads(Path(path).read_text())
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    assert packing.Encoder(path, 2)([]) == []
+    for file in (path, str(tmp_path / "other.json")):  # the other one keeps numbers whole and knows no 's
+        model, encode = Tokenizer.from_file(file), packing.Encoder(file, 2)
+        for t, raw in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == [*model.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_encoder_clears_its_memo(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_SHARED", {})
+    monkeypatch.setattr(packing, "MEMO", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, model = packing.Encoder(path, 2), Tokenizer.from_file(path)
+    for turn in range(6):
+        texts = [" ".join(f"w{chr(97 + turn)}{chr(97 + (i + k) % 26)},{'日' * (i % 2)}" for i in range(9)) + " and the same." for k in range(3)]
+        for t, raw in zip(texts, encode(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == [*model.encode(t, add_special_tokens=False).ids, 2]
+        assert len(encode.memo) <= 80
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(2)
     for turn in range(300):
