@@ -320,6 +320,28 @@ def test_lm_blocks_are_packed(monkeypatch):
     assert sum(b.nbytes for b in held) <= 13 * len(keys)
 
 
+def test_lm_words_are_hashed_without_python_objects_from_arrow():
+    """The hashes of odd words, and that many distinct ones take less time than Arrow takes to hand these over one by one."""
+    import pyarrow as pa
+    import xxhash
+
+    odd = [None, "", " ", "a", "\x00 \x1c a\x1db \x85 \u2003 É\ud7ff", " x\ty\n\x0b\x0cA", "\r\na  a ", " ".join(map(chr, range(0x80)))]
+    for texts in (odd, odd[:0], odd[:1], odd[4:5]):
+        n, hashes = lm_score._hashed(pa.array(texts, pa.string()))
+        want = [list(map(xxhash.xxh64_intdigest, lm_score.words_of(t))) for t in texts]
+        assert (n.tolist(), hashes.tolist()) == (list(map(len, want)), [x for w in want for x in w])
+    words = [f"w{i}" for i in range(200_000)]
+    texts, words = pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]), pa.array(words)
+
+    def seconds(work) -> float:
+        began = time.process_time()
+        assert len(work()) in (2, len(words))
+        return time.process_time() - began
+
+    ours, one_by_one = (min(seconds(f) for _ in range(5)) for f in (lambda: lm_score._hashed(texts), words.to_pylist))
+    assert ours < 0.75 * one_by_one
+
+
 def test_lm_scores_of_hard_cases(docs):
     texts = plain(docs)
     tree = Tree([lm_score.words_of(t) for d, t in texts if not lm_score.held_out(d)], 2, 4)
