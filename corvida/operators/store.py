@@ -56,7 +56,8 @@ def latest_status(status: DataFrame) -> DataFrame:
 
 
 def progress(done: Column, total: Column) -> Column:
-    return F.bround(done / F.coalesce(F.nullif(total, F.lit(0)), F.lit(1)) * 100, 1)
+    """Percent to one place, ties to even; multiplied first, so that 245 of 400 is the tie 61.25 and no bit less or more."""
+    return F.rint(done * F.lit(100.0) / F.coalesce(F.nullif(total, F.lit(0)), F.lit(1)) * 10) / 10
 
 
 def document_status(log: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -49,6 +49,13 @@ def test_text(spark):
     assert one(spark, store.progress, a=0, b=0) == 0.0
 
 
+def test_progress_rounds_ties_as_sql(spark, oracle):
+    totals = "40, 80, 400, 2000, 4020"
+    got = spark.sql(f"select t, explode(sequence(0, t - 1)) k from (select explode(array({totals})) t)").select("t", "k", store.progress(F.col("k"), F.col("t")).alias("p"))
+    want = oracle.sql(f"SELECT t, k, round_even(k * 100.0::DOUBLE / t, 1) AS p FROM (SELECT unnest([{totals}]) AS t), range(4020) r(k) WHERE k < t").df()
+    assert {(r["t"], r["k"]): r["p"] for r in got.collect()} == {(t, k): p for t, k, p in want.itertuples(index=False)}
+
+
 def test_checks(spark):
     assert one(spark, answer.is_faithful, a="a bc", c="x") is True
     words = " ".join(["same"] * 3 + ["miss"] * 7)
