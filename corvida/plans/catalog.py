@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvida.functions import text as T
-from corvida.functions.vector import cosine_gate, inner_product, norm
+from corvida.functions.vector import norm
 from corvida.operators import answer as A
-from corvida.operators import chunking, context, images, legacy, lexical, search, service, store
+from corvida.operators import chunking, context, images, legacy, lexical, pairs, search, service, store
 from corvida.scratch import kept
 from corvida.sources import documents
 
@@ -333,11 +333,9 @@ COSINE = f"({DOT.format('e.embedding', 'q.embedding')} / (sqrt({DOT.format('e.em
 
 @query(f"SELECT q.vec_id AS query_id, e.vec_id, round(1 - (1 - {COSINE}) / 2, 6) AS gate, round(1 - (1 - {COSINE}) / 2, 6) >= 0.65 AS passes FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0")
 def q36_cosine_gate(spark, folder):
-    vectors = table(spark, folder, "embeddings")
-    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    sim = inner_product(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * norm(F.col("q")))
-    gate = F.round(cosine_gate(sim), 6)
-    return search.every_pair(vectors, asked).select("query_id", "vec_id", gate.alias("gate"), (gate >= THRESHOLD).alias("passes"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return pairs.meet(vectors, asked, pairs.gates(THRESHOLD), pairs.schema_of(asked, vectors, "gate double, passes boolean"))
 
 
 KEYWORDS = "about thathe retion wherean"

@@ -128,6 +128,40 @@ def test_more_questions_than_a_batch(spark):
         assert sorted((r["query_id"], r["id"]) for r in found.collect()) == [(i, f"c{i % 3}") for i in range(1200)]
 
 
+def test_vectors_meet_in_blocks(spark, tmp_path, monkeypatch):
+    # copies, opposite vectors and zero vectors, in blocks that are not full; held against the SQL
+    import numpy as np
+
+    from corvida.operators import pairs
+
+    monkeypatch.setattr(pairs, "ROWS", 64)
+    monkeypatch.setattr(pairs, "QUESTIONS", 2)
+    v = np.random.default_rng(5).normal(size=(650, 8)).astype("float32")
+    v[50:90], v[90:95], v[300], v[301] = v[0], -v[0], 0, 0
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INT)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, 0)", [[i, x.tolist()] for i, x in enumerate(v)])
+    con.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    for name in ("q11_vector_topk_batch", "q36_cosine_gate"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert "zip_with" not in df._jdf.queryExecution().toString()  # no work per pair in the plan: blocks meet
+        got, want = df.toPandas(), con.sql(SQL[name]).df()
+        columns = sorted(want.columns)
+        a, b = (x[columns].astype(str).sort_values(columns).reset_index(drop=True) for x in (got, want))
+        assert a.equals(b)
+
+
+def test_vectors_of_other_lengths(spark):
+    from corvida.operators import legacy, pairs
+
+    rows = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [1.0, 0.0]), ("c", 2, [1.0]), ("d", 3, None), ("e", 4, [0.0, 0.0]), ("f", 5, [1.0, None])], "id string, ord long, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], 3), (8, [2.0], 3), (9, None, 3)], "query_id long, query_vector array<float>, k int")
+    best = lambda df, rank: [(r["query_id"], r["id"]) for r in df.orderBy("query_id", rank).collect()]
+    assert best(search.vector_topk(rows, asked, F.col("k")), "v_rank") == best(legacy.cosine_topk(rows, asked), "rank") == [(7, "a"), (7, "b"), (7, "e"), (8, "c")]
+    gates = pairs.meet(rows.drop("ord"), asked.drop("k"), pairs.gates(0.65), "query_id long, id string, gate double, passes boolean").collect()
+    assert len(gates) == 18 and {(r["query_id"], r["id"]) for r in gates if r["passes"]} == {(7, "a"), (7, "b"), (7, "e"), (8, "c")}
+
+
 def test_context(spark):
     chunks = spark.createDataFrame([("f", i, f"f{i}") for i in (0, 1, 3, 4, 5, 6)] + [("g", i, f"g{i}") for i in (1, 2, 3)], "filename string, chunk_index int, text string")
     hits = spark.createDataFrame([(0, "f", 5, 1), (0, "g", 2, 2)], "query_id int, filename string, chunk_index int, rank int")
