@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvida.functions import text as T
-from corvida.functions.vector import inner_product, norm
-from corvida.operators.search import every_pair, largest
+from corvida.functions.vector import cosine_gate
+from corvida.operators import pairs
+from corvida.operators.search import largest
 
 SCAN_LIMIT = 500  # a feature of the profile: keywords are sought in the first rows only
 
@@ -17,12 +18,12 @@ def cosine_topk(chunks: DataFrame, questions: DataFrame, section: str | None = N
     """(query_id, rank, id, similarity, gate) by cosine; the section is filtered before scoring."""
     rows = chunks.where("embedding is not null")
     rows = rows if section is None else rows.where(F.col("section") == section)
-    scored = every_pair(rows, questions.select("query_id", "query_vector", "k"))
-    sim = F.try_divide(inner_product(F.col("embedding"), F.col("query_vector")), norm(F.col("embedding")) * norm(F.col("query_vector")))
-    order = W.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "ord")
-    ranked = scored.withColumn("similarity", sim).drop("embedding", "query_vector").withColumn("rank", F.row_number().over(order))
-    ranked = ranked.where(F.col("rank") <= largest(questions, F.col("k"))).where(F.col("rank") <= F.col("k"))
-    return ranked.select("query_id", "rank", "id", "similarity", (1 - (1 - F.col("similarity")) / 2).alias("gate"))
+    rows, asked, most = rows.select("id", "ord", "embedding"), questions.select("query_id", "query_vector", "k"), largest(questions, F.col("k"))
+    scored = pairs.meet(rows, asked, pairs.topk(most, cosine=True), pairs.schema_of(asked, rows, "sim double, place double"))
+    order = W.partitionBy("query_id").orderBy(F.col("place").desc(), "ord")
+    ranked = scored.withColumnRenamed("sim", "similarity").withColumn("rank", F.row_number().over(order))
+    ranked = ranked.where(F.col("rank") <= most).where(F.col("rank") <= F.col("k"))
+    return ranked.select("query_id", "rank", "id", "similarity", cosine_gate(F.col("similarity")).alias("gate"))
 
 
 def keyword_hits(chunks: DataFrame, question: str, exclude: DataFrame, k: int, scan: int = SCAN_LIMIT) -> DataFrame:

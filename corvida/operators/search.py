@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvida.functions.vector import inner_product
+from corvida.operators import pairs
 from corvida.operators.lexical import bm25, filename_boost
 
 SMALL_BATCH = 1000
@@ -41,11 +41,11 @@ def every_pair(rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 def vector_topk(chunks: DataFrame, questions: DataFrame, limit: Column | int) -> DataFrame:
     """(query_id, id, ord, sim, v_rank)."""
-    asked = questions.where("query_vector is not null")
-    scored = every_pair(chunks.where("embedding is not null").select("id", "ord", "embedding"), asked)
-    scored = scored.where(F.size("embedding") == F.size("query_vector"))
-    scored = scored.withColumn("sim", inner_product(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
-    return ranked(scored, "sim", limit, largest(questions, limit), "v_rank")
+    rows = chunks.where("embedding is not null").select("id", "ord", "embedding")
+    asked = questions.where("query_vector is not null").select(*[c for c in questions.columns if c in ("query_id", "k", "query_vector")])
+    most = largest(questions, limit)
+    scored = pairs.meet(rows, asked, pairs.topk(most), pairs.schema_of(asked, rows, "sim double, place double"))
+    return ranked(scored, "place", limit, most, "v_rank").drop("place")
 
 
 def lexical_topk(chunks: DataFrame, questions: DataFrame, limit: Column | int) -> DataFrame:
