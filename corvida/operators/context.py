@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 
 from corvida.functions import text as T
 
+FEW = 10_000
+
+
+def with_texts(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Few rows, with their chunks' ``text``, by ``ord`` where there is one: a text is read where it lies, not moved to be numbered."""
+    keys = ["filename", "ord" if "ord" in rows.columns else "chunk_index"]
+    return chunks.select(*keys, "text").join(F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows, keys)
+
 
 def neighbours(hits: DataFrame, chunks: DataFrame, reach: int = 1) -> DataFrame:
-    """(query_id, filename, chunk_index, doc_rank): hits and chunks whose index is within ``reach``, in the hits' files.
+    """(query_id, filename, chunk_index, doc_rank, and ord if chunks have it): hits and chunks whose index is within ``reach``, in the hits' files.
 
     A band condition on the index, turned into an equi-join by listing the wanted indexes.
     """
     ranks = hits.groupBy("query_id", "filename").agg(F.min("rank").alias("doc_rank"))
     wanted = hits.select("query_id", "filename", F.explode(F.expr(f"sequence(chunk_index - {reach}, chunk_index + {reach})")).alias("chunk_index")).distinct()
-    return wanted.join(chunks.select("filename", "chunk_index"), ["filename", "chunk_index"]).join(ranks, ["query_id", "filename"])
+    own = [c for c in ("filename", "chunk_index", "ord") if c in chunks.columns]
+    return wanted.join(chunks.select(*own), ["filename", "chunk_index"]).join(ranks, ["query_id", "filename"])
 
 
 def build_context(hits: DataFrame, chunks: DataFrame, budget: int, reach: int = 1) -> DataFrame:
     """query_id, pos (from 0), filename, chunk_index, text: documents by their best hit, chunks in order, ``budget`` in all."""
     order = W.partitionBy("query_id").orderBy("doc_rank", "chunk_index")
     cut = neighbours(hits, chunks, reach).withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < budget)
-    return cut.join(chunks.select("filename", "chunk_index", "text"), ["filename", "chunk_index"]).select("query_id", "pos", "filename", "chunk_index", "text")
+    return with_texts(cut, chunks).select("query_id", "pos", "filename", "chunk_index", "text")
 
 
 def capped(rows: DataFrame, most: int = 3, chars: int = 12_000) -> DataFrame:

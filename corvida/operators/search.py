@@ -11,9 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvida.operators import pairs
-from corvida.operators.lexical import bm25, filename_boost
-
-SMALL_BATCH = 1000
+from corvida.operators.lexical import SMALL_BATCH, bm25_parts, counted, filename_boost
+from corvida.scratch import kept
 
 
 def fetch_size(k: Column, n: Column) -> Column:
@@ -48,11 +47,11 @@ def vector_topk(chunks: DataFrame, questions: DataFrame, limit: Column | int) ->
     return ranked(scored, "place", limit, most, "v_rank").drop("place")
 
 
-def lexical_topk(chunks: DataFrame, questions: DataFrame, limit: Column | int) -> DataFrame:
-    """(query_id, id, ord, score, l_rank): BM25 and filename boost, positive scores only."""
-    scores = bm25(chunks, questions)
-    boosted = chunks.select("id", "ord", "filename").join(filename_boost(questions, chunks), "filename").select("query_id", "id", "ord", F.col("boost").alias("score"))
-    total = scores.unionByName(boosted).groupBy("query_id", "id").agg(F.first("ord").alias("ord"), F.sum("score").alias("score")).where("score > 0")
+def lexical_topk(docs: DataFrame, questions: DataFrame, limit: Column | int) -> DataFrame:
+    """(query_id, id, ord, score, l_rank) of ``counted`` rows: BM25 and filename boost, positive scores only."""
+    parts = bm25_parts(docs, questions)
+    boosted = docs.select("id", "ord", "filename").join(F.broadcast(filename_boost(questions, docs)), "filename").select("query_id", "id", "ord", F.col("boost").alias("part"))
+    total = parts.unionByName(boosted).groupBy("query_id", "id").agg(F.first("ord").alias("ord"), F.sum("part").alias("score")).where("score > 0")
     total = total.join(questions.select("query_id", "k"), "query_id")
     return ranked(total, "score", limit, largest(questions, limit), "l_rank")
 
@@ -67,14 +66,18 @@ def rrf(vector: DataFrame, lexical: DataFrame, weight: float = 0.5, constant: in
     return both if most is None else both.where(F.col("rank") <= most)
 
 
-def hybrid_search(chunks: DataFrame, questions: DataFrame, weight: float = 0.5) -> DataFrame:
-    """query_id, rank, id, filename, chunk_index, rrf, distance: the k best of each question; of rows with one id the last counts."""
-    limit = fetch_size(F.col("k"), F.lit(chunks.count()))
+def hybrid_search(chunks: DataFrame, questions: DataFrame, weight: float = 0.5, docs: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, id, filename, chunk_index, ord, rrf, distance: the k best of each question; of rows with one id the last counts.
+
+    ``docs`` are the ``counted`` chunks, if they are kept already.
+    """
+    docs = docs if docs is not None else kept(counted(chunks, questions), "counted")
+    limit = fetch_size(F.col("k"), F.lit(docs.count()))
     vector = vector_topk(chunks, questions, limit).select("query_id", "id", "v_rank", "sim")
-    lexical = lexical_topk(chunks, questions, limit).select("query_id", "id", "l_rank")
+    lexical = lexical_topk(docs, questions, limit).select("query_id", "id", "l_rank")
     fused = rrf(vector, lexical, weight, most=largest(questions, F.col("k"))).join(questions.select("query_id", "k"), "query_id").where(F.col("rank") <= F.col("k"))
-    found = fused.join(chunks.select("id", "filename", "chunk_index", "ord"), "id").groupBy("query_id", "rank", "id", "rrf", "sim").agg(F.max_by(F.struct("filename", "chunk_index"), "ord").alias("c"))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "c.filename", "c.chunk_index", "rrf", F.coalesce(1 - F.col("sim"), F.lit(1.0)).alias("distance"))
+    found = fused.join(docs.select("id", "filename", "chunk_index", "ord"), "id").groupBy("query_id", "rank", "id", "rrf", "sim").agg(F.max_by(F.struct("filename", "chunk_index", "ord"), "ord").alias("c"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "c.filename", "c.chunk_index", "c.ord", "rrf", F.coalesce(1 - F.col("sim"), F.lit(1.0)).alias("distance"))
 
 
 def passes_gate(hits: DataFrame, threshold: float) -> DataFrame:

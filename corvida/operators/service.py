@@ -182,10 +182,10 @@ def asked_of(questions: DataFrame, embed: Callable[[list[str]], list], default_k
 
 
 def context_of(hits: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, pos, filename, chunk_index, text): twice as many chunks as hits are asked for; where none are found, the hits."""
+    """(query_id, pos, filename, chunk_index, text) of hits with their texts: twice as many chunks as hits are asked for; where none are found, the hits."""
     most = 2 * (questions.agg(F.max("k")).first()[0] or 0)
     wide = C.build_context(hits, chunks, most).join(questions.select("query_id", "k"), "query_id").where(F.col("pos") < 2 * F.col("k")).drop("k")
-    bare = hits.select("query_id", "id", "rank", "filename", "chunk_index").join(wide.select("query_id").distinct(), "query_id", "left_anti").join(chunks.select("id", "text"), "id")
+    bare = hits.select("query_id", "rank", "filename", "chunk_index", "text").join(wide.select("query_id").distinct(), "query_id", "left_anti")
     return wide.unionByName(bare.select("query_id", (F.col("rank") - 1).alias("pos"), "filename", "chunk_index", "text"))
 
 
@@ -224,7 +224,7 @@ def ask(chunks: DataFrame, questions: DataFrame, embed: Callable[[list[str]], li
     require_chunks(chunks)
     asked = kept(asked_of(questions, embed, default_k, rewrite), "asked")
     search = asked.where("k is not null and query_vector is not null").select("query_id", F.col("rewritten").alias("question"), "query_vector", "k")
-    hits = kept(hybrid_search(chunks, search, weight).join(chunks.select("id", "text"), "id"), "hits")
+    hits = kept(C.with_texts(kept(hybrid_search(chunks, search, weight), "found"), chunks), "hits")
     passed = passes_gate(hits, threshold).where("found").select("query_id")
     found = hits.join(passed, "query_id", "left_semi")
     context = kept(context_of(found, chunks, search), "context")

@@ -31,14 +31,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts_of(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as parts of one file per source, not yet numbered."""
+    return table(spark, folder, "documents").select(F.concat("source", F.lit(".txt")).alias("filename"), "text", F.col("lang").alias("section"), F.col("doc_id").alias("ord"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    index = (F.row_number().over(W.partitionBy("filename").orderBy("ord")) - 1).cast("int")
+    return rows.withColumn("chunk_index", index).withColumn("id", F.concat_ws("_", "filename", "chunk_index"))
+
+
+def with_vectors(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """``embeddings`` by id, where there are any."""
+    return rows.join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("ord"), "embedding"), "ord", "left")
+
+
 def chunks_of(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
     """``documents`` as chunks: one file per source; ``embeddings`` by id, where there are any."""
-    index = (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("int")
-    rows = table(spark, folder, "documents").select(F.concat("source", F.lit(".txt")).alias("filename"), index.alias("chunk_index"), "text", F.col("lang").alias("section"), F.col("doc_id").alias("ord"))
-    rows = rows.withColumn("id", F.concat_ws("_", "filename", "chunk_index"))
-    if vectors:
-        rows = rows.join(table(spark, folder, "embeddings").select(F.col("vec_id").alias("ord"), "embedding"), "ord", "left")
-    return rows
+    rows = numbered(texts_of(spark, folder))
+    return with_vectors(spark, folder, rows) if vectors else rows
+
+
+def counted_of(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    """The chunks with the counts of the questions' terms: counted first, so that texts are not moved to be numbered."""
+    return kept(numbered(lexical.counted(texts_of(spark, folder), asked)), "counted")
 
 
 def question_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +65,9 @@ def question_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hits_of(spark: SparkSession, folder: str) -> DataFrame:
-    return search.hybrid_search(chunks_of(spark, folder, True), question_of(spark, folder))
+    asked = question_of(spark, folder)
+    docs = counted_of(spark, folder, asked)
+    return search.hybrid_search(with_vectors(spark, folder, docs), asked, docs=docs)
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -153,15 +171,15 @@ def q11_vector_topk_batch(spark, folder):
 # ---- lexical search and fusion
 @query(f"WITH {CHUNKS}, {TOKS}, {TERMS}, {TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def q12_doc_frequency(spark, folder):
-    docs = lexical.tokenized(chunks_of(spark, folder)).select("id", "toks")
-    return lexical.document_frequencies(docs, lexical.terms_of(question_of(spark, folder)))
+    return lexical.document_frequencies(lexical.counted(texts_of(spark, folder), question_of(spark, folder)))
 
 
 @query(f"WITH {CHUNKS}, {TOKS}, {TERMS}, {TF}, {BM25} SELECT q.query_id, c.id, round(coalesce(score, 0), 6) AS score FROM q CROSS JOIN c LEFT JOIN bm ON bm.query_id = q.query_id AND bm.id = c.id")
 def q13_bm25_scores(spark, folder):
-    chunks, asked = chunks_of(spark, folder), question_of(spark, folder)
-    every = search.every_pair(chunks.select("id"), asked.select("query_id"))
-    return every.join(lexical.bm25(chunks, asked), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    asked = question_of(spark, folder)
+    docs = counted_of(spark, folder, asked)
+    every = search.every_pair(docs.select("id"), asked.select("query_id"))
+    return every.join(lexical.bm25(docs, asked), ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 NAMES = "('a_b_c_d_e.txt'), ('src1 report.txt'), ('plain.txt'), ('a.b.md')"
@@ -175,9 +193,10 @@ def q14_filename_boost(spark, folder):
 
 @query(f"WITH {HITS} SELECT query_id, id, cast(rank AS INTEGER) AS rank, round(rrf, 6) AS rrf FROM r")
 def q15_rrf_fusion(spark, folder):
-    chunks, asked = chunks_of(spark, folder, True), question_of(spark, folder)
-    limit = search.fetch_size(F.col("k"), F.lit(chunks.count()))
-    fused = search.rrf(search.vector_topk(chunks, asked, limit).select("query_id", "id", "v_rank"), search.lexical_topk(chunks, asked, limit).select("query_id", "id", "l_rank"))
+    asked = question_of(spark, folder)
+    docs = counted_of(spark, folder, asked)
+    limit = search.fetch_size(F.col("k"), F.lit(docs.count()))
+    fused = search.rrf(search.vector_topk(with_vectors(spark, folder, docs), asked, limit).select("query_id", "id", "v_rank"), search.lexical_topk(docs, asked, limit).select("query_id", "id", "l_rank"))
     return fused.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("rrf", 6).alias("rrf"))
 
 
@@ -442,8 +461,9 @@ SRC = f"o AS (SELECT query_id, filename, min(pos) AS first FROM y GROUP BY query
 @query(f"WITH {HITS}, {NEAR}, {CTX}, {SRC}, rep AS (SELECT query_id, trim(substr(text, 1, 80)) AS reply FROM y WHERE pos = 0), bb AS (SELECT *, {BAG.format(NORM.format('reply'))} AS words, {NORM.format('context')} AS norm FROM rep JOIN ctx USING (query_id)) SELECT query_id, CASE WHEN len(words) = 0 OR len(list_filter(words, lambda w: contains(norm, w)))::DOUBLE / len(words) >= 0.3 THEN reply ELSE '{T.NOT_FOUND}' END AS answer, array_to_string(sources, '|') AS sources, chunks_used, length(array_to_string(raw, '|')) AS raw_length FROM bb JOIN src USING (query_id)")
 def q45_ask(spark, folder):
     asked = question_of(spark, folder).withColumn("rewritten", F.col("question"))
-    chunks = chunks_of(spark, folder, True)
-    hits = kept(search.hybrid_search(chunks, asked).join(chunks.select("id", "text"), "id"), "hits")
+    docs, chunks = counted_of(spark, folder, asked), chunks_of(spark, folder)
+    found = kept(search.hybrid_search(with_vectors(spark, folder, docs), asked, docs=docs), "found")
+    hits = kept(context.with_texts(found, chunks), "hits")
     found = kept(service.context_of(hits, chunks, asked), "context")
     said = F.concat(F.lit("<think>so\nit is</think> «"), F.trim(F.substring("text", 1, 80)), F.lit(" [CHUNK 1]» "))
     replies = found.where("pos = 0").select("query_id", said.alias("raw"), F.lit(None).cast("string").alias("failure"))

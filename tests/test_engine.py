@@ -128,6 +128,28 @@ def test_more_questions_than_a_batch(spark):
         assert sorted((r["query_id"], r["id"]) for r in found.collect()) == [(i, f"c{i % 3}") for i in range(1200)]
 
 
+def test_terms_are_counted_where_texts_are_read(spark, small):
+    from corvida.operators import lexical
+    from corvida.plans import catalog
+
+    texts = ["Marking mark marks MARK-5 a_b", "ключевые слова, Ключ ключевой 5", "naïve market\x00mark\u0130", "", None]
+    rows = spark.createDataFrame([(i, "f.x.txt", t) for i, t in enumerate(texts)], "ord long, filename string, text string")
+    asked = spark.createDataFrame([(0, "mark marker Ключевая 5 txt"), (1, "mark")], "query_id long, question string")
+    got = {r["ord"]: (r["dl"], {h["term"]: h["tf"] for h in r["hits"]}) for r in lexical.counted(rows, asked).collect()}
+    ways = {  # exact count, else stems of five letters: markin, market and marke(r) differ from mark, market has the stem of marker
+        0: (10.0, {"mark": 2, "5": 1, "txt": 1}),
+        1: (8.0, {"ключевая": 2, "5": 1, "txt": 1}),
+        3: (3.0, {"txt": 1}),
+        4: (3.0, {"txt": 1}),
+    }
+    assert {k: v for k, v in got.items() if k != 2} == ways
+    tokens = rows.where("ord = 2").select(T.tokens(F.concat_ws(" ", "filename", "text"))).first()[0]
+    assert got[2] == (float(len(tokens)), {"marker": 1, "txt": 1})
+    for df in (catalog.numbered(lexical.counted(catalog.texts_of(spark, small), asked)), context.with_texts(spark.sql("select 'src1.txt' filename, 1L ord"), catalog.chunks_of(spark, small))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan or plan.index("MapInArrow") > plan.index("Window")  # texts are read below it, and not moved
+
+
 def test_vectors_meet_in_blocks(spark, tmp_path, monkeypatch):
     # copies, opposite vectors and zero vectors, in blocks that are not full; held against the SQL
     import numpy as np
